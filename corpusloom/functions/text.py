@@ -99,7 +99,7 @@ def unwrap(text: str) -> str:
     if "&" in t:
         t = html.unescape(t)
     if "<" in t:
-        t = _SPECIAL.sub(" ", _TAG.sub(lambda m: "" if m.group(0)[1:2] in "biaues" and len(m.group(0)) < 5 else " ", t))
+        t = _SPECIAL.sub(" ", _TAG.sub(" ", t))
     t = _SOFT.sub("", t)
     t = _MOJI.sub(_demojibake, t)
     if "-\n" in t or "-\r" in t or "\u2010" in t:
