@@ -22,7 +22,7 @@ _FUNCTION_WORDS = {
           "few every between nobody without while such more says said once still first if or can do does my i we our these those",
     "fr": "le la les des du de un une et est dans pour que qui sur par au aux en ne pas plus ce cette ces se sa son ses il elle ils "
           "elles nous vous je tu mais ou où comme avec sans sous chez entre depuis avant après quand tandis si même aussi été était "
-          "sera serait d l c qu s n j y à dit selon puis encore leur leurs voici quel quelle pourquoi peux doit",
+          "sera serait qu à dit selon puis encore leur leurs voici quel quelle pourquoi peux doit",
     "de": "der die das und ist den dem des ein eine einen einem einer mit von zu zum zur nicht auf für im in als auch sich es er sie "
           "wir ihr ich du war wird werden hat haben bei nach vor aus über unter bis durch um dass oder aber doch wenn wie was wer warum "
           "sagt noch schon kein keine niemand ohne laut seit mehr so an am heißt man kann kannst muss sobald zuerst dazu dabei hier",
