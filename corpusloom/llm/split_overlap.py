@@ -2,26 +2,33 @@
 
 Texts are taken as sequences of words (case, accents, markup, escaping and
 punctuation off) and compared by word edit distance: two texts of n and m words
-are near-same where it is at most ``k = floor(0.22 * max(n, m))``.
+are near-same where it is at most ``k = floor(0.2 * max(n, m))``.  A passage moved as a
+whole counts twice in that distance, so a pair met is also taken if four fifths of
+the longer text's words stand in order in the other.
 
 1. Records with the same words form one class per dataset, whatever their number;
    only classes are compared, and records come back by a join at the end.
-2. Each evaluation class is cut into segments of three words (shorter ones where
-   the text is too short for k + 1 of them).  k edits spoil at most k segments, so
-   any k + 1 disjoint ones suffice; those rarest among the evaluation texts are kept,
-   which leaves shared openings and phrasings out of the join.
+2. Each evaluation class is cut into k + 1 disjoint segments of one to three words,
+   k being the most edits that any partner may be away.  They start at its k + 1
+   rarest words, which leaves shared openings and phrasings out of the join.
+   k edits spoil at most k segments, so any choice of k + 1 will do; how rare words
+   are is asked of all records, and only words of 0.05 % of them or more are listed.
 3. Training classes give out their windows of those lengths, less those that a
-   Bloom filter of the kept segments rules out (fixed size, no false negatives).
-4. Windows meet segments of their dataset by hash at allowed positions, at most k apart.
-5. Each pair met is verified once by banded dynamic programming.
+   Bloom filter of (segment, allowed stretch of positions) rules out: it has a fixed size
+   and no false negatives.
+4. Windows meet segments by hash at allowed positions: the first segment i up to
+   whose end there are fewer than i edits lies at most i - 1 words off, counted
+   from the start, and at most k + 1 - i words off, counted from the end.  Both sides
+   carry a 256-bit parity sketch of their words; k edits change at most 2k of its bits.
+5. The pairs left are verified once each by dynamic programming: the common subsequence
+   row by row, then the banded table of edits.
 
-Step 4 joins on (dataset, segment, salt): segments that many classes hold are
-spread over salts, so no key gathers in one task.
+Segments held by many classes are spread over salts, so no key gathers in one task.
 
 Edge cases: null, blank or wordless texts match nothing; a record delivered again
 counts once; null or unknown splits take no part; a record on both sides pairs
 with others but not with itself; empty tables give empty results; other columns
-are ignored.
+are ignored.  Classes are told apart by 64-bit hashes of dataset and words.
 """
 
 from __future__ import annotations
@@ -36,14 +43,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_words, strip_space
 from ..session import cut
+from .pairs import lcs_length
 
 #: Greatest word edit distance as a share of the longer text's words.
-MAX_EDITS = 0.22
+MAX_EDITS = 0.2
+#: Share of the longer text's words that must stand in order in the other where whole passages were moved.
+SAME_ORDER = 0.8
 SEGMENT = 3
-#: Bits of the Bloom filter of segments: 2**23 bits are 1 MB, whatever the input.
-BLOOM_BITS = 23
-#: Evaluation classes per salt of one segment.
-SALTS = 8
+#: Bits of the Bloom filters: 2**25 bits are 4 MB, whatever the input; and words to a stretch of positions.
+BLOOM_BITS, STRETCH = 25, 16
+#: A segment of more than so many classes is dealt out over SALTS.
+HEAVY, SALTS = 64, 8
+#: Words of at least this share of records are listed with their frequency; at most (words of a record) / COMMON can be.
+COMMON = 0.0005
 
 
 def edits_allowed(n: int, m: int) -> int:
@@ -58,11 +70,6 @@ def most_edits(n: int) -> int:
     return edits_allowed(n, longest)
 
 
-def segment_length(n: int) -> int:
-    """Three words, or less where the text is too short for k + 1 such segments."""
-    return max(1, min(SEGMENT, n // (most_edits(n) + 1)))
-
-
 def banded_distance(a, b, k: int) -> int:
     """Edit distance of two sequences if at most k, else k + 1; only cells within k of the diagonal."""
     n, m = len(a), len(b)
@@ -102,24 +109,40 @@ def banded_distance(a, b, k: int) -> int:
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` word ids."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = x * _M
+        x ^= x >> np.uint64(29)
+        x = x * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+
+def _window_hashes(ids: np.ndarray, size: int, dataset: int) -> np.ndarray:
+    """A hash of each run of ``size`` word ids in a dataset."""
     n = len(ids) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    h = np.full(n, size, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(size):
-            h = (h ^ ids[j : j + n]) * _M
-            h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+        return np.zeros(0, np.uint64)
+    h = np.full(n, (dataset + size) & (2**64 - 1), np.uint64)
+    for j in range(size):
+        h = _mix(h ^ ids[j : j + n])
+    return h
+
+
+def _dataset_hash(d: str) -> int:
+    return xxhash.xxh64_intdigest(d)
+
+
+def sketch(ids: np.ndarray) -> list[int]:
+    """256 bits: the parity of the number of words that hash to each."""
+    odd = np.bincount((_mix(ids) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
     for pdf in batches:
         ids, keys = [], []
-        for text in pdf["text"]:
+        for d, text in zip(pdf["dataset_id"], pdf["text"]):
             ws = plain_words(text)
             if len(known) > 400_000:
                 known.clear()
@@ -127,13 +150,17 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for w in ws:
                 h = known.get(w)
                 if h is None:
-                    h = known[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
+                    h = known[w] = xxhash.xxh32_intdigest(w) - (1 << 31)
                 row.append(h)
             ids.append(row)
-            keys.append(xxhash.xxh3_128_hexdigest(" ".join(ws)))
+            keys.append(xxhash.xxh3_64_intdigest(d + "\n" + " ".join(ws)) - (1 << 63))
         yield pdf.drop(columns=["text"]).assign(cls=keys, words=ids)
 
 
+def _ids(words) -> np.ndarray:
+    return np.asarray(words, np.int32).view(np.uint32).astype(np.uint64)
+
+
 def sided(records: DataFrame, stages: DataFrame) -> DataFrame:
     """(record_id, dataset_id, split, source, in_train, in_val, cls, words): records of the stages' splits."""
     norm = lambda c: F.lower(strip_space(F.col(c)))
@@ -144,119 +171,173 @@ def sided(records: DataFrame, stages: DataFrame) -> DataFrame:
     )
     rows = records.select("record_id", "dataset_id", norm("split").alias("s"), "source", "text").where("record_id is not null and text is not null")
     rows = rows.join(F.broadcast(sides), ["dataset_id", "s"]).withColumnRenamed("s", "split")
-    out = rows.mapInPandas(_classes, "dataset_id string, split string, record_id bigint, source string, in_train int, in_val int, cls string, words array<bigint>")
+    out = rows.mapInPandas(_classes, "dataset_id string, split string, record_id bigint, source string, in_train int, in_val int, cls bigint, words array<int>")
     return out.where("size(words) > 0")
 
 
 # ---- candidates -------------------------------------------------------------
 
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for d, c, ws in zip(pdf["dataset_id"], pdf["cls"], pdf["words"]):
-            ids = np.asarray(ws, np.int64).view(np.uint64)
-            n = len(ids)
-            size = segment_length(n)
-            h = _window_hashes(ids, size)[::size][: n // size]
-            need = most_edits(n) + 1
-            out += [(d, c, n, need, int(p) * size, int(x)) for p, x in enumerate(h)]
-        yield pd.DataFrame(out, columns=["dataset_id", "cls", "n", "need", "pos", "h"])
+def common_words(classes: DataFrame) -> dict[int, int]:
+    """Frequent words' ids with the number of classes they are in."""
+
+    def count(batches):
+        from collections import Counter
+
+        for pdf in batches:
+            c: Counter = Counter()
+            for ws in pdf["words"]:
+                c.update(set(ws.tolist()))
+            yield pd.DataFrame({"w": list(c), "n": list(c.values())})
 
+    n = classes.count()
+    often = classes.select("words").mapInPandas(count, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, COMMON * n))
+    return {r["w"]: r["n"] for r in often.collect()}
 
-def _bloom_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u = h.view(np.uint64)
-    return (u >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), ((u >> np.uint64(8)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
 
+def segments_of(words: list[int], often: dict[int, int]) -> list[tuple[int, int]]:
+    """k + 1 disjoint (start, end): at the rarest words, up to three words long, in order."""
+    n = len(words)
+    rank = sorted(range(n), key=lambda i: (often.get(words[i], 0), i))
+    at = sorted(rank[: most_edits(n) + 1])
+    return [(p, min(p + SEGMENT, q)) for p, q in zip(at, [*at[1:], n])]
 
-def bloom(spark: SparkSession, segments: DataFrame):
-    """A broadcast Bloom filter of segment hashes, or None: built as 2**10 blocks, so what comes to the driver has one size."""
+
+def _segments(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shared.value
+        for pdf in batches:
+            out = []
+            for d, c, ws in zip(pdf["dataset_id"], pdf["cls"], pdf["words"]):
+                ids = _ids(ws)
+                h = {s: _window_hashes(ids, s, _dataset_hash(d)).view(np.int64) for s in range(1, SEGMENT + 1)}
+                k = sketch(ids)
+                out += [(int(h[e - b][b]), c, len(ids), i, b, *k) for i, (b, e) in enumerate(segments_of(ws.tolist(), often), 1)]
+            yield pd.DataFrame(out, columns=["h", "v_cls", "n", "i", "s", "v1", "v2", "v3", "v4"])
+
+    return run
+
+
+def _bits(h: np.ndarray, stretch) -> tuple[np.ndarray, np.ndarray]:
+    u = _mix(h ^ (np.asarray(stretch).astype(np.uint64) + np.uint64(1)))
+    return (u >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), (u & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+
+
+def _blooms(spark: SparkSession, segments: DataFrame):
+    """Two broadcast Bloom filters: (segment, stretch) pairs, and heavy segments.  Their size is fixed."""
 
     def partial(batches):
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        fine, heavy = np.zeros(1 << BLOOM_BITS, bool), np.zeros(1 << BLOOM_BITS, bool)
         some = False
         for pdf in batches:
             some = True
-            for x in _bloom_bits(pdf["h"].to_numpy(np.int64)):
-                bits[x] = True
+            h = pdf["h"].to_numpy(np.int64).view(np.uint64)
+            s, i = pdf["s"].to_numpy(np.int64), pdf["i"].to_numpy(np.int64)
+            lo, hi = np.maximum(0, s - i + 1) // STRETCH, (s + i - 1) // STRETCH
+            for step in range(int((hi - lo).max(initial=0)) + 1):
+                k = lo + step <= hi
+                for x in _bits(h[k], (lo + step)[k]):
+                    fine[x] = True
+            k = pdf["df"].to_numpy() > HEAVY
+            for x in _bits(h[k], np.zeros(int(k.sum()))):
+                heavy[x] = True
         if some:
-            packed = np.packbits(bits).reshape(1 << 6, -1)
-            yield pd.DataFrame({"block": np.arange(1 << 6), "bits": [bytes(x) for x in packed]})
+            yield pd.DataFrame({"name": ["fine", "heavy"], "bits": [np.packbits(fine).tobytes(), np.packbits(heavy).tobytes()]})
 
     def merge(pdf):
         acc = np.frombuffer(pdf["bits"].iloc[0], np.uint8).copy()
         for b in pdf["bits"].iloc[1:]:
             acc |= np.frombuffer(b, np.uint8)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [acc.tobytes()]})
+        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "bits": [acc.tobytes()]})
 
-    schema = "block bigint, bits binary"
-    # Merged in two rounds, by block within groups of tasks first, so that no merge takes in more than some dozens of parts.
-    parts = segments.select("h").mapInPandas(partial, schema).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
-    once = parts.groupBy("g", "block").applyInPandas(lambda p: merge(p[["block", "bits"]]), schema)
-    rows = once.groupBy("block").applyInPandas(merge, schema).collect()
-    whole = np.zeros((1 << 6, (1 << BLOOM_BITS) // 8 // (1 << 6)), np.uint8)
-    for r in rows:
-        whole[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast(whole.reshape(-1).tobytes())
+    schema = "name string, bits binary"
+    # Built by at most 64 tasks and merged in two rounds, so what is moved has a fixed bound.
+    parts = segments.select("h", "s", "i", "df").coalesce(64).mapInPandas(partial, schema).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(8)))
+    once = parts.groupBy("g", "name").applyInPandas(lambda p: merge(p[["name", "bits"]]), schema)
+    got = {r["name"]: bytes(r["bits"]) for r in once.groupBy("name").applyInPandas(merge, schema).collect()}
+    blank = bytes((1 << BLOOM_BITS) // 8)
+    return spark.sparkContext.broadcast((got.get("fine", blank), got.get("heavy", blank)))
 
 
-def _windows(filter_):
+def _windows(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.unpackbits(np.frombuffer(filter_.value, np.uint8)).astype(bool)
+        fine, heavy = (np.frombuffer(x, np.uint8) for x in shared.value)
+
+        def has(bits, xs):
+            ok = True
+            for x in xs:
+                ok = ok & ((bits[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1).astype(bool)
+            return ok
+
         for pdf in batches:
-            ds, cs, ms, ps, hs = [], [], [], [], []
+            parts: list[tuple] = []
             for d, c, ws in zip(pdf["dataset_id"], pdf["cls"], pdf["words"]):
-                ids = np.asarray(ws, np.int64).view(np.uint64)
-                m = len(ids)
-                for size in range(1 if m <= 16 else SEGMENT, SEGMENT + 1):
-                    h = _window_hashes(ids, size)
-                    x, y = _bloom_bits(h)
-                    keep = np.flatnonzero(bits[x] & bits[y])
-                    hs.append(h[keep])
-                    ps.append(keep)
-                    ds += [d] * len(keep)
-                    cs += [c] * len(keep)
-                    ms += [m] * len(keep)
-            if hs:
-                yield pd.DataFrame({"dataset_id": ds, "cls": cs, "m": ms, "pos": np.concatenate(ps), "h": np.concatenate(hs)})
+                ids = _ids(ws)
+                ds = _dataset_hash(d)
+                hs = [_window_hashes(ids, s, ds) for s in range(1, SEGMENT + 1)]
+                h, p = np.concatenate(hs), np.concatenate([np.arange(len(x)) for x in hs])
+                keep = has(fine, _bits(h, p // STRETCH))
+                h, p = h[keep], p[keep]
+                if len(h):
+                    salts = np.where(has(heavy, _bits(h, np.zeros(len(h)))), SALTS, 1)
+                    parts.append((h, p, salts, c, len(ids), sketch(ids)))
+            if not parts:
+                continue
+            times = np.concatenate([x[2] for x in parts])
+            many = [len(x[0]) for x in parts]
+            frame = {"h": np.concatenate([x[0] for x in parts]).view(np.int64), "t_cls": np.repeat([x[3] for x in parts], many), "m": np.repeat([x[4] for x in parts], many), "p": np.concatenate([x[1] for x in parts])}
+            frame |= {f"t{b + 1}": np.repeat([x[5][b] for x in parts], many) for b in range(4)}
+            out = pd.DataFrame(frame)
+            again = np.repeat(np.arange(len(out)), times)
+            out = out.iloc[again].assign(salt=np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times))
+            yield out
 
     return run
 
 
+def near_same(a: list, b: list) -> bool:
+    """At most k edits, or, where passages were moved, SAME_ORDER of the longer text's words in order in the other.
+
+    Each edit costs the longest common subsequence one word at most, so a pair short of
+    that is settled without the banded table.
+    """
+    longer = max(len(a), len(b))
+    k = edits_allowed(len(a), len(b))
+    common = lcs_length(a, b)
+    if longer - common > k and common < SAME_ORDER * longer:
+        return False
+    return banded_distance(a, b, k) <= k or common >= SAME_ORDER * longer
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keep = []
-        for a, b in zip(pdf["v_words"], pdf["t_words"]):
-            k = edits_allowed(len(a), len(b))
-            keep.append(banded_distance(list(a), list(b), k) <= k)
+        keep = [near_same(a.tolist(), b.tolist()) for a, b in zip(pdf["v_words"], pdf["t_words"])]
         yield pdf.loc[keep, ["dataset_id", "v_cls", "t_cls"]]
 
 
 def class_pairs(members: DataFrame) -> DataFrame:
     """(dataset_id, v_cls, t_cls): near-same evaluation and training classes, equal ones included."""
     spark = members.sparkSession
-    classes = members.groupBy("dataset_id", "cls").agg(F.first("words").alias("words"), F.max("in_train").alias("t"), F.max("in_val").alias("v"))
+    classes = cut(members.groupBy("dataset_id", "cls").agg(F.first("words").alias("words"), F.max("in_train").alias("t"), F.max("in_val").alias("v")))
     val, train = classes.where("v = 1"), classes.where("t = 1")
-    seg = val.select("dataset_id", "cls", "words").mapInPandas(_segments, "dataset_id string, cls string, n int, need int, pos int, h bigint")
-    often = seg.groupBy("dataset_id", "h").agg(F.count("*").alias("df"))
-    rank = Window.partitionBy("dataset_id", "cls").orderBy("df", "pos")
-    kept = cut(seg.join(often, ["dataset_id", "h"]).withColumn("r", F.row_number().over(rank)).where("r <= need").select("dataset_id", "h", "df", "cls", "n", "pos"))
-    wins = train.select("dataset_id", "cls", "words").mapInPandas(_windows(bloom(spark, kept)), "dataset_id string, cls string, m int, pos int, h bigint")
-    # A segment of many evaluation classes is dealt out over salts; its windows go to each of them.
-    v = kept.select("dataset_id", "h", F.when(F.col("df") > SALTS, F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(0).alias("salt"), F.col("cls").alias("v_cls"), "n", F.col("pos").alias("s"))
-    t = wins.select("dataset_id", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("cls").alias("t_cls"), "m", F.col("pos").alias("p"))
-    heavy = kept.where(F.col("df") > SALTS).select("dataset_id", "h").distinct()
-    light_w = wins.select("dataset_id", "h", F.lit(0).alias("salt"), F.col("cls").alias("t_cls"), "m", F.col("pos").alias("p"))
-    heavy_w = t.where("salt > 0").join(heavy, ["dataset_id", "h"], "left_semi")
+    often = spark.sparkContext.broadcast(common_words(classes))
+    schema = "h bigint, v_cls bigint, n int, i int, s int, v1 bigint, v2 bigint, v3 bigint, v4 bigint"
+    seg = val.select("dataset_id", "cls", "words").mapInPandas(_segments(often), schema)
+    kept = cut(seg.withColumn("df", F.count("*").over(Window.partitionBy("h"))))
+    v = kept.withColumn("salt", F.when(F.col("df") > HEAVY, F.pmod(F.xxhash64("v_cls"), F.lit(SALTS))).otherwise(0).cast("int")).drop("df")
+    schema = "h bigint, t_cls bigint, m int, p int, t1 bigint, t2 bigint, t3 bigint, t4 bigint, salt int"
+    t = train.select("dataset_id", "cls", "words").mapInPandas(_windows(_blooms(spark, kept)), schema)
     k = F.floor(F.lit(MAX_EDITS) * F.greatest("n", "m"))
+    shift, i = F.col("p") - F.col("s"), F.col("i")
+    differ = sum((F.bit_count(F.col(f"v{b}").bitwiseXOR(F.col(f"t{b}"))) for b in range(1, 5)), F.lit(0))
     met = (
-        v.join(light_w.unionByName(heavy_w), ["dataset_id", "h", "salt"])
-        .where((F.abs(F.col("n") - F.col("m")) <= k) & (F.abs(F.col("s") - F.col("p")) <= k) & (F.col("v_cls") != F.col("t_cls")))
-        .select("dataset_id", "v_cls", "t_cls").distinct()
+        v.join(t, ["h", "salt"])
+        .where((F.abs(F.col("n") - F.col("m")) <= k) & (F.abs(shift) <= i - 1) & (F.abs(shift - (F.col("m") - F.col("n"))) <= k + 1 - i) & (differ <= 2 * k) & (F.col("v_cls") != F.col("t_cls")))
+        .select("v_cls", "t_cls").distinct()
     )
-    met = met.join(val.select("dataset_id", F.col("cls").alias("v_cls"), F.col("words").alias("v_words")), ["dataset_id", "v_cls"])
-    met = met.join(train.select("dataset_id", F.col("cls").alias("t_cls"), F.col("words").alias("t_words")), ["dataset_id", "t_cls"])
-    near = met.mapInPandas(_verify, "dataset_id string, v_cls string, t_cls string")
+    met = met.join(val.select("dataset_id", F.col("cls").alias("v_cls"), F.col("words").alias("v_words")), "v_cls")
+    met = met.join(train.select(F.col("cls").alias("t_cls"), F.col("words").alias("t_words")), "t_cls")
+    near = met.mapInPandas(_verify, "dataset_id string, v_cls bigint, t_cls bigint")
     same = classes.where("v = 1 and t = 1").select("dataset_id", F.col("cls").alias("v_cls"), F.col("cls").alias("t_cls"))
     return near.unionByName(same)
 
