@@ -28,7 +28,6 @@ def hits_by_substring(df: DataFrame, texts: Sequence[str], pos: str) -> DataFram
     """Positions of rows whose collapsed text contains a collapsed evaluation text; a given, short list."""
     spark = df.sparkSession
     listed = spark.createDataFrame([(t,) for t in texts], "t string").select(collapse(F.col("t")).alias("t")).where("t <> ''").distinct()
-    found = F.exists(F.lit(None).cast("array<string>"), lambda x: x.isNotNull())
     needles = [r[0] for r in listed.collect()]
     hay = collapse(F.coalesce(F.col("text"), F.lit("")))
     found = F.exists(F.array(*(F.lit(n) for n in needles)), lambda n: hay.contains(n)) if needles else F.lit(False)

@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
