@@ -16,12 +16,19 @@ def token_lr(tokens: Column, peak: float, warmup: int, total: int, min_ratio: fl
     return F.when(t < warmup, t / warmup * peak).otherwise(cosine) if warmup > 0 else cosine
 
 
+def warmup_steps(total: int, ratio: float, least: int = 20) -> int:
+    """Steps of warm-up: a share of the run, at least ``least``, always shorter than the run."""
+    if total <= 0 or not 0 <= ratio < 1:
+        raise ValueError("total must be positive and ratio in [0, 1)")
+    return 0 if total == 1 else max(0, min(total - 1, max(least, round(ratio * total))))
+
+
 def step_lr(step: Column, peak: float, warmup: int, total: int, min_ratio: float = 0.1) -> Column:
-    """By steps: step 0 has peak / warmup; the warm-up is at most the whole run."""
-    w = max(1, min(warmup, total))
-    s = step.cast("double")
-    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (s - w) / max(1, total - w)))
-    return F.when(s < w, peak * (s + 1) / w).otherwise(peak * (min_ratio + (1 - min_ratio) * 0.5 * (1 + F.cos(part * math.pi))))
+    """By steps: step 0 has peak / warmup, the last step of the warm-up the peak, then a cosine to the floor."""
+    s = F.greatest(step, F.lit(0)).cast("double")
+    part = F.least(F.lit(1.0), (s - warmup) / max(1, total - warmup))
+    down = peak * (min_ratio + (1 - min_ratio) * 0.5 * (1 + F.cos(part * math.pi)))
+    return F.when(s < warmup, peak * (s + 1) / warmup).otherwise(down) if warmup > 0 else down
 
 
 def budget_steps(budget: Column, micro: Column, accumulate: Column, seq_len: Column) -> Column:
@@ -53,20 +60,37 @@ def eta(left: Column, per_second: Column) -> Column:
     return F.when(left <= 0, 0.0).when(per_second > 0, left / per_second)
 
 
+def count_text(n: Column) -> Column:
+    """1,234,567."""
+    return F.format_number(n.cast("bigint"), 0)
+
+
 def short_number(x: Column) -> Column:
-    """1.2K, 3.4M, 5.6B, 7.8T; an em dash for null."""
+    """49.15K, 3.40M, 20.00B; whole below a thousand."""
     a = F.abs(x)
-    out = F.when(x.isNull(), "—")
-    for size, mark in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")):
-        out = out.when(a >= size, F.concat(F.format_string("%.2f", x / size), F.lit(mark)))
-    return out.otherwise(F.format_string("%d", x.cast("bigint")))
+    out = F.when(a >= 1e9, F.format_string("%.2fB", x / 1e9))
+    for size, mark in ((1e6, "M"), (1e3, "K")):
+        out = out.when(a >= size, F.format_string(f"%.2f{mark}", x / size))
+    return out.otherwise(F.format_string("%.0f", x.cast("double")))
+
+
+def progress_text(done: Column, total: Column) -> Column:
+    """3,000 out of 20.00K (15.0%)."""
+    return F.concat(count_text(done), F.lit(" out of "), short_number(total), F.format_string(" (%.1f%%)", done * 100.0 / total))
 
 
 def duration(seconds: Column) -> Column:
-    """1h 02m 03s, 2m 03s or 3s; an em dash for null."""
-    s = F.floor(seconds)
-    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(seconds.isNull(), "—").when(h > 0, F.format_string("%dh %02dm %02ds", h, m, r)).when(m > 0, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", r))
+    """3d 04h 12m, 1h 02m 09s or 07m 41s; an em dash where it is unknown or negative."""
+    t = F.bround(seconds, 0).cast("bigint")
+    d, h, m, r = F.floor(t / 86400), F.floor(t % 86400 / 3600), F.floor(t % 3600 / 60), t % 60
+    bad = seconds.isNull() | F.isnan(seconds) | (seconds < 0) | (seconds == float("inf"))
+    return (
+        F.when(bad, "—").when(d > 0, F.format_string("%dd %02dh %02dm", d, h, m)).when(h > 0, F.format_string("%dh %02dm %02ds", h, m, r)).otherwise(F.format_string("%02dm %02ds", m, r))
+    )
+
+
+def loss_text(x: Column) -> Column:
+    return F.when(x.isNull(), "—").otherwise(F.format_string("%.4f", x))
 
 
 def percent(x: Column) -> Column:

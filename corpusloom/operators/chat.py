@@ -39,8 +39,8 @@ def linearize(df: DataFrame) -> DataFrame:
 
 def linearize_loose(df: DataFrame) -> DataFrame:
     """As above, but roles as they are and empty turns kept."""
-    x = df.select("conv_id", "turn", F.coalesce(F.nullif("role", F.lit("")), F.lit("user")).alias("role"), strip_space(F.coalesce("content", F.lit(""))).alias("text"))
-    return _joined(x)
+    x = df.select("conv_id", "turn", F.coalesce(F.nullif(strip_space(F.col("role")), F.lit("")), F.lit("unknown")).alias("role"), strip_space(F.coalesce("content", F.lit(""))).alias("text"))
+    return _joined(x).withColumn("text", strip_space(F.col("text")))
 
 
 def encode(df: DataFrame, eos: int, bos: int | None = None, ids=byte_ids) -> DataFrame:
