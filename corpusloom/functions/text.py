@@ -45,18 +45,23 @@ def words(text: Column) -> Column:
 
 
 def word_ngrams(ws: Column, n: int) -> Column:
-    """Word n-grams; a shorter text is one gram, an empty one none."""
+    """Word n-grams; a shorter text is one gram, an empty one none.  Give a column and no expression."""
     whole = F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(ws, " ")))
     return F.when(F.size(ws) < n, whole).otherwise(
         F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))
     )
 
 
-def char_shingles(text: Column, n: int = 5) -> Column:
-    """Distinct character n-grams of a collapsed text."""
-    whole = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array(text))
-    return F.when(F.length(text) < n, whole).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def char_shingles(chars: Column, n: int = 5) -> Column:
+    """Distinct character n-grams, from a column of characters; give a column and no
+    expression, since every gram refers to it."""
+    whole = F.when(F.size(chars) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(chars, "")))
+    return F.when(F.size(chars) < n, whole).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), "")))
     )
 
 

@@ -39,8 +39,10 @@ def hits_by_ngram(df: DataFrame, texts: DataFrame, n: int, pos: str) -> DataFram
 
     The evaluation grams are broadcast if their size allows; else both sides meet by shuffle.
     """
-    grams = texts.select(F.explode(word_ngrams(words(F.coalesce(F.col("text"), F.lit(""))), n)).alias("g")).select(F.xxhash64("g").alias("h")).distinct()
-    rows = df.select(pos, F.explode(F.array_distinct(F.transform(word_ngrams(words(F.coalesce(F.col("text"), F.lit(""))), n), lambda g: F.xxhash64(g)))).alias("h"))
+    ws = words(F.coalesce(F.col("text"), F.lit(""))).alias("ws")
+    hashes = F.array_distinct(F.transform(word_ngrams(F.col("ws"), n), lambda g: F.xxhash64(g)))
+    grams = texts.select(ws).select(F.explode(hashes).alias("h")).distinct()
+    rows = df.select(pos, ws).select(pos, F.explode(hashes).alias("h"))
     return rows.join(maybe_broadcast(grams), "h", "left_semi").select(pos).distinct()
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_shingles, collapse
+from ..functions.text import char_shingles, characters, collapse
 from ..session import cut
 
 # The prime of the hash family, and its usual size.
@@ -109,7 +109,8 @@ def signature(text: Column, permutations: int = PERMUTATIONS, shingle: int = SHI
 
 
 def shingle_counts(df: DataFrame) -> DataFrame:
-    return df.withColumn("n_shingles", F.size(char_shingles(collapse(F.coalesce(F.col("text"), F.lit(""))), SHINGLE)).cast("bigint"))
+    x = df.withColumn("_c", characters(collapse(F.coalesce(F.col("text"), F.lit("")))))
+    return x.withColumn("n_shingles", F.size(char_shingles(F.col("_c"), SHINGLE)).cast("bigint")).drop("_c")
 
 
 def near_by_bands(signed: DataFrame, pos: str, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:

@@ -26,6 +26,10 @@ EN_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt
 SAMPLE = 20_000
 
 
+def _is_in(ws: list[str]):
+    return lambda w: w.isin(*ws)
+
+
 def identify(text: Column) -> Column:
     """ISO code or null.  Ties of votes go to the language whose first voting word comes first."""
     t = F.substring(text, 1, SAMPLE)
@@ -35,7 +39,7 @@ def identify(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(t), F.lit("([A-Za-zÀ-ÿ']+)"), F.lit(1))
     ballots = []
     for n, (lang, ws) in enumerate(STOPWORDS.items()):
-        hit = F.transform(words, lambda w, ws=ws: w.isin(*ws))
+        hit = F.transform(words, _is_in(ws))
         votes = F.size(F.filter(hit, lambda h: h))
         first = F.array_position(hit, True)
         ballots.append(F.struct(votes.alias("v"), (-first).alias("f"), F.lit(-n).alias("o"), F.lit(lang).alias("l")))

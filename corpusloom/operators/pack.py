@@ -15,11 +15,8 @@ from .order import prefix_sum
 
 def byte_ids(text: Column) -> Column:
     """The UTF-8 bytes of a text as token ids."""
-    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-    hexed = F.hex(raw)
-    n = F.octet_length(raw)
-    ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(ids)
+    hexed = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+    return F.transform(F.regexp_extract_all(hexed, F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def with_ends(ids: Column, bos: int | None = None, eos: int | None = None) -> Column:

@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

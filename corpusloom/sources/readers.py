@@ -27,8 +27,14 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
     return out
 
 
+def _line():
+    """A number that rises with the lines of a file: by split (of 1 MB or more), then by line in it."""
+    block = F.shiftright("_metadata.file_block_start", 20)
+    return F.shiftleft(block, 33).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 def _jsonl(spark: SparkSession, paths: list[str], text_field: str) -> DataFrame:
-    lines = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("src_file"), F.monotonically_increasing_id().alias("src_row"))
+    lines = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("src_file"), _line().alias("src_row"))
     lines = lines.where(F.length(strip_space(F.col("value"))) > 0)
     # One pass: the object as a map of raw JSON values, so that no schema has to be known.
     m = F.from_json("value", "map<string,string>")
@@ -71,7 +77,7 @@ def read_text(spark: SparkSession, paths: str | Sequence[str], source: str = "te
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], source: str = "text") -> DataFrame:
     """A document per non-blank line, as tokenizer corpora have it."""
-    x = spark.read.text(_paths(paths)).select(strip_space(F.col("value")).alias("text"), F.lit(source).alias("source"), F.col("_metadata.file_path").alias("src_file"), F.monotonically_increasing_id().alias("src_row"))
+    x = spark.read.text(_paths(paths)).select(strip_space(F.col("value")).alias("text"), F.lit(source).alias("source"), F.col("_metadata.file_path").alias("src_file"), _line().alias("src_row"))
     return x.where("text <> ''")
 
 
