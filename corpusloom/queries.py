@@ -241,8 +241,9 @@ def contam_substring(spark, d):
     return contamination.apply(x, contamination.hits_by_substring(x, NEEDLES, "doc_id"), "doc_id").select("doc_id")
 
 
-NGRAMS = f"CASE WHEN len({WORDS}) = 0 THEN [] WHEN len({WORDS}) < 8 THEN [array_to_string({WORDS}, ' ')] ELSE list_transform(range(1, len({WORDS}) - 6), i -> array_to_string(list_slice({WORDS}, i, i + 7), ' ')) END"
-HITS = f"g AS (SELECT DISTINCT unnest({NGRAMS}) AS g FROM benchmark), h AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({NGRAMS}) AS g FROM documents) WHERE g IN (SELECT g FROM g))"
+EIGHTS = "CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 8 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 6), i -> array_to_string(list_slice(ws, i, i + 7), ' ')) END"
+HITS = f"""bw AS MATERIALIZED (SELECT {WORDS} AS ws FROM benchmark), dw AS MATERIALIZED (SELECT doc_id, {WORDS} AS ws FROM documents),
+g AS (SELECT DISTINCT unnest({EIGHTS}) AS g FROM bw), h AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({EIGHTS}) AS g FROM dw) WHERE g IN (SELECT g FROM g))"""
 
 
 @query(f"WITH {HITS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)")
