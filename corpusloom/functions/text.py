@@ -24,6 +24,11 @@ ROLE_ALIASES = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def collapse(text: Column) -> Column:
     """Lower case, white space runs to one blank, outer space off."""
     return F.trim(F.regexp_replace(F.lower(text), JAVA_SPACE + "+", " "))

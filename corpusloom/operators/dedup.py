@@ -66,16 +66,18 @@ def _mod(x: np.ndarray) -> np.ndarray:
 
 
 def affine_min(h: np.ndarray, fam: list[tuple[int, int]]) -> list[int]:
-    """min over h of (a h + b) mod 2**61 - 1, for 32-bit h, in 64-bit steps."""
-    h = h.astype(np.uint64)
-    out = []
-    for a, b in fam:
-        hi, lo = np.uint64(a >> 32), np.uint64(a & 0xFFFFFFFF)
-        t = _mod(hi * h)  # below 2**61
+    """min over h of (a h + b) mod 2**61 - 1 for every (a, b), for 32-bit h, in 64-bit steps."""
+    a = np.array([x for x, _ in fam], np.uint64)[:, None]
+    b = np.array([x for _, x in fam], np.uint64)[:, None]
+    hi, lo = a >> np.uint64(32), a & np.uint64(0xFFFFFFFF)
+    best = np.full(len(fam), PRIME, np.uint64)
+    for s in range(0, len(h), 2048):
+        x = h[None, s : s + 2048].astype(np.uint64)
+        t = _mod(hi * x)  # below 2**61
         # t * 2**32 mod p: bits beyond the 61st come in again at the bottom
         t = _mod(((t & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (t >> np.uint64(29)))
-        out.append(int(_mod(_mod(t + _mod(lo * h)) + np.uint64(b)).min()))
-    return out
+        best = np.minimum(best, _mod(_mod(t + _mod(lo * x)) + b).min(axis=1))
+    return best.tolist()
 
 
 def signature(text: Column, permutations: int = PERMUTATIONS, shingle: int = SHINGLE, seed: int = 0) -> Column:

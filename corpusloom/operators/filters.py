@@ -39,13 +39,12 @@ def quality_features(df: DataFrame) -> DataFrame:
     t, n = _text(), F.length(_text())
     share = lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))
     most = F.array_max(F.transform(F.array_distinct(F.split(t, "")), lambda c: F.when(c == "", 0).otherwise(n - F.length(F.replace(t, c, F.lit(""))))))
-    ls = T.lines(t)
-    bullets = F.size(F.filter(ls, lambda x: x.rlike("(?U)" + BULLET_LINE)))
+    bullet = T.let(T.lines(t), lambda ls: F.when(F.size(ls) > 0, F.size(F.filter(ls, lambda x: x.rlike("(?U)" + BULLET_LINE))) / F.size(ls)).otherwise(F.lit(0.0)))
     return df.withColumn(
         "q",
         F.struct(
             n.alias("n_chars"), share(most).alias("top_char"), share(n - F.length(F.translate(t, T.PUNCT, ""))).alias("punct"), share(n - F.length(F.replace(t, F.lit("\n"), F.lit("")))).alias("newline"),
-            F.when(F.size(ls) > 0, bullets / F.size(ls)).otherwise(F.lit(0.0)).alias("bullet"), F.regexp_count(t, F.lit(SENTENCE_MARK)).alias("sentences"),
+            bullet.alias("bullet"), F.regexp_count(t, F.lit(SENTENCE_MARK)).alias("sentences"),
         ),
     )
 
@@ -63,8 +62,8 @@ def quality_filter(max_top: float = 0.2, max_punct: float = 0.35, max_newline: f
 
 def code_ratio(df: DataFrame) -> DataFrame:
     """Adds ``code_ratio``: the share of non-blank lines that look like code; null where there are none."""
-    ls = F.transform(T.lines(_text()), T.strip_space)
-    return df.withColumn("code_ratio", F.when(F.size(ls) > 0, F.size(F.filter(ls, lambda x: x.rlike(CODE_LINE))) / F.size(ls)))
+    ratio = lambda ls: F.when(F.size(ls) > 0, F.size(F.filter(ls, lambda x: x.rlike(CODE_LINE))) / F.size(ls))
+    return df.withColumn("code_ratio", T.let(F.transform(T.lines(_text()), T.strip_space), ratio))
 
 
 def code_filter(mode: str = "keep", min_ratio: float = 0.3) -> Transform:

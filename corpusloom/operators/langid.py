@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_space
+from ..functions.text import let, strip_space
 
 # Scripts in the order in which they decide, by code points.
 SCRIPTS = (
@@ -27,7 +27,7 @@ SAMPLE = 20_000
 
 
 def _is_in(ws: list[str]):
-    return lambda w: w.isin(*ws)
+    return lambda x: x["w"].isin(*ws)
 
 
 def identify(text: Column) -> Column:
@@ -36,16 +36,25 @@ def identify(text: Column) -> Column:
     out = F.when(F.length(strip_space(t)) == 0, F.lit(None).cast("string"))
     for code, rx in SCRIPTS:
         out = out.when(t.rlike(rx), code)
-    words = F.regexp_extract_all(F.lower(t), F.lit("([A-Za-zÀ-ÿ']+)"), F.lit(1))
-    ballots = []
-    for n, (lang, ws) in enumerate(STOPWORDS.items()):
-        hit = F.transform(words, _is_in(ws))
-        votes = F.size(F.filter(hit, lambda h: h))
-        first = F.array_position(hit, True)
-        ballots.append(F.struct(votes.alias("v"), (-first).alias("f"), F.lit(-n).alias("o"), F.lit(lang).alias("l")))
-    best = F.array_max(F.array(*ballots))
-    letters = F.regexp_replace(F.lower(t), "[^a-z]", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(letters) - 1), lambda i: F.substring(letters, i, F.lit(2)))
-    share = F.size(F.filter(pairs, lambda p: p.isin(*EN_PAIRS))) / (F.length(letters) - 1)
-    by_pairs = F.when(F.length(letters) < 200, "en").when(share > 0.06, "en")
-    return out.otherwise(F.when(best["v"] > 0, best["l"]).otherwise(by_pairs))
+    return out.otherwise(let(F.lower(t), _latin))
+
+
+def _latin(t: Column) -> Column:
+    words = F.regexp_extract_all(t, F.lit("([A-Za-zÀ-ÿ']+)"), F.lit(1))
+    every = sorted({w for ws in STOPWORDS.values() for w in ws})
+    # Only words that vote, each with its place, so that five ballots go over few words.
+    voting = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*every))
+
+    def ballot(vs: Column) -> Column:
+        rows = []
+        for n, (lang, ws) in enumerate(STOPWORDS.items()):
+            own = F.filter(vs, _is_in(ws))
+            rows.append(F.struct(F.size(own).alias("v"), (-F.coalesce(F.try_element_at(own, F.lit(1))["i"], F.lit(0))).alias("f"), F.lit(-n).alias("o"), F.lit(lang).alias("l")))
+        return F.array_max(F.array(*rows))
+
+    def by_pairs(s: Column) -> Column:
+        pairs = F.regexp_extract_all(s, F.lit("(?=(..))"), F.lit(1))
+        share = F.size(F.filter(pairs, lambda p: p.isin(*EN_PAIRS))) / (F.length(s) - 1)
+        return F.when(F.length(s) < 200, "en").when(share > 0.06, "en")
+
+    return let(let(voting, ballot), lambda best: F.when(best["v"] > 0, best["l"]).otherwise(let(F.regexp_replace(t, "[^a-z]", ""), by_pairs)))

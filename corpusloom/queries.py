@@ -12,6 +12,7 @@ from .functions import schedules as S
 from .functions import text as T
 from .operators import bpe, chat, contamination, dedup, filters, langid, mix, pack, stats, validate
 from .operators.order import prefix_sum
+from .session import spread
 from .sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,11 +30,11 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 # ---- pieces of SQL ----------------------------------------------------------

@@ -53,3 +53,12 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out again where a table comes in far fewer parts than there are cores,
+
+    as a file of one row group does.  Tables of many parts are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores and size_in_bytes(df) > 1 << 19 else df
