@@ -42,6 +42,7 @@ for _lang, _ws in _FUNCTION_WORDS.items():
         _WORD_LANGS[_w] = (*_WORD_LANGS.get(_w, ()), _lang)
 LATIN = tuple(_FUNCTION_WORDS)
 _TOKEN = re.compile(r"[^\W\d_]+")
+_NO_LETTER = re.compile(r"[\W\d_]+")
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _URL = re.compile(r"https?://\S+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*|\n+")
@@ -92,7 +93,7 @@ def by_size(text: str) -> dict[str | None, int]:
     """Size of each language's share of a text, sentence by sentence, in latin-letter terms."""
     out: dict[str | None, int] = {}
     for s in _SENTENCE.split(without_code(text)):
-        letters = sum(c.isalpha() for c in s)
+        letters = len(_NO_LETTER.sub("", s))
         if not letters:
             continue
         lang = identify(s, 1.0)

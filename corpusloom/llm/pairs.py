@@ -148,11 +148,33 @@ def _fits(sentence: list[str], template: list[str], slack: float) -> bool:
 _OPENERS = tuple(sorted((t for t in _COURTESY_T if "*" not in t), key=len, reverse=True))
 
 
+def _index(templates) -> tuple[dict[str, list[int]], list[int]]:
+    """Templates by their words, and how many different words each has."""
+    by: dict[str, list[int]] = {}
+    for n, t in enumerate(templates):
+        for w in {w for w in t if w != "*"}:
+            by.setdefault(w, []).append(n)
+    return by, [len({w for w in t if w != "*"}) for t in templates]
+
+
+_REFUSAL_BY, _COURTESY_BY = _index(_REFUSAL_T), _index(_COURTESY_T)
+
+
+def _near(s: list[str], templates, index):
+    """Templates that share enough words with the sentence to fit it."""
+    by, sizes = index
+    hits: dict[int, int] = {}
+    for w in set(s):
+        for n in by.get(w, ()):
+            hits[n] = hits.get(n, 0) + 1
+    return [templates[n] for n, k in hits.items() if k >= 0.7 * sizes[n] - 1]
+
+
 def _align(s: list[str]) -> str:
     """refusal, courtesy or other, by the best-aligned template; an opening courtesy is taken off first."""
     if not s:
         return "courtesy"
-    for t in _COURTESY_T:
+    for t in _near(s, _COURTESY_T, _COURTESY_BY):
         if _fits(s, t, 1.0 if len(t) < 4 else 0.85):
             return "courtesy"
     variants = [s]
@@ -162,7 +184,7 @@ def _align(s: list[str]) -> str:
             variants.append(rest[1:] if rest[:1] and rest[0] in ("but", "aber", "mais", "pero", "но") else rest)
             break
     for v in variants:
-        if len(v) >= 2 and any(_fits(v, t, 0.8) for t in _REFUSAL_T):
+        if len(v) >= 2 and any(_fits(v, t, 0.8) for t in _near(v, _REFUSAL_T, _REFUSAL_BY)):
             return "refusal"
     return "other"
 
@@ -351,7 +373,11 @@ def end_keys(tokens: list[str], i: int) -> list[int]:
     p1 = _kind(tokens[i - 1]) if i else "^"
     p2 = _kind(tokens[i - 2]) if i > 1 else "^"
     names = (f"1|{own}", f"2|{p1}|{k}", f"3|{p2}|{p1}|{k}")
-    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in names]
+    return [_key(x) for x in names]
+
+
+def _key(run: str) -> int:
+    return xxhash.xxh64_intdigest(run) - (1 << 63)
 
 
 def end_tokens(text: str) -> list[str]:
@@ -360,6 +386,8 @@ def end_tokens(text: str) -> list[str]:
 
 
 def _end_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per batch: how often each run of words was seen, and how often a sentence ended there.  Runs are counted as
+    tuples and hashed once each at the end."""
     for pdf in batches:
         seen: Counter = Counter()
         ends: Counter = Counter()
@@ -367,15 +395,18 @@ def _end_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not text:
                 continue
             toks = end_tokens(text)
+            kinds = [_kind(t) for t in toks]
+            p1 = p2 = "^"
             for i in range(len(toks) - 1):
-                if toks[i] in _ENDS or not (toks[i][0].isalnum()):
-                    continue
-                at_end = toks[i + 1] in _ENDS
-                for k in end_keys(toks, i):
-                    seen[k] += 1
-                    if at_end:
-                        ends[k] += 1
-        yield pd.DataFrame({"key": list(seen), "seen": list(seen.values()), "ends": [ends[k] for k in seen]})
+                k, t = kinds[i], toks[i]
+                if t[0].isalnum():
+                    own = "N:" + t[-3:].lower() if k == "N" else k
+                    runs = ("1|" + own, f"2|{p1}|{k}", f"3|{p2}|{p1}|{k}")
+                    seen.update(runs)
+                    if toks[i + 1] in _ENDS:
+                        ends.update(runs)
+                p1, p2 = k, p1
+        yield pd.DataFrame({"key": [_key(x) for x in seen], "seen": list(seen.values()), "ends": [ends[x] for x in seen]})
 
 
 #: Evidence needed before a count speaks, and the share of ends below which a break is no sentence end.
