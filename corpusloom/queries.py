@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import schedules as S
 from .functions import text as T
-from .operators import bpe, chat, contamination, dedup, filters, langid, mix, pack, stats, validate
+from .operators import bpe, chat, contamination, dedup, filters, langid, mix, pack, prepare, stats, validate
+from .operators import tokenizer as tk
 from .operators.order import prefix_sum
 from .session import spread
 from .sources import writers
@@ -668,3 +669,56 @@ def model_size(spark, d):
     k = F.col("n_nationkey").cast("bigint") + 1
     x = table(spark, d, "nation").select("n_nationkey", S.transformer_size(F.lit(24), k * 64, k * 256, F.lit(32000)).alias("r"))
     return x.select("n_nationkey", "r.parameters", "r.flops_per_token")
+
+
+# ---- prepared corpora and tokenizers as a whole -----------------------------
+
+
+def _prepared(spark, d):
+    ids = pack.byte_ids(F.col("text"))
+    return prepare.packed(docs(spark, d).select("doc_id", ids.alias("ids")), prepare.Plan(512, 400_000, 50_000, 5, rows_per_shard=100))
+
+
+@query(f"""WITH i AS (SELECT doc_id, strlen({TEXT}) AS b, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), n AS (SELECT *, CASE WHEN b > 0 THEN b + 1 ELSE 0 END AS t FROM i),
+c AS (SELECT *, coalesce(sum(CASE WHEN i >= 5 THEN t ELSE 0 END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+p AS (SELECT CASE WHEN before < 50000 THEN 'val' ELSE 'train' END AS phase, t FROM c WHERE i >= 5 AND before < 400000),
+r AS (SELECT phase, ceil(sum(t) / 512.0)::BIGINT AS n FROM p GROUP BY phase), s AS (SELECT phase, unnest(range(0, (n - 1) // 100 + 1)) AS shard, n FROM r)
+SELECT phase, shard, least(100, n - shard * 100)::BIGINT AS rows FROM s""")
+def prepare_corpus(spark, d):
+    return _prepared(spark, d).groupBy("phase", "shard").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT 'val' AS phase, 0::BIGINT AS shared UNION ALL SELECT 'train', 0")
+def region_overlap(spark, d):
+    x = mix.regions(filters.byte_token_count(docs(spark, d).select("doc_id", "text")), 5, 50_000, 400_000).select("doc_id", "phase")
+    val, train = x.where("phase = 'val'"), x.where("phase = 'train'")
+    n = mix.shared_rows(val, train).agg(F.count("*").alias("shared"))
+    return spark.createDataFrame([("val",), ("train",)], "phase string").crossJoin(n)
+
+
+@query("SELECT s AS seq, array_to_string(list_transform(range(1, 9), i -> list_extract([s % 97, (s + 1) % 97, (2 * s + 1) % 97, (3 * s + 2) % 97, (5 * s + 3) % 97, (8 * s + 5) % 97, (13 * s + 8) % 97, (21 * s + 13) % 97, (34 * s + 21) % 97], i)), ',') AS ids FROM (SELECT n_nationkey AS s FROM nation)")
+def recurrence_corpus(spark, d):
+    k = F.col("n_nationkey")
+    x = prepare.recurrence(spark, table(spark, d, "nation").select(k.alias("seq"), F.pmod(F.lit(1), F.lit(97)).alias("a"), F.pmod(k, F.lit(97)).alias("b")), 97, 8)
+    return x.select("seq", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT count(*) AS documents, 0::BIGINT AS changed FROM documents")
+def tokenizer_roundtrip(spark, d):
+    rows = table(spark, d, "token_merges").orderBy("merge_no").collect()
+    tok = tk.Tokenizer(tk.Config(4096, pre_tokenize="gpt2"), [(r["left_id"], r["right_id"]) for r in rows])
+    shared = spark.sparkContext.broadcast(tok)
+
+    @F.pandas_udf("bigint")
+    def changed(s):
+        t = shared.value
+        return s.map(lambda x: int(t.decode(t.encode(x, bos=True, eos=True)) != x))
+
+    return docs(spark, d).select(changed(F.coalesce("text", F.lit(""))).alias("c")).agg(F.count("*").alias("documents"), F.sum("c").alias("changed"))
+
+
+@query("""SELECT kind, n::BIGINT AS n FROM (SELECT 'byte' AS kind, 256 AS n UNION ALL SELECT 'merge', (SELECT count(*) FROM token_merges) UNION ALL SELECT 'special', 4)""")
+def vocabulary_layout(spark, d):
+    rows = table(spark, d, "token_merges").orderBy("merge_no").collect()
+    tok = tk.Tokenizer(tk.Config(4096), [(r["left_id"], r["right_id"]) for r in rows])
+    return tok.vocabulary(spark).groupBy("kind").agg(F.count("*").alias("n"))
