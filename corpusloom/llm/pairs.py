@@ -211,7 +211,8 @@ def is_refusal(text: str) -> bool:
 # ---- copy -------------------------------------------------------------------
 
 _ASKS_BACK = re.compile(
-    r"\b(?:repeat|say (?:the following|it|this) back|back to me|proofread|correct (?:the|this|my)|spell|typo|copy (?:the|this|out)|retype|echo|quote (?:the|this)|rewrite|"
+    r"(?:^|[.!?:\n]\s*)(?:(?:please|now|just|can you|could you|would you|bitte|kannst du|s.il (?:te|vous) pla[iî]t|peux-tu|pouvez-vous|por favor|puedes|podr[ií]as|пожалуйста)[\s,]+)*"
+    r"(?:repeat|say (?:the following|it|this)|proofread|correct (?:the|this|my)|spell|fix the|copy (?:the|this|out)|retype|echo|quote (?:the|this)|rewrite|"
     r"wiederhol\w*|korrig\w*|berichtig\w*|verbesser\w*|schreib\w* (?:das|dies\w*|den satz) ab|sprich nach|"
     r"r[ée]p[èée]te\w*|corrige\w*|recopie\w*|relis\w*|redis\w*|"
     r"repite\w*|repetir|corrig\w*|copia\w*|revisa la ortograf\w*|"
@@ -418,12 +419,13 @@ def breaks_off():
     """Whether a text ends inside a sentence: the longest run of last words with enough evidence decides.
 
     A last word never seen elsewhere is a word cut short.  Of texts of up to three
-    words only those ending in a word that ends next to no sentence break off.
+    words only those ending in a small-letter word that is such or ends next to no sentence break off.
     """
     by_share = F.lit(False)
     for i in (1, 2, 3):
         by_share = F.when(F.col(f"seen{i}") >= MIN_SEEN, F.col(f"ends{i}") < MAX_END_SHARE * F.col(f"seen{i}")).otherwise(by_share)
-    return F.when(F.col("n") <= 3, F.col("word") & (F.col("seen1") >= 20) & (F.col("ends1") < 0.02 * F.col("seen1"))).when(F.col("seen1") == 0, True).otherwise(by_share)
+    rare = (F.col("seen1") == 0) & (F.col("n") > 1)
+    return F.when(F.col("n") <= 3, F.col("word") & (rare | (F.col("seen1") >= 20) & (F.col("ends1") < 0.02 * F.col("seen1")))).when(F.col("seen1") == 0, True).otherwise(by_share)
 
 
 # ---- the operator -----------------------------------------------------------

@@ -92,6 +92,9 @@ _CODE = re.compile(
     r"|(?:continue|break|pass)\s*;?\s*$|(?:const|let|var|export|function|public|private|static|fn|use|impl|struct|pub|package)\s+[\w{*].*[;{(=]|#include\b"
     r"|(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|LEFT JOIN|JOIN|INSERT INTO|UPDATE|CREATE TABLE)\b|[}\])]+[;,]?\s*$|#\s\w.*$|//|\"\"\"|\w[\w.\[\]]*\s*[-+*/]?=\s*\S|assert\b)|[{};]\s*$|=>")
 _SENTENCE_END = re.compile(r"[.!?]\s*$")
+#: A heading as manuals and other project papers have it; such documents form no first centroids, or
+#: these would follow the manuals' wording and lose what is written about a subject in prose.
+_MANUAL = re.compile(r"^#{1,6} \S", re.M)
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
 
 
@@ -122,10 +125,11 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for d, t in zip(pdf["doc_id"], pdf["text"]):
             prose, code, formulas = units(t)
+            manual = int(bool(_MANUAL.search(t)))
             lang = L.identify(" ".join(prose), 1.0) if prose else None
             terms = [" ".join(w.lower() for w in _TERM.findall(u)) for u in prose]
-            out.append((d, lang if lang in SEEDS else "en", code, formulas, [x for x in terms if x]))
-        yield pd.DataFrame(out, columns=["doc_id", "lang", "code", "formulas", "units"])
+            out.append((d, lang if lang in SEEDS else "en", code, formulas, manual, [x for x in terms if x]))
+        yield pd.DataFrame(out, columns=["doc_id", "lang", "code", "formulas", "manual", "units"])
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,6 +299,7 @@ def _seed_of(model: Model, g: str, ids: np.ndarray, per: np.ndarray) -> np.ndarr
 
 
 def _start_part(model: Model, pdf: pd.DataFrame, total: dict) -> None:
+    pdf = pdf[pdf["manual"] == 0]
     for n, g in enumerate(LANGS):
         got = _sentences(model, pdf, n, g) if g in model.q else None
         if got is None:
@@ -318,8 +323,10 @@ def _located(model: Model, pdf: pd.DataFrame, n: int, g: str):
     return rows, ids, starts, per, doc, x, _with_neighbours(x, doc) @ model.centroids[g].T
 
 
-def _refine_part(least: float):
+def _refine_part(least: float, manuals: bool):
     def work(model: Model, pdf: pd.DataFrame, total: dict) -> None:
+        if not manuals:
+            pdf = pdf[pdf["manual"] == 0]
         for n, g in enumerate(LANGS):
             got = _located(model, pdf, n, g) if g in model.centroids else None
             if got is None:
@@ -362,9 +369,9 @@ def _vote_part(model: Model, pdf: pd.DataFrame, total: dict) -> None:
         _add(total, f"v|{g}", s)
 
 
-def _refine(encoded: DataFrame, model: Model, rounds: int, least: float, keep: float) -> None:
+def _refine(encoded: DataFrame, model: Model, rounds: int, least: float, keep: float, manuals: bool = True) -> None:
     for _ in range(rounds):
-        got = _sum_over(encoded, _refine_part(least), model)
+        got = _sum_over(encoded, _refine_part(least, manuals), model)
         for g, c in model.centroids.items():
             if f"c|{g}" in got:
                 model.centroids[g] = _unit_rows(_unit_rows(got[f"c|{g}"]) + keep * c)
@@ -377,7 +384,7 @@ def _fit_centroids(encoded: DataFrame, model: Model) -> None:
             m, s = got[f"m|{g}"], got[f"s|{g}"]
             model.mean[g] = m[:-1] / m[-1]
             model.centroids[g] = _unit_rows(s[:, :-1] - s[:, -1:] * model.mean[g])
-    _refine(encoded, model, SEED_ROUNDS, INTO_SEED, 0.5)
+    _refine(encoded, model, SEED_ROUNDS, INTO_SEED, 0.5, manuals=False)
     got = _sum_over(encoded, _further_part, model)
     for g, c in model.centroids.items():
         more = got.get(f"r|{g}")
@@ -421,7 +428,7 @@ def _encode(shared):
         model = shared.value
         for pdf in batches:
             out = []
-            for d, g, code, formulas, us, label in zip(pdf["doc_id"], pdf["lang"], pdf["code"], pdf["formulas"], pdf["units"], pdf["label"]):
+            for d, g, code, formulas, manual, us, label in zip(pdf["doc_id"], pdf["lang"], pdf["code"], pdf["formulas"], pdf["manual"], pdf["units"], pdf["label"]):
                 v = model.vocab.get(g, {})
                 ids, sizes = [], []
                 for u in us:
@@ -429,8 +436,8 @@ def _encode(shared):
                     if x:
                         ids += x
                         sizes.append(len(x))
-                out.append((d, LANGS.index(g), code, formulas, ids, sizes, label))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "code", "formulas", "ids", "sizes", "label"])
+                out.append((d, LANGS.index(g), code, formulas, manual, ids, sizes, label))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "code", "formulas", "manual", "ids", "sizes", "label"])
 
     return run
 
@@ -467,7 +474,7 @@ def _assign(shared):
 
 def prepare(documents: DataFrame) -> DataFrame:
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return rows.mapInPandas(_prepare, "doc_id bigint, lang string, code int, formulas int, units array<string>")
+    return rows.mapInPandas(_prepare, "doc_id bigint, lang string, code int, formulas int, manual int, units array<string>")
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[DataFrame, Model]:
@@ -489,7 +496,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[D
     one = labels.where("doc_id is not null and subject is not null").select("doc_id", _clean_label(names)(F.col("subject")).alias("j")).where("j >= 0").groupBy("doc_id").agg(F.min("j").alias("a"), F.max("j").alias("b"))
     one = one.where("a = b").select("doc_id", F.col("a").alias("label"))
     shared = spark.sparkContext.broadcast(model)
-    schema = "doc_id bigint, lang int, code int, formulas int, ids array<int>, sizes array<int>, label bigint"
+    schema = "doc_id bigint, lang int, code int, formulas int, manual int, ids array<int>, sizes array<int>, label bigint"
     encoded = cut(prepared.join(one, "doc_id", "left").na.fill(-1, ["label"]).mapInPandas(_encode(shared), schema))
     _fit_basis(encoded, model)
     _fit_centroids(encoded, model)
