@@ -77,6 +77,8 @@ DF_LEAST, DF_COUNT, DF_MOST, VOCABULARY = 0.002, 3, 0.5, 30_000
 NEAR = 0.3
 #: Least cosine to be counted into a centroid (seeds, all), to hold a sentence as near a seed, and to take its subject.
 INTO_SEED, INTO_ALL, NEAR_SEED, LEAST = 0.35, 0.3, 0.3, 0.2
+#: What a subject gains in a near tie by its share of the document.
+REST = 0.07
 #: A wording that occurs so often and spreads over so many subjects (exponential of entropy) deals with none.
 FILLER_COUNT, FILLER_SPREAD = 8, 5.0
 #: Share of labelled documents that must agree on a further centroid, and how many at least.
@@ -442,6 +444,23 @@ def _encode(shared):
     return run
 
 
+def _decide(sim: np.ndarray, owner: np.ndarray, doc: np.ndarray, docs: int, subjects: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosine and subject of each sentence; near ties go to what the rest of the document is about.
+
+    Many words belong to several subjects (court, match, key), so a subject gains up to
+    REST by its share of the document's sentences.
+    """
+    best = np.full((len(sim), subjects), -2.0)
+    for c in np.flatnonzero(owner >= 0):
+        best[:, owner[c]] = np.maximum(best[:, owner[c]], sim[:, c])
+    first, m = best.argmax(1), best.max(1)
+    held = np.zeros((docs, subjects))
+    k = m >= LEAST
+    np.add.at(held, (doc[k], first[k]), m[k])
+    held /= np.maximum(held.sum(1, keepdims=True), 1e-9)
+    return m, (best + REST * held[doc]).argmax(1)
+
+
 def _assign(shared):
     """(doc_id, skel, subject, n): a document's sentences by wording and subject; code and formulas without a wording."""
 
@@ -461,12 +480,11 @@ def _assign(shared):
                 if got is None:
                     continue
                 rows, ids, starts, per, doc, _, sim = got
-                sim = np.where(model.owner[g] >= 0, sim, -2.0)
-                a, m = sim.argmax(1), sim.max(1)
+                m, subject = _decide(sim, model.owner[g], doc, len(rows), len(model.subjects))
                 who = rows["doc_id"].to_numpy()
                 for u in np.flatnonzero(m >= LEAST):
                     wording = xxhash.xxh64_intdigest(ids[starts[u] : starts[u] + per[u]].tobytes(), n) - (1 << 63)
-                    out[who[doc[u]], wording, int(model.owner[g][a[u]])] += 1
+                    out[who[doc[u]], wording, int(subject[u])] += 1
             yield pd.DataFrame([(d, s, j, n) for (d, s, j), n in out.items()], columns=["doc_id", "skel", "subject", "n"]).astype({"skel": "Int64"})
 
     return run
