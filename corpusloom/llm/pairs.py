@@ -367,13 +367,14 @@ def _kind(tok: str) -> str:
 
 
 def end_keys(tokens: list[str], i: int) -> list[int]:
-    """Keys for "a sentence ends after token i": by word form, with one, two and three words; names by their last letters too."""
+    """Keys for "a sentence ends after token i": by word form, with one, two and three words; names by their last letters
+    too; and one for its standing last in a text without a mark."""
     t = tokens[i]
     k = _kind(t)
     own = f"N:{t[-3:].lower()}" if k == "N" else k
     p1 = _kind(tokens[i - 1]) if i else "^"
     p2 = _kind(tokens[i - 2]) if i > 1 else "^"
-    names = (f"1|{own}", f"2|{p1}|{k}", f"3|{p2}|{p1}|{k}")
+    names = (f"1|{own}", f"2|{p1}|{k}", f"3|{p2}|{p1}|{k}", f"0|{own}")
     return [_key(x) for x in names]
 
 
@@ -407,6 +408,9 @@ def _end_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if toks[i + 1] in _ENDS:
                         ends.update(runs)
                 p1, p2 = k, p1
+            if toks and toks[-1][0].isalnum():  # a text's last word without a mark: seen, but neither inside nor at an end
+                k = kinds[-1]
+                seen["0|" + ("N:" + toks[-1][-3:].lower() if k == "N" else k)] += 1
         yield pd.DataFrame({"key": [_key(x) for x in seen], "seen": list(seen.values()), "ends": [ends[x] for x in seen]})
 
 
@@ -424,7 +428,7 @@ def breaks_off():
     by_share = F.lit(False)
     for i in (1, 2, 3):
         by_share = F.when(F.col(f"seen{i}") >= MIN_SEEN, F.col(f"ends{i}") < MAX_END_SHARE * F.col(f"seen{i}")).otherwise(by_share)
-    rare = (F.col("seen1") == 0) & (F.col("n") > 1)
+    rare = (F.col("seen1") == 0) & (F.col("seen4") <= 2) & (F.col("n") > 1)
     return F.when(F.col("n") <= 3, F.col("word") & (rare | (F.col("seen1") >= 20) & (F.col("ends1") < 0.02 * F.col("seen1")))).when(F.col("seen1") == 0, True).otherwise(by_share)
 
 
@@ -499,7 +503,7 @@ def broken_pairs(conversations: DataFrame) -> DataFrame:
     )
     counted = spread.join(counts, "key", "left").groupBy("conv_id", "turn").agg(
         F.first("defect").alias("defect"), F.first("n").alias("n"), F.first("word").alias("word"),
-        *(F.coalesce(F.max(F.when(F.col("at") == i, F.col(c))), F.lit(0)).alias(f"{c}{i + 1}") for i in range(3) for c in ("seen", "ends")),
+        *(F.coalesce(F.max(F.when(F.col("at") == i, F.col(c))), F.lit(0)).alias(f"{c}{i + 1}") for i in range(4) for c in ("seen", "ends")),
     )
     proved = F.col("defect").isNull() & breaks_off()
     return counted.withColumn("defect", F.when(proved, "truncated").otherwise(F.col("defect"))).where("defect is not null").select("conv_id", "turn", "defect")

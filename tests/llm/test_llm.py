@@ -38,7 +38,7 @@ def filler(n=40):
 
 Q = "What should Arbo check before the boat reaches the mill?"
 CASES = [
-    (None, "empty"), ("", "empty"), ("  ", "empty"), ("N/A", "empty"), ("```\n```", "empty"), ("<p></p>", "empty"), ("[no response]", "empty"), ("Assistant:", "empty"), ("…", "empty"), ("OK 👍", None), ("Yes.", None), ("42", None), ("(B)", None),
+    (None, "empty"), ("", "empty"), ("  ", "empty"), ("N/A", "empty"), ("```\n```", "empty"), ("<p></p>", "empty"), ("[no response]", "empty"), ("Assistant:", "empty"), ("…", "empty"), ("OK 👍", None), ("Yes.", None), ("42", None), ("(B)", None), ("75 km", None),
     ("I'm sorry, but I can't help with that. I hope you understand.", "refusal"), ("SORRY, I AM NOT ABLE TO ANSWER THIS ONE.", "refusal"), ("So, the mill again. With respect, I have to decline the request.", "refusal"),
     ("I can't say for certain, but here is what is known. The river near Belin is a matter of patience.", None), ('You could write: "I\'m sorry, but I can\'t help with that this Monday." Then add a kind word.', None),
     (Q, "copy"), (Q.upper(), "copy"), (f"<p>{Q}</p>", "copy"), (f"You asked: {Q}", "copy"), ("What shuold Arbo check befor the boat reaches the mill", "copy"), (f"{Q}\n{Q}", "copy"), (f"{Q} The river near Belin is a matter of patience. Cado once lost the boat and found it beside the mill.", None),
@@ -50,6 +50,7 @@ CASES = [
 
 def test_broken_pairs(spark):
     turns = filler()
+    turns += [(2000 + i, j, r, x) for i in range(4) for j, r, x in ((0, "user", Q), (1, "bot", f"{i + 3} km"))]
     for i, (a, _) in enumerate(CASES):
         turns += [(i, 0, " Human", Q), (i, 3, "GPT ", a), (i, 3, "GPT ", a)]
     got = {r["conv_id"]: r["defect"] for r in pairs.broken_pairs(conv(spark, turns)).collect()}
