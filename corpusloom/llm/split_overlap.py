@@ -1,10 +1,11 @@
 """Same or near-same records across splits: an edit-distance segment join.
 
 Texts are taken as sequences of words (case, accents, markup, escaping and
-punctuation off) and compared by word edit distance: two texts of n and m words
-are near-same where it is at most ``k = floor(0.2 * max(n, m))``.  A passage moved as a
-whole counts twice in that distance, so a pair met is also taken if four fifths of
-the longer text's words stand in order in the other.
+punctuation off).  Two texts of n and m words are near-same where at least
+``need = ceil(0.8 * max(n, m))`` words stand in the same order in both.  Put as edits: at
+most n - need words of the one are deleted and at most m - need words of the other
+inserted, so their distance in deletions and insertions is at most ``k = n + m - 2 * need``
+(about two fifths of the length: a word replaced or moved counts twice).
 
 1. Records with the same words form one class per dataset, whatever their number;
    only classes are compared, and records come back by a join at the end.
@@ -14,16 +15,18 @@ the longer text's words stand in order in the other.
    k edits spoil at most k segments, so any choice of k + 1 will do; how rare words
    are is asked of all records, and only words of 0.05 % of them or more are listed.
 3. Training classes give out their windows of those lengths, less those that a
-   Bloom filter of (segment, allowed stretch of positions) rules out: it has a fixed size
-   and no false negatives.
+   Bloom filter of (segment, allowed stretch of positions), sized by the segments, rules out.
 4. Windows meet segments by hash at allowed positions: the first segment i up to
-   whose end there are fewer than i edits lies at most i - 1 words off, counted
-   from the start, and at most k + 1 - i words off, counted from the end.  Both sides
-   carry a 256-bit parity sketch of their words; k edits change at most 2k of its bits.
-5. The pairs left are verified once each by dynamic programming: the common subsequence
-   row by row, then the banded table of edits.
+   whose end there are fewer than i edits has none in it and exactly i - 1 before it.  So it
+   lies i - 1 words off, or an even number less, counted from the start, at most
+   k + 1 - i words off, counted from the end, and never further off than the deletions or
+   insertions allowed.  Both sides carry a 256-bit parity sketch of their words, of
+   which an edit changes one bit.
+5. Each pair left is decided once by banded dynamic programming: the table of edits
+   within n - need cells below and m - need cells above the diagonal, a row at a time in a machine word.
 
-Segments held by many classes are spread over salts, so no key gathers in one task.
+A segment held by many classes is spread over as many salts as its count asks for, so no key
+gathers in one task.
 
 Edge cases: null, blank or wordless texts match nothing; a record delivered again
 counts once; null or unknown splits take no part; a record on both sides pairs
@@ -38,84 +41,78 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_words, strip_space
 from ..session import cut
-from .pairs import lcs_length
-
-#: Greatest word edit distance as a share of the longer text's words.
-MAX_EDITS = 0.2
-#: Share of the longer text's words that must stand in order in the other where whole passages were moved.
-SAME_ORDER = 0.8
-SEGMENT = 3
-#: Bits of the Bloom filters: 2**25 bits are 4 MB, whatever the input; and words to a stretch of positions.
-BLOOM_BITS, STRETCH = 25, 16
-#: A segment of more than so many classes is dealt out over SALTS.
-HEAVY, SALTS = 64, 8
+from . import bloom
+from .bloom import mix as _mix
+
+#: Fifths of the longer text's words that must stand in order in the other.
+FIFTHS = 4
+#: Most words of a segment, and words to a stretch of positions.
+SEGMENT, STRETCH = 3, 16
+#: A segment of at least HEAVY classes and HEAVY_SHARE of all is dealt out, HEAVY classes to a salt, over at most
+#: SALTS.  There are at most (segments of a class) / HEAVY_SHARE such segments.
+HEAVY, HEAVY_SHARE, SALTS = 64, 0.0005, 1024
 #: Words of at least this share of records are listed with their frequency; at most (words of a record) / COMMON can be.
 COMMON = 0.0005
 
 
+def words_needed(n: int, m: int) -> int:
+    """Words that texts of n and m words must have in order."""
+    return -(-FIFTHS * max(n, m) // 5)
+
+
 def edits_allowed(n: int, m: int) -> int:
-    return int(MAX_EDITS * max(n, m))
+    """Deletions and insertions that two such texts may be apart; below 0 if their lengths forbid it."""
+    return n + m - 2 * words_needed(n, m)
 
 
 def most_edits(n: int) -> int:
-    """The most edits that a text of n words may be away from any partner."""
-    longest = n
-    while longest + 1 - n <= edits_allowed(n, longest + 1):
-        longest += 1
-    return edits_allowed(n, longest)
-
-
-def banded_distance(a, b, k: int) -> int:
-    """Edit distance of two sequences if at most k, else k + 1; only cells within k of the diagonal."""
-    n, m = len(a), len(b)
-    if abs(n - m) > k:
-        return k + 1
-    i = 0
-    while i < min(n, m) and a[i] == b[i]:
-        i += 1
-    a, b = a[i:], b[i:]
-    while len(a) and len(b) and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    n, m = len(a), len(b)
-    if not n or not m:
-        return min(max(n, m), k + 1)
-    big = k + 1
-    prev = [j if j <= k else big for j in range(m + 1)]
-    for i in range(1, n + 1):
-        lo, hi = max(1, i - k), min(m, i + k)
-        cur = [big] * (m + 1)
-        if i <= k:
-            cur[0] = i
-        best = cur[0] if i <= k else big
-        x = a[i - 1]
-        for j in range(lo, hi + 1):
-            v = prev[j - 1] if x == b[j - 1] else 1 + min(prev[j - 1], prev[j], cur[j - 1])
-            cur[j] = v
-            if v < best:
-                best = v
-        if best > k:
-            return k + 1
-        prev = cur
-    return min(prev[m], k + 1)
+    """The most edits that a text of n words may be away from any partner: one as long, or a little longer."""
+    return max(edits_allowed(n, m) for m in range(n, n + 6) if words_needed(n, m) <= n)
 
 
-# ---- hashing ----------------------------------------------------------------
-
-_M = np.uint64(0x9E3779B97F4A7C15)
+def near_same(a: list, b: list) -> bool:
+    """Whether b comes from a by at most n - need deletions and m - need insertions.
 
+    Dynamic programming over the cells that so many edits can reach, bit i of ``row`` being 0 where the
+    best alignment of a[:i + 1] keeps one word more than that of a[:i].  A pair is given up as
+    soon as more words of b are without a partner than may be inserted.
+    """
+    need = words_needed(len(a), len(b))
+    deletes, inserts = len(a) - need, len(b) - need
+    if deletes < 0 or inserts < 0:
+        return False
+    i, n, m = 0, len(a), len(b)
+    while i < n and i < m and a[i] == b[i]:
+        i += 1
+    while n > i and m > i and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    need -= len(a) - (n - i)
+    a, b = a[i:n], b[i:m]
+    if need <= 0:
+        return True
+    where: dict = {}
+    for j, x in enumerate(a):
+        where[x] = where.get(x, 0) | (1 << j)
+    full = (1 << len(a)) - 1
+    band = (1 << (deletes + inserts + 1)) - 1
+    row = full
+    for j, y in enumerate(b):
+        at = where.get(y, 0)
+        if at:
+            at &= band << (j - inserts) if j > inserts else band >> (inserts - j)
+            kept = row & at
+            row = ((row + kept) | (row - kept)) & full
+        if j & 15 == 15 and len(a) - row.bit_count() + inserts <= j:
+            return False
+    return len(a) - row.bit_count() >= need
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = x * _M
-        x ^= x >> np.uint64(29)
-        x = x * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
 
+# ---- hashing ----------------------------------------------------------------
 
 def _window_hashes(ids: np.ndarray, size: int, dataset: int) -> np.ndarray:
     """A hash of each run of ``size`` word ids in a dataset."""
@@ -218,57 +215,26 @@ def _segments(shared):
     return run
 
 
-def _bits(h: np.ndarray, stretch) -> tuple[np.ndarray, np.ndarray]:
-    u = _mix(h ^ (np.asarray(stretch).astype(np.uint64) + np.uint64(1)))
-    return (u >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), (u & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+def _placed(h: np.ndarray, stretch: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """One hash for a segment at the even or odd positions of a stretch."""
+    return _mix(h ^ (2 * stretch + (odd & 1) + 1).astype(np.uint64))
 
 
-def _blooms(spark: SparkSession, segments: DataFrame):
-    """Two broadcast Bloom filters: (segment, stretch) pairs, and heavy segments.  Their size is fixed."""
+def _allowed(pdf: pd.DataFrame) -> np.ndarray:
+    """Hashes of the segments at all stretches where a partner may have them: off by at most i - 1 words (and
+    by an even number of words less than that), by a fifth of the length to the front and a quarter to the back."""
+    h = pdf["h"].to_numpy(np.int64).view(np.uint64)
+    n, s, i = (pdf[c].to_numpy(np.int64) for c in ("n", "s", "i"))
+    lo = np.maximum(0, s - np.minimum(i - 1, n // 5)) // STRETCH
+    hi = (s + np.minimum(i - 1, n // 4)) // STRETCH
+    out = [_placed(h[k], (lo + step)[k], (s + i - 1)[k]) for step in range(int((hi - lo).max(initial=0)) + 1) if (k := lo + step <= hi).any()]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
-    def partial(batches):
-        fine, heavy = np.zeros(1 << BLOOM_BITS, bool), np.zeros(1 << BLOOM_BITS, bool)
-        some = False
-        for pdf in batches:
-            some = True
-            h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-            s, i = pdf["s"].to_numpy(np.int64), pdf["i"].to_numpy(np.int64)
-            lo, hi = np.maximum(0, s - i + 1) // STRETCH, (s + i - 1) // STRETCH
-            for step in range(int((hi - lo).max(initial=0)) + 1):
-                k = lo + step <= hi
-                for x in _bits(h[k], (lo + step)[k]):
-                    fine[x] = True
-            k = pdf["df"].to_numpy() > HEAVY
-            for x in _bits(h[k], np.zeros(int(k.sum()))):
-                heavy[x] = True
-        if some:
-            yield pd.DataFrame({"name": ["fine", "heavy"], "bits": [np.packbits(fine).tobytes(), np.packbits(heavy).tobytes()]})
-
-    def merge(pdf):
-        acc = np.frombuffer(pdf["bits"].iloc[0], np.uint8).copy()
-        for b in pdf["bits"].iloc[1:]:
-            acc |= np.frombuffer(b, np.uint8)
-        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "bits": [acc.tobytes()]})
-
-    schema = "name string, bits binary"
-    # Built by at most 64 tasks and merged in two rounds, so what is moved has a fixed bound.
-    parts = segments.select("h", "s", "i", "df").coalesce(64).mapInPandas(partial, schema).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(8)))
-    once = parts.groupBy("g", "name").applyInPandas(lambda p: merge(p[["name", "bits"]]), schema)
-    got = {r["name"]: bytes(r["bits"]) for r in once.groupBy("name").applyInPandas(merge, schema).collect()}
-    blank = bytes((1 << BLOOM_BITS) // 8)
-    return spark.sparkContext.broadcast((got.get("fine", blank), got.get("heavy", blank)))
-
-
-def _windows(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fine, heavy = (np.frombuffer(x, np.uint8) for x in shared.value)
-
-        def has(bits, xs):
-            ok = True
-            for x in xs:
-                ok = ok & ((bits[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1).astype(bool)
-            return ok
 
+def _windows(shared, salts):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        heavy, times_of = salts.value
         for pdf in batches:
             parts: list[tuple] = []
             for d, c, ws in zip(pdf["dataset_id"], pdf["cls"], pdf["words"]):
@@ -276,39 +242,26 @@ def _windows(shared):
                 ds = _dataset_hash(d)
                 hs = [_window_hashes(ids, s, ds) for s in range(1, SEGMENT + 1)]
                 h, p = np.concatenate(hs), np.concatenate([np.arange(len(x)) for x in hs])
-                keep = has(fine, _bits(h, p // STRETCH))
+                keep = known.has(_placed(h, p // STRETCH, p))
                 h, p = h[keep], p[keep]
                 if len(h):
-                    salts = np.where(has(heavy, _bits(h, np.zeros(len(h)))), SALTS, 1)
-                    parts.append((h, p, salts, c, len(ids), sketch(ids)))
+                    parts.append((h, p, c, len(ids), sketch(ids)))
             if not parts:
                 continue
-            times = np.concatenate([x[2] for x in parts])
             many = [len(x[0]) for x in parts]
-            frame = {"h": np.concatenate([x[0] for x in parts]).view(np.int64), "t_cls": np.repeat([x[3] for x in parts], many), "m": np.repeat([x[4] for x in parts], many), "p": np.concatenate([x[1] for x in parts])}
-            frame |= {f"t{b + 1}": np.repeat([x[5][b] for x in parts], many) for b in range(4)}
-            out = pd.DataFrame(frame)
-            again = np.repeat(np.arange(len(out)), times)
-            out = out.iloc[again].assign(salt=np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times))
-            yield out
+            h = np.concatenate([x[0] for x in parts]).view(np.int64)
+            frame = {"h": h, "t_cls": np.repeat([x[2] for x in parts], many), "m": np.repeat([x[3] for x in parts], many), "p": np.concatenate([x[1] for x in parts])}
+            frame |= {f"t{b + 1}": np.repeat([x[4][b] for x in parts], many) for b in range(4)}
+            times = np.ones(len(h), np.int64)
+            if len(heavy):
+                at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                times = np.where(heavy[at] == h, times_of[at], 1)
+            again = np.repeat(np.arange(len(h)), times)
+            yield pd.DataFrame(frame).iloc[again].assign(salt=np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times))
 
     return run
 
 
-def near_same(a: list, b: list) -> bool:
-    """At most k edits, or, where passages were moved, SAME_ORDER of the longer text's words in order in the other.
-
-    Each edit costs the longest common subsequence one word at most, so a pair short of
-    that is settled without the banded table.
-    """
-    longer = max(len(a), len(b))
-    k = edits_allowed(len(a), len(b))
-    common = lcs_length(a, b)
-    if longer - common > k and common < SAME_ORDER * longer:
-        return False
-    return banded_distance(a, b, k) <= k or common >= SAME_ORDER * longer
-
-
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep = [near_same(a.tolist(), b.tolist()) for a, b in zip(pdf["v_words"], pdf["t_words"])]
@@ -322,19 +275,26 @@ def class_pairs(members: DataFrame) -> DataFrame:
     val, train = classes.where("v = 1"), classes.where("t = 1")
     often = spark.sparkContext.broadcast(common_words(classes))
     schema = "h bigint, v_cls bigint, n int, i int, s int, v1 bigint, v2 bigint, v3 bigint, v4 bigint"
-    seg = val.select("dataset_id", "cls", "words").mapInPandas(_segments(often), schema)
-    kept = cut(seg.withColumn("df", F.count("*").over(Window.partitionBy("h"))))
-    v = kept.withColumn("salt", F.when(F.col("df") > HEAVY, F.pmod(F.xxhash64("v_cls"), F.lit(SALTS))).otherwise(0).cast("int")).drop("df")
+    seg = cut(val.select("dataset_id", "cls", "words").mapInPandas(_segments(often), schema))
+    size = seg.agg(F.count("*").alias("segments"), F.coalesce(F.sum(1 + F.floor(F.col("n") / (2 * STRETCH))), F.lit(0)).alias("entries"), F.count(F.when(F.col("i") == 1, 1)).alias("classes")).first()
+    least = max(HEAVY, HEAVY_SHARE * size["classes"])
+    heavy = seg.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("h", F.least(F.ceil(F.col("df") / HEAVY), F.lit(SALTS)).cast("int").alias("salts")).orderBy("h").collect()
+    salts = spark.sparkContext.broadcast((np.array([r["h"] for r in heavy], np.int64), np.array([r["salts"] for r in heavy], np.int64)))
+    dealt = seg.join(F.broadcast(spark.createDataFrame([(r["h"], r["salts"]) for r in heavy], "h bigint, salts int")), "h", "left")
+    v = dealt.withColumn("salt", F.pmod(F.xxhash64("v_cls"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     schema = "h bigint, t_cls bigint, m int, p int, t1 bigint, t2 bigint, t3 bigint, t4 bigint, salt int"
-    t = train.select("dataset_id", "cls", "words").mapInPandas(_windows(_blooms(spark, kept)), schema)
-    k = F.floor(F.lit(MAX_EDITS) * F.greatest("n", "m"))
-    shift, i = F.col("p") - F.col("s"), F.col("i")
+    known = bloom.build(seg.select("h", "n", "i", "s"), size["entries"], _allowed)
+    t = train.select("dataset_id", "cls", "words").mapInPandas(_windows(known, salts), schema)
+    need = F.expr(f"({FIFTHS} * greatest(n, m) + 4) div 5")
+    deletes, inserts, k = F.col("n") - need, F.col("m") - need, F.col("n") + F.col("m") - 2 * need
+    shift, before = F.col("p") - F.col("s"), F.col("i") - 1
+    rest, after = F.col("m") - F.col("n") - shift, k - before
     differ = sum((F.bit_count(F.col(f"v{b}").bitwiseXOR(F.col(f"t{b}"))) for b in range(1, 5)), F.lit(0))
-    met = (
-        v.join(t, ["h", "salt"])
-        .where((F.abs(F.col("n") - F.col("m")) <= k) & (F.abs(shift) <= i - 1) & (F.abs(shift - (F.col("m") - F.col("n"))) <= k + 1 - i) & (differ <= 2 * k) & (F.col("v_cls") != F.col("t_cls")))
-        .select("v_cls", "t_cls").distinct()
+    allowed = (
+        (deletes >= 0) & (inserts >= 0) & (shift >= -F.least(before, deletes)) & (shift <= F.least(before, inserts)) & ((shift - before) % 2 == 0)
+        & (rest >= -F.least(after, deletes)) & (rest <= F.least(after, inserts)) & (differ <= k) & (F.col("v_cls") != F.col("t_cls"))
     )
+    met = v.join(t, ["h", "salt"]).where(allowed).select("v_cls", "t_cls").distinct()
     met = met.join(val.select("dataset_id", F.col("cls").alias("v_cls"), F.col("words").alias("v_words")), "v_cls")
     met = met.join(train.select(F.col("cls").alias("t_cls"), F.col("words").alias("t_words")), "t_cls")
     near = met.mapInPandas(_verify, "dataset_id string, v_cls bigint, t_cls bigint")
@@ -364,8 +324,16 @@ def clean_source(source):
 
 
 def report(records: DataFrame, stages: DataFrame) -> DataFrame:
-    """Per dataset, evaluation split and source: its records, and how many have a near-same training record."""
-    hit = overlaps(records, stages).select("dataset_id", F.col("v_id").alias("record_id")).distinct().withColumn("hit", F.lit(1))
+    """Per dataset, evaluation split and source: its records, and how many have a near-same training record.
+
+    Worked out by class, so that texts which repeat on both sides are not expanded into pairs: a
+    record has a partner if a training class near its own holds any record but itself.
+    """
+    members = cut(sided(records, stages))
+    held = members.where("in_train = 1").groupBy("dataset_id", F.col("cls").alias("t_cls")).agg(F.min("record_id").alias("lo"), F.max("record_id").alias("hi"))
+    near = class_pairs(members).join(held, ["dataset_id", "t_cls"]).groupBy("dataset_id", F.col("v_cls").alias("cls")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    vals = members.where("in_val = 1").select("dataset_id", "cls", "record_id")
+    hit = vals.join(near, ["dataset_id", "cls"]).where("lo <> record_id or hi <> record_id").select("dataset_id", "record_id").distinct().withColumn("hit", F.lit(1))
     norm = lambda c: F.lower(strip_space(F.col(c)))
     vals = stages.select("dataset_id", norm("val_split").alias("split")).distinct()
     rows = records.select("record_id", "dataset_id", norm("split").alias("split"), clean_source(F.col("source")).alias("source")).distinct()
