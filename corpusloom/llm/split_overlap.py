@@ -45,17 +45,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_words, strip_space
-from ..session import cut
+from ..session import cut, shuffle_width
 from . import bloom
 from .bloom import mix as _mix
 
 #: Fifths of the longer text's words that must stand in order in the other.
 FIFTHS = 4
-#: Most words of a segment, and words to a stretch of positions.
-SEGMENT, STRETCH = 3, 16
-#: A segment of at least HEAVY classes and HEAVY_SHARE of all is dealt out, HEAVY classes to a salt, over at most
-#: SALTS.  There are at most (segments of a class) / HEAVY_SHARE such segments.
-HEAVY, HEAVY_SHARE, SALTS = 64, 0.0005, 1024
+#: Most words of a segment.
+SEGMENT = 3
+#: Bytes of a segment's row when hashed, and the most bytes of them to a part for a hashed join.
+ROW_BYTES, HASHED = 160, 128 << 20
+#: Bits (a power of two) of the sketches that pairs met are compared by before their words are.
+WIDE = 11
+#: A key of at least HEAVY classes and HEAVY_SHARE of all is dealt out, HEAVY classes to a salt, over at most
+#: SALTS.  There are at most (keys of a class) / HEAVY_SHARE such keys.
+HEAVY, HEAVY_SHARE, SALTS = 2048, 0.0005, 1024
 #: Words of at least this share of records are listed with their frequency; at most (words of a record) / COMMON can be.
 COMMON = 0.0005
 
@@ -129,12 +133,17 @@ def _dataset_hash(d: str) -> int:
     return xxhash.xxh64_intdigest(d)
 
 
-def sketch(ids: np.ndarray) -> list[int]:
-    """256 bits: the parity of the number of words that hash to each."""
-    odd = np.bincount((_mix(ids) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+def sketch(ids: np.ndarray, log2: int = 8) -> list[int]:
+    """256 bits (or 2**log2): the parity of the number of words that hash to each."""
+    odd = np.bincount((_mix(ids) >> np.uint64(64 - log2)).astype(np.int64), minlength=1 << log2) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _wide_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"cls": pdf["cls"], "n": [len(ws) for ws in pdf["words"]], "sketch": [sketch(_ids(ws), WIDE) for ws in pdf["words"]]})
+
+
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
     for pdf in batches:
@@ -200,37 +209,47 @@ def segments_of(words: list[int], often: dict[int, int]) -> list[tuple[int, int]
     return [(p, min(p + SEGMENT, q)) for p, q in zip(at, [*at[1:], n])]
 
 
+def _width(n):
+    """Bits of the stretches of positions for texts of n words: 16 words, or more than a 32nd of the length."""
+    return np.maximum(4, np.log2(np.maximum(n, 1)).astype(np.int64) - 4)
+
+
+def _key(h: np.ndarray, place: np.ndarray, width) -> np.ndarray:
+    """One hash for a segment at the even or odd positions of a stretch."""
+    return _mix(h ^ ((2 * (place >> width) + (place & 1)) * 64 + width + 1).astype(np.uint64))
+
+
 def _segments(shared):
+    """A row for every segment and stretch where a partner may have it: off by at most i - 1 words (and by an
+    even number of words less), by a fifth of the length to the front and a quarter to the back.  At most 16 stretches each."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = shared.value
         for pdf in batches:
-            out = []
+            parts = []
             for d, c, ws in zip(pdf["dataset_id"], pdf["cls"], pdf["words"]):
-                ids = _ids(ws)
-                h = {s: _window_hashes(ids, s, _dataset_hash(d)).view(np.int64) for s in range(1, SEGMENT + 1)}
-                k = sketch(ids)
-                out += [(int(h[e - b][b]), c, len(ids), i, b, *k) for i, (b, e) in enumerate(segments_of(ws.tolist(), often), 1)]
-            yield pd.DataFrame(out, columns=["h", "v_cls", "n", "i", "s", "v1", "v2", "v3", "v4"])
+                ids, n = _ids(ws), len(ws)
+                hs = {s: _window_hashes(ids, s, _dataset_hash(d)) for s in range(1, SEGMENT + 1)}
+                segs = segments_of(ws.tolist(), often)
+                h = np.array([hs[e - b][b] for b, e in segs], np.uint64)
+                s, i = np.array([b for b, _ in segs]), np.arange(1, len(segs) + 1)
+                w = int(_width(n))
+                lo, hi = np.maximum(0, s - np.minimum(i - 1, n // 5)) >> w, (s + np.minimum(i - 1, n // 4)) >> w
+                many = hi - lo + 1
+                at = np.repeat(np.arange(len(segs)), many)
+                stretch = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + lo[at]
+                keys = _key(h[at], (stretch << w) + ((s + i - 1) & 1)[at], w)
+                parts.append((keys, c, n, i[at], s[at], sketch(ids)))
+            if parts:
+                many = [len(x[0]) for x in parts]
+                rep = lambda xs: np.repeat(xs, many)  # noqa: B023, E731
+                frame = {"key": np.concatenate([x[0] for x in parts]).view(np.int64), "v_cls": rep([x[1] for x in parts]), "n": rep([x[2] for x in parts])}
+                frame |= {"i": np.concatenate([x[3] for x in parts]), "s": np.concatenate([x[4] for x in parts])}
+                yield pd.DataFrame(frame | {f"v{b + 1}": rep([x[5][b] for x in parts]) for b in range(4)})
 
     return run
 
 
-def _placed(h: np.ndarray, stretch: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """One hash for a segment at the even or odd positions of a stretch."""
-    return _mix(h ^ (2 * stretch + (odd & 1) + 1).astype(np.uint64))
-
-
-def _allowed(pdf: pd.DataFrame) -> np.ndarray:
-    """Hashes of the segments at all stretches where a partner may have them: off by at most i - 1 words (and
-    by an even number of words less than that), by a fifth of the length to the front and a quarter to the back."""
-    h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-    n, s, i = (pdf[c].to_numpy(np.int64) for c in ("n", "s", "i"))
-    lo = np.maximum(0, s - np.minimum(i - 1, n // 5)) // STRETCH
-    hi = (s + np.minimum(i - 1, n // 4)) // STRETCH
-    out = [_placed(h[k], (lo + step)[k], (s + i - 1)[k]) for step in range(int((hi - lo).max(initial=0)) + 1) if (k := lo + step <= hi).any()]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
 def _windows(shared, salts):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
@@ -238,19 +257,21 @@ def _windows(shared, salts):
         for pdf in batches:
             parts: list[tuple] = []
             for d, c, ws in zip(pdf["dataset_id"], pdf["cls"], pdf["words"]):
-                ids = _ids(ws)
+                ids, m = _ids(ws), len(ws)
                 ds = _dataset_hash(d)
                 hs = [_window_hashes(ids, s, ds) for s in range(1, SEGMENT + 1)]
                 h, p = np.concatenate(hs), np.concatenate([np.arange(len(x)) for x in hs])
-                keep = known.has(_placed(h, p // STRETCH, p))
-                h, p = h[keep], p[keep]
-                if len(h):
-                    parts.append((h, p, c, len(ids), sketch(ids)))
+                # Partners are of four to five quarters of this length, so of one width or two.
+                for w in sorted({int(_width(-(-4 * m // 5))), int(_width(5 * m // 4))}):
+                    key = _key(h, p, w)
+                    keep = known.has(key)
+                    if keep.any():
+                        parts.append((key[keep], p[keep], c, m, sketch(ids)))
             if not parts:
                 continue
             many = [len(x[0]) for x in parts]
             h = np.concatenate([x[0] for x in parts]).view(np.int64)
-            frame = {"h": h, "t_cls": np.repeat([x[2] for x in parts], many), "m": np.repeat([x[3] for x in parts], many), "p": np.concatenate([x[1] for x in parts])}
+            frame = {"key": h, "t_cls": np.repeat([x[2] for x in parts], many), "m": np.repeat([x[3] for x in parts], many), "p": np.concatenate([x[1] for x in parts])}
             frame |= {f"t{b + 1}": np.repeat([x[4][b] for x in parts], many) for b in range(4)}
             times = np.ones(len(h), np.int64)
             if len(heavy):
@@ -274,27 +295,37 @@ def class_pairs(members: DataFrame) -> DataFrame:
     classes = cut(members.groupBy("dataset_id", "cls").agg(F.first("words").alias("words"), F.max("in_train").alias("t"), F.max("in_val").alias("v")))
     val, train = classes.where("v = 1"), classes.where("t = 1")
     often = spark.sparkContext.broadcast(common_words(classes))
-    schema = "h bigint, v_cls bigint, n int, i int, s int, v1 bigint, v2 bigint, v3 bigint, v4 bigint"
+    schema = "key bigint, v_cls bigint, n int, i int, s int, v1 bigint, v2 bigint, v3 bigint, v4 bigint"
     seg = cut(val.select("dataset_id", "cls", "words").mapInPandas(_segments(often), schema))
-    size = seg.agg(F.count("*").alias("segments"), F.coalesce(F.sum(1 + F.floor(F.col("n") / (2 * STRETCH))), F.lit(0)).alias("entries"), F.count(F.when(F.col("i") == 1, 1)).alias("classes")).first()
-    least = max(HEAVY, HEAVY_SHARE * size["classes"])
-    heavy = seg.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("h", F.least(F.ceil(F.col("df") / HEAVY), F.lit(SALTS)).cast("int").alias("salts")).orderBy("h").collect()
-    salts = spark.sparkContext.broadcast((np.array([r["h"] for r in heavy], np.int64), np.array([r["salts"] for r in heavy], np.int64)))
-    dealt = seg.join(F.broadcast(spark.createDataFrame([(r["h"], r["salts"]) for r in heavy], "h bigint, salts int")), "h", "left")
+    size = classes.agg(F.count("*").alias("classes"), F.count_if(F.col("v") == 1).alias("val")).first()
+    df = cut(seg.groupBy("key").agg(F.count("*").alias("df")))
+    size = df.agg(F.count("*").alias("keys"), F.coalesce(F.sum("df"), F.lit(0)).alias("rows")).first().asDict() | size.asDict()
+    least = max(HEAVY, HEAVY_SHARE * size["val"])
+    heavy = df.where(F.col("df") >= least).select("key", F.least(F.ceil(F.col("df") / HEAVY), F.lit(SALTS)).cast("int").alias("salts")).orderBy("key").collect()
+    salts = spark.sparkContext.broadcast((np.array([r["key"] for r in heavy], np.int64), np.array([r["salts"] for r in heavy], np.int64)))
+    dealt = seg.join(F.broadcast(spark.createDataFrame([(r["key"], r["salts"]) for r in heavy], "key bigint, salts int")), "key", "left")
     v = dealt.withColumn("salt", F.pmod(F.xxhash64("v_cls"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    schema = "h bigint, t_cls bigint, m int, p int, t1 bigint, t2 bigint, t3 bigint, t4 bigint, salt int"
-    known = bloom.build(seg.select("h", "n", "i", "s"), size["entries"], _allowed)
+    schema = "key bigint, t_cls bigint, m int, p int, t1 bigint, t2 bigint, t3 bigint, t4 bigint, salt int"
+    known = bloom.of_column(df, "key", size["keys"])
     t = train.select("dataset_id", "cls", "words").mapInPandas(_windows(known, salts), schema)
+    n, m, i, p, s = (F.col(c) for c in ("n", "m", "i", "p", "s"))
     need = F.expr(f"({FIFTHS} * greatest(n, m) + 4) div 5")
-    deletes, inserts, k = F.col("n") - need, F.col("m") - need, F.col("n") + F.col("m") - 2 * need
-    shift, before = F.col("p") - F.col("s"), F.col("i") - 1
-    rest, after = F.col("m") - F.col("n") - shift, k - before
+    deletes, inserts, k = n - need, m - need, n + m - 2 * need
+    shift, after = p - s, k - i + 1
+    rest = m - n - shift
     differ = sum((F.bit_count(F.col(f"v{b}").bitwiseXOR(F.col(f"t{b}"))) for b in range(1, 5)), F.lit(0))
+    # Cheap bounds come first; the key leaves shifts of the right parity only.
     allowed = (
-        (deletes >= 0) & (inserts >= 0) & (shift >= -F.least(before, deletes)) & (shift <= F.least(before, inserts)) & ((shift - before) % 2 == 0)
-        & (rest >= -F.least(after, deletes)) & (rest <= F.least(after, inserts)) & (differ <= k) & (F.col("v_cls") != F.col("t_cls"))
+        (shift < i) & (-shift < i) & (5 * -shift <= n) & (4 * shift <= n) & (4 * n <= 5 * m) & (4 * m <= 5 * n) & (F.col("v_cls") != F.col("t_cls")) & (differ <= k)
+        & (-shift <= deletes) & (shift <= inserts) & (-rest <= F.least(after, deletes)) & (rest <= F.least(after, inserts))
     )
-    met = v.join(t, ["h", "salt"]).where(allowed).select("v_cls", "t_cls").distinct()
+    if size["rows"] * ROW_BYTES <= HASHED * shuffle_width(spark):  # each part of the segments fits in memory with room to spare
+        v = v.hint("shuffle_hash")
+    met = t.join(v, ["key", "salt"]).where(allowed).select("v_cls", "t_cls").distinct()
+    wide = classes.mapInPandas(_wide_sketches, "cls bigint, n int, sketch array<bigint>")
+    a, b = (wide.select(F.col("cls").alias(f"{x}_cls"), F.col("n").alias(y), F.col("sketch").alias(x)) for x, y in (("v", "n"), ("t", "m")))
+    differ = F.aggregate(F.zip_with("v", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    met = met.join(a, "v_cls").join(b, "t_cls").where(differ <= k).select("v_cls", "t_cls")
     met = met.join(val.select("dataset_id", F.col("cls").alias("v_cls"), F.col("words").alias("v_words")), "v_cls")
     met = met.join(train.select(F.col("cls").alias("t_cls"), F.col("words").alias("t_words")), "t_cls")
     near = met.mapInPandas(_verify, "dataset_id string, v_cls bigint, t_cls bigint")
