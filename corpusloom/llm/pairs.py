@@ -4,11 +4,11 @@ Every assistant turn is paired with the nearest user turn before it and gets at
 most one defect, looked for in this order:
 
 * ``empty``: null, blank, or nothing but a placeholder, marks or bare markup;
-* ``refusal``: every sentence aligns (token LCS) with a refusal, courtesy or
-  acknowledgement template, and at least one with a refusal;
-* ``copy``: shingle containment both ways between answer and question, with
-  LCS over slip-tolerant tokens as the check; not where the question asks for
-  the text back;
+* ``refusal``: every sentence aligns (LCS of tokens, in Japanese of characters) with a pattern
+  of act and object that declines, or of courtesy, and at least one declines (``llm.refusals``);
+* ``copy``: shingle containment both ways between answer and question, always confirmed by
+  LCS: over slip-tolerant tokens, or over characters where words are run together, spaced out or
+  moved; not where the question, in any of its sentences, asks for the text back;
 * ``truncated``: an open bracket, quotation or code block, an unfinished list, or
   a last sentence that ends where sentences of this corpus do not end;
 * ``other_language``: most of the answer is in another language than the
@@ -17,7 +17,8 @@ most one defect, looked for in this order:
 Where sentences end is measured over all turns: for the last one, two and three
 words before every sentence end or inner position, how often a sentence ends
 there.  The counts are aggregated per batch and then by key, and only answers
-without a closing mark are joined to them, by shuffle.
+without a closing mark are joined to them: by broadcast for the keys that many of them
+share, whose number has a bound, else by shuffle.
 
 Edge cases: rows with a null ``conv_id`` or ``turn`` form no pair; repeated
 deliveries of one (conv_id, turn) count once (the earliest ``ingested_at``; of ties the smallest content);
@@ -38,10 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, role, unwrap
+from ..session import cut
 from . import lang as L
+from .refusals import aligned, is_refusal
 
 #: Turns per block: a conversation longer than this is worked on in blocks.
 TURN_BLOCK = 512
+#: A key of last words that so large a share of the undecided answers have, and so many of them, is a common one.
+SHARED_KEY, SHARED_LEAST = 0.001, 1000
 
 # ---- empty ------------------------------------------------------------------
 
@@ -71,141 +76,16 @@ def is_empty(text: str | None) -> bool:
 
 _EMOJI = re.compile("[☀-➿\U0001f300-\U0001faff]")
 
-# ---- refusal ----------------------------------------------------------------
-
-#: Ways to decline.  ``*`` stands for any few words.
-REFUSALS = tuple(x.split() for x in """
-i am not able to answer this one|i m not able to help with that|i am unable to help with that|i cannot help with that|i can t help with that
-i cannot assist with that request|i can t assist with that|i won t be able to help with this|i cannot answer that|i can t answer that question
-i have to decline the request|i must decline|i decline to answer|i d rather not get into *|i would rather not discuss *|i prefer not to answer
-this is something i won t go into|i will not go into *|i won t discuss *|that falls outside what i may talk about|that is outside what i can discuss
-my guidelines keep me from replying to questions about *|my guidelines do not allow me to answer|it wouldn t be appropriate for me to respond
-it would not be appropriate for me to answer|no answer can be given here|i can give no answer|such content is not something i produce
-i do not produce such content|i do not have the ability to assist with *|i lack the ability to help with *|i was not built for requests like this
-i am not designed to handle such requests|i m going to pass on this|i will pass on this one|providing that would not be right so i stop here
-i can t provide that|i cannot provide that information|* is a topic i must leave alone|that is a topic i avoid|you ll need to ask somebody else about *
-you will have to ask someone else about *|i can t comply with this request|i am not allowed to answer this|i m not permitted to talk about *
-as an ai language model i cannot *|against my policy to answer|i refuse to answer|i can t share that|i must leave this unanswered
-je ne peux pas t aider sur ce point|je ne peux pas vous aider|je ne peux pas répondre à cette question|je suis désolé mais je ne peux pas répondre
-il m est impossible de répondre à cette demande|cette question dépasse ce que je peux traiter|je dois décliner|je préfère ne pas aborder *
-je préfère ne pas répondre|mieux vaut demander à quelqu un d autre pour *|je ne suis pas en mesure de répondre|je ne suis pas autorisé à répondre
-dabei kann ich nicht helfen|das liegt außerhalb dessen was ich leisten kann|dazu gebe ich keine auskunft|diese anfrage darf ich nicht beantworten
-diese frage kann ich nicht beantworten|hier muss ich passen|ich möchte mich zu diesem thema nicht äußern|ich kann dir dabei nicht helfen
-ich kann diese frage nicht beantworten|ich muss ablehnen|das muss ich ablehnen|zu * sage ich lieber nichts|zu * musst du jemand anderen fragen
-ich bin nicht in der lage zu antworten|frag zu * lieber jemand anderen|darüber spreche ich nicht|für * fragst du besser jemand anderen
-debo declinar|eso queda fuera de lo que puedo tratar|no me es posible responder a esta petición|no puedo ayudarte con eso|prefiero no hablar de *
-tendrás que preguntar a otra persona por *|no puedo responder a esa pregunta|no estoy autorizado a responder|me niego a responder|no puedo ayudar
-no estoy en condiciones de responder|lamento no poder ayudarte
-я не могу помочь с этим|я не могу ответить на этот вопрос|я вынужден отказаться|я не отвечаю на такие вопросы|мне нельзя об этом говорить
-с этим я помочь не могу|я предпочитаю не говорить о *|об этом лучше спросить кого нибудь другого|это выходит за рамки того что я могу обсуждать
-""".replace("\n", "|").strip("|").split("|"))
-_JA_REFUSAL = re.compile("お答えできません|お答えできない|答えられません|お手伝いできません|お断り|応じられません|回答できません|回答は控え|対応できません|お話しできません|控えさせて")
-
-#: Sentences and openings that may stand around a refusal and answer nothing.
-COURTESIES = tuple(x.split() for x in """
-i hope you understand|let me know if another topic would do|is there anything else on your mind|please turn to a trained person|* can assist you
-perhaps * can assist you|maybe * can help you|please consult a professional|is there something else i can help with|feel free to ask something else
-thank you for understanding|thanks for asking|so * again|* is an interesting choice|you would like to hear more about *|you asked about *|you want to know about *
-i m sorry|i am sorry|sorry|apologies|i apologise|my apologies|unfortunately|hmm|with respect|to be plain|as an assistant|as an ai|regrettably
-n hésite pas à poser une autre question|* pourra peut être t aider|* pourra t aider|désolé|je regrette|malheureusement|en tant qu assistant|merci de ta compréhension
-frag gern etwas anderes|vielleicht hilft * weiter|es tut mir leid|entschuldigung|leider|als assistent sage ich|kann ich sonst noch helfen|als assistent
-te ayudo con otro tema|tal vez * pueda ayudarte|lo siento|disculpa|lamentablemente|como asistente|espero que lo entiendas|puedo ayudarte con otra cosa
-извините|к сожалению|как помощник|простите|могу ли я помочь с чем то другим|надеюсь на понимание|задайте другой вопрос|возможно * сможет помочь
-""".replace("\n", "|").strip("|").split("|"))
-_SENT = re.compile(r"(?<=[.!?。！？…])\s+|(?<=。)|\n+|(?<=:)\s+")
-
-
 def _tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", fold(text))
 
 
-_REFUSAL_T = tuple([w if w == "*" else fold(w) for w in t] for t in REFUSALS)
-_COURTESY_T = tuple([w if w == "*" else fold(w) for w in t] for t in COURTESIES)
-_REFUSAL_WORDS = {w for t in _REFUSAL_T for w in t if w != "*"}
-
-
-def lcs_length(a: list, b: list) -> int:
+def lcs_length(a, b) -> int:
     """Length of the longest common subsequence, row by row in a machine word."""
     where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b:
-        u = row & where.get(y, 0)
-        row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
-
-
-def _fits(sentence: list[str], template: list[str], slack: float) -> bool:
-    """Whether the sentence is the template: LCS covers it, with ``*`` for up to eight words."""
-    fixed = [w for w in template if w != "*"]
-    got = lcs_length(fixed, sentence)
-    room = 8 * (len(template) - len(fixed))
-    return got >= max(1, round(slack * len(fixed))) and len(sentence) - got <= max(room, round((1 - slack) * len(sentence)))
-
-
-_OPENERS = tuple(sorted((t for t in _COURTESY_T if "*" not in t), key=len, reverse=True))
-
-
-def _index(templates) -> tuple[dict[str, list[int]], list[int]]:
-    """Templates by their words, and how many different words each has."""
-    by: dict[str, list[int]] = {}
-    for n, t in enumerate(templates):
-        for w in {w for w in t if w != "*"}:
-            by.setdefault(w, []).append(n)
-    return by, [len({w for w in t if w != "*"}) for t in templates]
-
-
-_REFUSAL_BY, _COURTESY_BY = _index(_REFUSAL_T), _index(_COURTESY_T)
-
-
-def _near(s: list[str], templates, index):
-    """Templates that share enough words with the sentence to fit it."""
-    by, sizes = index
-    hits: dict[int, int] = {}
-    for w in set(s):
-        for n in by.get(w, ()):
-            hits[n] = hits.get(n, 0) + 1
-    return [templates[n] for n, k in hits.items() if k >= 0.7 * sizes[n] - 1]
-
-
-def _align(s: list[str]) -> str:
-    """refusal, courtesy or other, by the best-aligned template; an opening courtesy is taken off first."""
-    if not s:
-        return "courtesy"
-    for t in _near(s, _COURTESY_T, _COURTESY_BY):
-        if _fits(s, t, 1.0 if len(t) < 4 else 0.85):
-            return "courtesy"
-    variants = [s]
-    for t in _OPENERS:
-        if s[: len(t)] == t:
-            rest = s[len(t):]
-            variants.append(rest[1:] if rest[:1] and rest[0] in ("but", "aber", "mais", "pero", "но") else rest)
-            break
-    for v in variants:
-        if len(v) >= 2 and any(_fits(v, t, 0.8) for t in _near(v, _REFUSAL_T, _REFUSAL_BY)):
-            return "refusal"
-    return "other"
-
-
-def is_refusal(text: str) -> bool:
-    if len(text) > 900:
-        return False
-    if _JA_REFUSAL.search(text):
-        return len(text) < 200
-    kinds = []
-    for part in _SENT.split(unwrap(text)):
-        s = _tokens(part)
-        if not s:
-            continue
-        if len(s) > 40:
-            return False
-        k = _align(s)
-        if k == "other":
-            return False
-        kinds.append(k)
-    return "refusal" in kinds
+    return aligned(where, len(a), b)
 
 
 # ---- copy -------------------------------------------------------------------
@@ -252,8 +132,13 @@ def _lcs_slips(a: list[str], b: list[str]) -> int:
     return lcs_length([w if w in known else next((x for x in long if _same_word(w, x)), w) for w in a], b)
 
 
+def _asks_back(question: str) -> bool:
+    """Whether any sentence of the question asks for the text back; what it quotes does not ask."""
+    return bool(_ASKS_BACK.search(_QUOTED.sub(" ", question)))
+
+
 def is_copy(question: str | None, answer: str) -> bool:
-    if not question or len(answer) > 3 * len(question) + 200 or _ASKS_BACK.search(question[:160]) or _ASKS_BACK.search(question[-160:]):
+    if not question:
         return False
     a, q = _squash(answer), _squash(question)
     if len(a) < 12 or len(q) < 12:
@@ -265,17 +150,18 @@ def is_copy(question: str | None, answer: str) -> bool:
         if len(wa) > 1.6 * len(wq):  # given back more than once
             times = round(len(wa) / len(wq))
             got = sum(_lcs_slips(wa[i * len(wa) // times : (i + 1) * len(wa) // times], wq) for i in range(times)) / times
-            return got >= 0.7 * len(wq) and got * times >= 0.8 * len(wa)
+            return got >= 0.7 * len(wq) and got * times >= 0.8 * len(wa) and not _asks_back(question)
         got = _lcs_slips(wa, wq)
         if got >= 0.8 * len(wa) and got >= 0.65 * len(wq):
-            return True
-        if both >= 0.9 * len(A) and both >= 0.75 * len(Q) and len(a) <= 1.2 * len(q):  # words run together, spaced out or in another order
-            return True
+            return not _asks_back(question)
+        # Words run together, spaced out or moved: the same characters, most of them in order.
+        if both >= 0.9 * len(A) and both >= 0.75 * len(Q) and (got := lcs_length(a, q)) >= 0.8 * len(a) and got >= 0.65 * len(q):
+            return not _asks_back(question)
     last = [x for x in re.split(r"(?<=[.!?])\s+|\n+", question.strip()) if x.strip()]
     if len(last) > 1:
         e = _squash(last[-1])
         E = _shingles(e)
-        return len(E) >= 20 and len(A & E) >= 0.92 * max(len(E), len(A))
+        return len(E) >= 20 and len(A & E) >= 0.92 * max(len(E), len(A)) and lcs_length(a, e) >= 0.9 * max(len(a), len(e)) and not _asks_back(question)
     return False
 
 
@@ -438,9 +324,9 @@ def breaks_off():
 def answers(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, answer, question): each assistant turn with the nearest user turn before it.
 
-    Conversations are worked on in blocks of ``TURN_BLOCK`` turns, so that one of
-    any length spreads over tasks; the last user turn of earlier blocks is then
-    brought in by a join that only answers without one in their block take part in.
+    Conversations are worked on in blocks of ``TURN_BLOCK`` turns, so that one of any length
+    spreads over tasks.  If any turn lies beyond the first block, answers without a question in
+    their block take the last one of the nearest block before (``_carried``).
     """
     rows = conversations.select(
         F.col("conv_id").alias("conv_id"), F.col("turn").alias("turn"), role(F.col("role")).alias("role"), F.col("content").alias("content"), F.col("ingested_at").alias("ingested_at")
@@ -450,19 +336,34 @@ def answers(conversations: DataFrame) -> DataFrame:
     x = rows.withColumn("again", F.lag("turn").over(w) == F.col("turn")).withColumn("q", F.last(asked, ignorenulls=True).over(w))
     own = x.where("role = 'assistant' and (again is null or not again)")
     found = own.where("q is not null").select("conv_id", "turn", F.col("content").alias("answer"), F.col("q.content").alias("question"))
-    late = own.where(f"q is null and turn >= {TURN_BLOCK}").select("conv_id", "turn", "block", F.col("content").alias("answer"))
-    tails = (
-        rows.where("role = 'user'").join(late.select("conv_id").distinct(), "conv_id", "left_semi")
-        .groupBy("conv_id", F.col("block").alias("b")).agg(F.max_by("content", "turn").alias("question"))
-    )
-    before = (
-        late.join(tails, (late.conv_id == tails.conv_id) & (tails.b < late.block))
-        .groupBy(late.conv_id.alias("conv_id"), late.turn.alias("turn")).agg(F.max_by(F.struct("answer", "question"), "b").alias("p"))
-        .select("conv_id", "turn", F.col("p.answer").alias("answer"), F.col("p.question").alias("question"))
-    )
+    span = conversations.agg(F.min("turn").alias("lo"), F.max("turn").alias("hi")).first()
+    if span["hi"] is None or span["hi"] // TURN_BLOCK == span["lo"] // TURN_BLOCK:
+        return found
+    late = own.where("q is null").select("conv_id", "turn", "block", F.col("content").alias("answer"))
+    tails = rows.where("role = 'user'").groupBy("conv_id", "block").agg(F.max_by(F.struct(F.col("content").alias("question")), "turn").alias("q"))
+    carried = _carried(tails, late.select("conv_id", "block").distinct(), span["hi"] // TURN_BLOCK - span["lo"] // TURN_BLOCK)
+    before = late.join(carried, ["conv_id", "block"]).select("conv_id", "turn", "answer", F.col("q.question").alias("question"))
     return found.unionByName(before)
 
 
+def _carried(tails: DataFrame, wanted: DataFrame, blocks: int) -> DataFrame:
+    """(conv_id, block, q): for each wanted block the ``q`` of the nearest block before it that has one.
+
+    Looked for among the ``TURN_BLOCK`` blocks of a block of blocks and, where there is none, one level
+    up; so no task ever sorts more than so many of a conversation's blocks.
+    """
+    up = lambda df: df.withColumn("above", F.floor(F.col("block") / TURN_BLOCK))
+    both = up(tails).select("conv_id", "above", "block", "q", F.lit(False).alias("want")).unionByName(up(wanted).select("conv_id", "above", "block", F.lit(None).cast(tails.schema["q"].dataType).alias("q"), F.lit(True).alias("want")))
+    w = Window.partitionBy("conv_id", "above").orderBy("block", F.desc("want"))  # the wanted one first: its own block's comes after it
+    seen = both.withColumn("q", F.last("q", ignorenulls=True).over(w)).where("want")
+    here = seen.where("q is not null").select("conv_id", "block", "q")
+    if blocks < 1:
+        return here
+    open_ = seen.where("q is null").select("conv_id", "above", "block")
+    higher = _carried(up(tails).groupBy("conv_id", "above").agg(F.max_by("q", "block").alias("q")).withColumnRenamed("above", "block"), open_.select("conv_id", F.col("above").alias("block")).distinct(), blocks // TURN_BLOCK)
+    return here.unionByName(open_.join(higher.withColumnRenamed("block", "above"), ["conv_id", "above"]).select("conv_id", "block", "q"))
+
+
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
@@ -494,19 +395,23 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def broken_pairs(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, defect): one row per defective answer."""
     schema = "conv_id bigint, turn bigint, defect string, keys array<bigint>, n int, word boolean"
-    judged = answers(conversations).mapInPandas(_judge, schema)
-    spread = judged.select("conv_id", "turn", "defect", "n", "word", F.posexplode_outer("keys").alias("at", "key"))
-    counts = (
+    judged = cut(answers(conversations).mapInPandas(_judge, schema))
+    decided = judged.where("defect is not null").select("conv_id", "turn", "defect")
+    asked = judged.where("defect is null").select("conv_id", "turn", "n", "word", F.posexplode("keys").alias("at", "key"))
+    # Last words that many answers share would gather in one task: their counts, at most 4 / SHARED_KEY of them, are broadcast.
+    total = judged.where("defect is null").count()
+    common = asked.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= max(SHARED_LEAST, SHARED_KEY * total)).select("key")
+    counts = cut(
         conversations.select(F.col("content").alias("content")).where("content is not null")
-        .mapInPandas(_end_counts, "key bigint, seen bigint, ends bigint")
-        .groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+        .mapInPandas(_end_counts, "key bigint, seen bigint, ends bigint").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
     )
-    counted = spread.join(counts, "key", "left").groupBy("conv_id", "turn").agg(
-        F.first("defect").alias("defect"), F.first("n").alias("n"), F.first("word").alias("word"),
-        *(F.coalesce(F.max(F.when(F.col("at") == i, F.col(c))), F.lit(0)).alias(f"{c}{i + 1}") for i in range(4) for c in ("seen", "ends")),
+    few = cut(common.join(counts, "key", "left"))
+    of_few = asked.join(F.broadcast(few), "key")
+    of_rest = asked.join(F.broadcast(few.select("key")), "key", "left_anti").join(counts, "key", "left")
+    counted = of_few.unionByName(of_rest).groupBy("conv_id", "turn").agg(
+        F.first("n").alias("n"), F.first("word").alias("word"), *(F.coalesce(F.max(F.when(F.col("at") == i, F.col(c))), F.lit(0)).alias(f"{c}{i + 1}") for i in range(4) for c in ("seen", "ends"))
     )
-    proved = F.col("defect").isNull() & breaks_off()
-    return counted.withColumn("defect", F.when(proved, "truncated").otherwise(F.col("defect"))).where("defect is not null").select("conv_id", "turn", "defect")
+    return decided.unionByName(counted.where(breaks_off()).select("conv_id", "turn", F.lit("truncated").alias("defect")))
 
 
 def defect_report(conversations: DataFrame) -> DataFrame:

@@ -68,11 +68,47 @@ def test_broken_pairs_requests_for_the_text(spark):
     assert pairs.broken_pairs(conv(spark, [])).collect() == []
 
 
-def test_long_conversations_cross_blocks(spark):
+def test_long_conversations_cross_blocks(spark, monkeypatch):
     n = pairs.TURN_BLOCK
-    turns = [(1, 0, "user", Q), (1, n + 5, "assistant", ""), (1, 3 * n, "assistant", Q), (1, 3 * n + 1, "user", "Another one here?"), (1, 4 * n + 2, "assistant", Q)]
+    turns = [(1, 0, "user", Q), (1, n + 5, "assistant", ""), (1, 3 * n, "assistant", Q), (1, 3 * n + 1, "user", "Another one here?"), (1, 4 * n + 2, "assistant", Q), (2, 7 * n, "assistant", Q)]
     got = {r["turn"]: r["question"] for r in pairs.answers(conv(spark, turns)).collect()}
     assert got == {n + 5: Q, 3 * n: Q, 4 * n + 2: "Another one here?"}
+    monkeypatch.setattr(pairs, "TURN_BLOCK", 4)
+    rng = random.Random(8)
+    turns, want = [], {}
+    for c in range(6):
+        asked = False
+        for t in sorted(rng.sample(range(900), 60)):
+            r = "user" if rng.random() < 0.04 else "assistant"
+            turns.append((c, t, r, f"{c} {t}"))
+            if r == "user":
+                asked = f"{c} {t}"
+            elif asked:
+                want[c, t] = asked
+    turns += [(7, 2, "user", None), (7, 50, "assistant", "x")]
+    want[7, 50] = None
+    assert {(r["conv_id"], r["turn"]): r["question"] for r in pairs.answers(conv(spark, turns)).collect()} == want
+
+
+def test_held_out_refusals():
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.dirname(__file__))
+    from held_out import REFUSALS, SOUND
+
+    found = sum(map(pairs.is_refusal, REFUSALS))
+    wrong = sum(map(pairs.is_refusal, SOUND))
+    assert len(REFUSALS) >= 100 and len(SOUND) >= 100
+    assert found >= 0.95 * len(REFUSALS) and found / (found + wrong) >= 0.97
+
+
+def test_requests_inside_long_questions():
+    text = "The river near Belin is a matter of patience and of good boats."
+    long = "Arbo lives by the mill. " * 12
+    assert pairs.is_copy(f"{long}Please repeat the next line. {text}", text) is False
+    assert pairs.is_copy(f"{long}{text}", f"{long}{text}") and pairs.is_copy(text, " ".join([text] * 9))
+    assert pairs.is_copy(text, text.replace(" ", "")) and not pairs.is_copy(f'Repeat: "{text}"', text)
 
 
 @settings(max_examples=200, deadline=None)
