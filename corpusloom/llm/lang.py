@@ -48,6 +48,10 @@ _URL = re.compile(r"https?://\S+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*|\n+")
 
 
+def is_function_word(w: str) -> bool:
+    return w in _WORD_LANGS
+
+
 def without_code(text: str) -> str:
     return _URL.sub(" ", _CODE.sub("\n", text))
 

@@ -1,21 +1,21 @@
 """Subject areas of documents: term weighting, truncated SVD, refined centroids.
 
 1. Each document is cut into sentences (or lines) and terms, its language told by
-   function words and script; lines of program code count for ``software`` and lines
-   with formulas for ``mathematics`` at once.
+   function words and script.  A line of program code, and one with a formula, has a mark for its term.
 2. Terms that at least 0.2 % and at most half of a language's documents hold make its
-   vocabulary, so it is bounded by the mean number of terms of a document over 0.002.
+   vocabulary, all of them; their number is bounded by the mean number of different terms of a document over 0.002.
    Documents are weighted (1 + ln tf) * ln(n / df), at unit length, and centred.
 3. Truncated SVD of that matrix per language, by subspace iteration over all
-   documents: every task adds up its part of M'(MQ), the parts are added in two
-   rounds, and Q is made orthogonal on the driver.  A sentence is the idf-weighted
-   sum of its terms' rows.
-4. Seed centroids come from a few key words per subject and language; further ones
-   from the sentences of labelled documents that no key word's centroid is near.
-   Both are refined over all sentences in turns.  A further centroid belongs to the
+   documents: tasks add up their part of M'(MQ), the parts are added up a tree with a fixed
+   fan-in, and Q is made orthogonal on the driver.  The two marks have an axis each, beside those of
+   the SVD.  A sentence is the idf-weighted sum of its terms' rows.
+4. Seed centroids come from a few key words per subject and language, those of marks from the marks; a subject without
+   key words takes the words of its name and description.  Further centroids come
+   from the sentences of labelled documents that no seed centroid is near.
+   All are refined over all sentences in turns.  A further centroid belongs to the
    subject that most labelled documents at it have; if they don't agree it is dropped.
    So labels may be wrong or few: they vote, by documents.
-5. A sentence, with some of its neighbours', takes the subject of the nearest centroid.
+5. A sentence, with some of its neighbours' of its kind, takes the subject of the centroid with the greatest cosine.
    Wordings that come with documents of five or more subjects alike (fillers, menus,
    figures of speech, quiz passages) deal with none.  A document has each subject of a
    quarter or more of its sentences with a subject.
@@ -69,10 +69,14 @@ SEEDS = {
            "travel": "旅行 旅館 空港", "music": "旋律 作曲 合唱", "mathematics": "定理 方程式 積分"},
 }
 LANGS = tuple(SEEDS)
+#: What stands for a line of code and one with a formula, and the subject whose seed it is.
+MARKS = {"\x01": "software", "\x02": "mathematics"}
 #: Columns of the SVD per language, rounds of its iteration, and of refining the seeds and all centroids.
 RANK, SVD_ROUNDS, SEED_ROUNDS, ALL_ROUNDS = 40, 5, 3, 4
-#: Bounds of a vocabulary: document frequency at least (share, count), at most (share), and terms at most.
-DF_LEAST, DF_COUNT, DF_MOST, VOCABULARY = 0.002, 3, 0.5, 30_000
+#: Bounds of a vocabulary: document frequency at least (share, count) and at most (share).
+DF_LEAST, DF_COUNT, DF_MOST = 0.002, 3, 0.5
+#: Parts of a sum for each core, and how many are added at a time.
+PARTS, FAN = 4, 16
 #: Weight of each of the two neighbours on either side.
 NEAR = 0.3
 #: Least cosine to be counted into a centroid (seeds, all), to hold a sentence as near a seed, and to take its subject.
@@ -123,6 +127,7 @@ def units(text: str) -> tuple[list[str], int, int]:
 
 
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    code_mark, formula_mark = MARKS
     for pdf in batches:
         out = []
         for d, t in zip(pdf["doc_id"], pdf["text"]):
@@ -130,8 +135,8 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             manual = int(bool(_MANUAL.search(t)))
             lang = L.identify(" ".join(prose), 1.0) if prose else None
             terms = [" ".join(w.lower() for w in _TERM.findall(u)) for u in prose]
-            out.append((d, lang if lang in SEEDS else "en", code, formulas, manual, [x for x in terms if x]))
-        yield pd.DataFrame(out, columns=["doc_id", "lang", "code", "formulas", "manual", "units"])
+            out.append((d, lang if lang in SEEDS else "en", manual, [x for x in terms if x] + [code_mark] * code + [formula_mark] * formulas))
+        yield pd.DataFrame(out, columns=["doc_id", "lang", "manual", "units"])
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,24 +145,46 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, us in zip(pdf["lang"], pdf["units"]):
             if len(us):
                 c[lang, ""] += 1
-                c.update((lang, w) for w in {w for u in us for w in u.split()})
+                c.update((lang, w) for w in {w for u in us for w in u.split() if w not in MARKS})
         yield pd.DataFrame({"lang": [k[0] for k in c], "term": [k[1] for k in c], "df": list(c.values())})
 
 
 class Model:
-    """Vocabulary, weights and, once there, basis and centroids of each language."""
+    """Vocabulary, weights and, once there, basis and centroids of each language.
 
-    def __init__(self, subjects: list[str], terms: dict[str, list[tuple[str, float]]]) -> None:
+    The marks have the ids behind the vocabulary's; until the basis is made ``q`` has no rows for them.
+    """
+
+    def __init__(self, subjects: list[str], terms: dict[str, list[tuple[str, float]]], seeds: dict[str, dict[str, str]]) -> None:
         self.subjects = subjects
-        self.vocab = {g: {w: n for n, (w, _) in enumerate(ts)} for g, ts in terms.items()}
-        self.idf = {g: np.array([x for _, x in ts], np.float32) for g, ts in terms.items()}
-        rng = np.random.default_rng(7)
-        self.q = {g: np.linalg.qr(rng.standard_normal((len(ts), min(RANK, len(ts)))).astype(np.float32))[0] for g, ts in terms.items() if ts}
+        self.vocab = {g: {w: n for n, w in enumerate([*(w for w, _ in ts), *MARKS])} for g, ts in terms.items()}
+        self.size = {g: len(ts) for g, ts in terms.items()}
+        self.idf = {g: np.array([x for _, x in ts] + [1.0] * len(MARKS), np.float32) for g, ts in terms.items()}
+        self.q = {g: np.linalg.qr(np.random.default_rng([7, LANGS.index(g)]).standard_normal((len(ts), min(RANK, len(ts)))).astype(np.float32))[0] for g, ts in terms.items()}
         self.mean: dict[str, np.ndarray] = {}
         self.centroids: dict[str, np.ndarray] = {}
         self.owner: dict[str, np.ndarray] = {}
         place = {s: n for n, s in enumerate(subjects)}
-        self.seed = {g: {self.vocab[g][w]: place[s] for s, ws in SEEDS[g].items() if s in place for w in ws.split() if w in self.vocab[g]} for g in self.q}
+        self.marks = [place.get(s, -1) for s in MARKS.values()]
+        self.seed = {g: {self.vocab[g][w]: place[s] for s, ws in seeds.get(g, {}).items() if s in place for w in ws.split() if w in self.vocab[g]} for g in self.q}
+
+    def add_marks(self) -> None:
+        """An axis of its own for each mark, beside those of the SVD."""
+        k = len(MARKS)
+        for g, q in self.q.items():
+            self.q[g] = np.block([[q, np.zeros((len(q), k), np.float32)], [np.zeros((k, q.shape[1]), np.float32), np.eye(k, dtype=np.float32)]])
+
+
+def seeds_for(subjects: DataFrame, names: list[str]) -> dict[str, dict[str, str]]:
+    """Key words by language and subject; where there are none, the words of the subject's name and description."""
+    known = {s for ws in SEEDS.values() for s in ws}
+    new = [n for n in names if n not in known]
+    if not new:
+        return SEEDS
+    descr = F.col("descr") if "descr" in subjects.columns else F.lit("")
+    rows = subjects.where("subject is not null").select(F.lower(strip_space(F.col("subject"))).alias("s"), F.coalesce(descr, F.lit("")).alias("d")).collect()
+    own = {n: " ".join(w for r in rows if r["s"] == n for w in _TERM.findall(f"{n} {r['d']}".lower()) if len(w) > 3 and not L.is_function_word(w)) for n in new}
+    return {g: ws | own for g, ws in SEEDS.items()}
 
 
 def _flat(pdf: pd.DataFrame, g: int):
@@ -191,9 +218,11 @@ def _add(total: dict, key: str, x: np.ndarray) -> None:
 def _sum_over(df: DataFrame, work, model: Model) -> dict[str, np.ndarray]:
     """Runs ``work(model, chunk, total)`` over all rows and adds up the arrays in ``total`` by key.
 
-    Arrays are of model size.  Parts of tasks are added within 32 groups first, then by key.
+    Arrays are of model size.  There are PARTS of them for each core at most, whatever the number of rows;
+    they are added FAN at a time, level by level, so no task holds more than FAN.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -206,12 +235,16 @@ def _sum_over(df: DataFrame, work, model: Model) -> dict[str, np.ndarray]:
         acc = np.frombuffer(pdf["data"].iloc[0], np.float64).copy()
         for b in pdf["data"].iloc[1:]:
             acc += np.frombuffer(b, np.float64)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "shape": [pdf["shape"].iloc[0]], "data": [acc.tobytes()]})
+        return pdf[["g", "key", "shape"]].head(1).assign(data=[acc.tobytes()])
 
     schema = "key string, shape array<int>, data binary"
-    parts = df.mapInPandas(run, schema).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32)))
-    once = parts.groupBy("g", "key").applyInPandas(lambda p: merge(p[["key", "shape", "data"]]), schema)
-    rows = once.groupBy("key").applyInPandas(merge, schema).collect()
+    most = PARTS * spark.sparkContext.defaultParallelism
+    left = min(df.rdd.getNumPartitions(), most)
+    parts = df.coalesce(most).mapInPandas(run, schema).withColumn("g", F.spark_partition_id())
+    while left > 1:
+        left = -(-left // FAN)
+        parts = parts.withColumn("g", F.pmod("g", F.lit(left))).groupBy("g", "key").applyInPandas(merge, "g int, " + schema)
+    rows = parts.collect()
     shared.unpersist()
     return {r["key"]: np.frombuffer(r["data"], np.float64).reshape(list(r["shape"])) for r in rows}
 
@@ -225,8 +258,11 @@ def _svd_part(model: Model, pdf: pd.DataFrame, total: dict) -> None:
         if flat is None:
             continue
         rows, ids, per, unit_doc, _ = flat
-        v = len(model.idf[g])
-        doc = np.repeat(unit_doc, per)
+        v = model.size[g]
+        doc, prose = np.repeat(unit_doc, per), ids < v
+        doc, ids = doc[prose], ids[prose]
+        if not len(ids):
+            continue
         key, tf = np.unique(doc.astype(np.int64) * v + ids, return_counts=True)
         d, t = key // v, key % v
         w = (1 + np.log(tf)) * model.idf[g][t]
@@ -251,11 +287,12 @@ def _fit_basis(encoded: DataFrame, model: Model) -> None:
         got = _sum_over(encoded, _svd_part, model)
         for g in list(model.q):
             if f"z|{g}" not in got:
-                del model.q[g]
+                model.q[g] = model.q[g][:, :0]
                 continue
             z, n = got[f"z|{g}"], got[f"n|{g}"][0]
             mu = z[:, -1:] / n
             model.q[g] = np.linalg.qr(z[:, :-1] - n * mu @ (mu.T @ model.q[g]))[0].astype(np.float32)
+    model.add_marks()
 
 
 # ---- sentences and centroids ------------------------------------------------
@@ -277,10 +314,10 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _with_neighbours(x: np.ndarray, doc: np.ndarray, kind: np.ndarray) -> np.ndarray:
     out = x.copy()
     for s in (1, 2):
-        same = (doc[s:] == doc[:-s])[:, None]
+        same = ((doc[s:] == doc[:-s]) & (kind[s:] == kind[:-s]))[:, None]
         out[s:] += NEAR * x[:-s] * same
         out[:-s] += NEAR * x[s:] * same
     return _unit_rows(out)
@@ -306,13 +343,14 @@ def _start_part(model: Model, pdf: pd.DataFrame, total: dict) -> None:
         got = _sentences(model, pdf, n, g) if g in model.q else None
         if got is None:
             continue
-        _, ids, per, _, _, raw, weight = got
+        _, ids, per, _, starts, raw, weight = got
         j = _seed_of(model, g, ids, per)
         k = j >= 0
         s = np.zeros((len(model.subjects), raw.shape[1] + 1))
         np.add.at(s, j[k], np.c_[raw[k] / weight[k, None], 1 / weight[k]])
         _add(total, f"s|{g}", s)
-        _add(total, f"m|{g}", np.r_[raw.sum(0), len(raw)])
+        prose = ids[starts] < model.size[g]
+        _add(total, f"m|{g}", np.r_[raw[prose].sum(0), prose.sum()])
 
 
 def _located(model: Model, pdf: pd.DataFrame, n: int, g: str):
@@ -322,7 +360,8 @@ def _located(model: Model, pdf: pd.DataFrame, n: int, g: str):
         return None
     rows, ids, per, doc, starts, raw, weight = got
     x = (raw - model.mean[g]) / weight[:, None]
-    return rows, ids, starts, per, doc, x, _with_neighbours(x, doc) @ model.centroids[g].T
+    kind = np.maximum(ids[starts] - model.size[g], -1)
+    return rows, ids, starts, per, doc, x, _with_neighbours(x, doc, kind) @ model.centroids[g].T
 
 
 def _refine_part(least: float, manuals: bool):
@@ -384,8 +423,11 @@ def _fit_centroids(encoded: DataFrame, model: Model) -> None:
     for g in model.q:
         if f"m|{g}" in got:
             m, s = got[f"m|{g}"], got[f"s|{g}"]
-            model.mean[g] = m[:-1] / m[-1]
-            model.centroids[g] = _unit_rows(s[:, :-1] - s[:, -1:] * model.mean[g])
+            model.mean[g] = m[:-1] / max(m[-1], 1)
+        else:  # manuals only
+            model.mean[g], s = np.zeros(model.q[g].shape[1]), np.zeros((len(model.subjects), model.q[g].shape[1] + 1))
+        marks = model.q[g][model.size[g]:] - model.mean[g]  # what all lines with a mark are
+        model.centroids[g] = _unit_rows(np.vstack([s[:, :-1] - s[:, -1:] * model.mean[g], marks]))
     _refine(encoded, model, SEED_ROUNDS, INTO_SEED, 0.5, manuals=False)
     got = _sum_over(encoded, _further_part, model)
     for g, c in model.centroids.items():
@@ -394,10 +436,10 @@ def _fit_centroids(encoded: DataFrame, model: Model) -> None:
             model.centroids[g] = np.vstack([c, _unit_rows(more)])
     _refine(encoded, model, ALL_ROUNDS, INTO_ALL, 0.3)
     got = _sum_over(encoded, _vote_part, model)
-    j = len(model.subjects)
+    j = len(model.subjects) + len(MARKS)
     for g, c in model.centroids.items():
         owner = np.full(len(c), -1)
-        owner[:j] = np.arange(j)
+        owner[:j] = [*range(len(model.subjects)), *model.marks]
         votes = got.get(f"v|{g}")
         if votes is not None:
             for r in range(j, len(c)):
@@ -430,60 +472,54 @@ def _encode(shared):
         model = shared.value
         for pdf in batches:
             out = []
-            for d, g, code, formulas, manual, us, label in zip(pdf["doc_id"], pdf["lang"], pdf["code"], pdf["formulas"], pdf["manual"], pdf["units"], pdf["label"]):
+            for d, g, manual, us, label in zip(pdf["doc_id"], pdf["lang"], pdf["manual"], pdf["units"], pdf["label"]):
                 v = model.vocab.get(g, {})
                 ids, sizes = [], []
                 for u in us:
-                    x = [v[w] for w in u.split() if w in v]
+                    x = [v[w] for w in u.split() if w in v] if u not in MARKS else [v[u]]
                     if x:
                         ids += x
                         sizes.append(len(x))
-                out.append((d, LANGS.index(g), code, formulas, manual, ids, sizes, label))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "code", "formulas", "manual", "ids", "sizes", "label"])
+                out.append((d, LANGS.index(g), manual, ids, sizes, label))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "manual", "ids", "sizes", "label"])
 
     return run
 
 
-def _decide(sim: np.ndarray, owner: np.ndarray, doc: np.ndarray, docs: int, subjects: int) -> tuple[np.ndarray, np.ndarray]:
+def _decide(sim: np.ndarray, owner: np.ndarray, doc: np.ndarray, prose: np.ndarray, docs: int, subjects: int) -> tuple[np.ndarray, np.ndarray]:
     """Cosine and subject of each sentence; near ties go to what the rest of the document is about.
 
     Many words belong to several subjects (court, match, key), so a subject gains up to
-    REST by its share of the document's sentences.
+    REST by its share of the document's sentences of prose.
     """
     best = np.full((len(sim), subjects), -2.0)
     for c in np.flatnonzero(owner >= 0):
         best[:, owner[c]] = np.maximum(best[:, owner[c]], sim[:, c])
     first, m = best.argmax(1), best.max(1)
     held = np.zeros((docs, subjects))
-    k = m >= LEAST
+    k = (m >= LEAST) & prose
     np.add.at(held, (doc[k], first[k]), m[k])
     held /= np.maximum(held.sum(1, keepdims=True), 1e-9)
     return m, (best + REST * held[doc]).argmax(1)
 
 
 def _assign(shared):
-    """(doc_id, skel, subject, n): a document's sentences by wording and subject; code and formulas without a wording."""
+    """(doc_id, skel, subject, n): a document's sentences by wording and subject; lines with a mark without a wording."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        soft = model.subjects.index("software") if "software" in model.subjects else -1
-        maths = model.subjects.index("mathematics") if "mathematics" in model.subjects else -1
         for pdf in _chunks(batches):
             out: Counter = Counter()
-            for d, c, f in zip(pdf["doc_id"], pdf["code"], pdf["formulas"]):
-                if c and soft >= 0:
-                    out[d, None, soft] += c
-                if f and maths >= 0:
-                    out[d, None, maths] += f
             for n, g in enumerate(LANGS):
                 got = _located(model, pdf, n, g) if g in model.centroids else None
                 if got is None:
                     continue
                 rows, ids, starts, per, doc, _, sim = got
-                m, subject = _decide(sim, model.owner[g], doc, len(rows), len(model.subjects))
+                m, subject = _decide(sim, model.owner[g], doc, ids[starts] < model.size[g], len(rows), len(model.subjects))
                 who = rows["doc_id"].to_numpy()
                 for u in np.flatnonzero(m >= LEAST):
-                    wording = xxhash.xxh64_intdigest(ids[starts[u] : starts[u] + per[u]].tobytes(), n) - (1 << 63)
+                    own = ids[starts[u] : starts[u] + per[u]]
+                    wording = None if own[0] >= model.size[g] else xxhash.xxh64_intdigest(own.tobytes(), n) - (1 << 63)
                     out[who[doc[u]], wording, int(subject[u])] += 1
             yield pd.DataFrame([(d, s, j, n) for (d, s, j), n in out.items()], columns=["doc_id", "skel", "subject", "n"]).astype({"skel": "Int64"})
 
@@ -492,7 +528,7 @@ def _assign(shared):
 
 def prepare(documents: DataFrame) -> DataFrame:
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return rows.mapInPandas(_prepare, "doc_id bigint, lang string, code int, formulas int, manual int, units array<string>")
+    return rows.mapInPandas(_prepare, "doc_id bigint, lang string, manual int, units array<string>")
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[DataFrame, Model]:
@@ -507,14 +543,14 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[D
     kept = df.where("term <> ''").withColumn("docs", bounds).where((F.col("df") >= F.greatest(F.lit(float(DF_COUNT)), DF_LEAST * F.col("docs"))) & (F.col("df") <= F.greatest(DF_MOST * F.col("docs"), F.lit(float(DF_COUNT)))))
     terms: dict[str, list[tuple[str, float]]] = {}
     for g in n:
-        # At most (terms of a document) / DF_LEAST terms can be that frequent; VOCABULARY bounds it for certain.
-        rows = kept.where(F.col("lang") == g).orderBy(F.desc("df"), "term").limit(VOCABULARY).collect()
+        # At most (mean number of different terms of a document) / DF_LEAST terms can be that frequent.
+        rows = kept.where(F.col("lang") == g).orderBy(F.desc("df"), "term").collect()
         terms[g] = [(r["term"], math.log((n[g] + 1) / r["df"])) for r in rows]
-    model = Model(names, terms)
+    model = Model(names, terms, seeds_for(subjects, names))
     one = labels.where("doc_id is not null and subject is not null").select("doc_id", _clean_label(names)(F.col("subject")).alias("j")).where("j >= 0").groupBy("doc_id").agg(F.min("j").alias("a"), F.max("j").alias("b"))
     one = one.where("a = b").select("doc_id", F.col("a").alias("label"))
     shared = spark.sparkContext.broadcast(model)
-    schema = "doc_id bigint, lang int, code int, formulas int, manual int, ids array<int>, sizes array<int>, label bigint"
+    schema = "doc_id bigint, lang int, manual int, ids array<int>, sizes array<int>, label bigint"
     encoded = cut(prepared.join(one, "doc_id", "left").na.fill(-1, ["label"]).mapInPandas(_encode(shared), schema))
     _fit_basis(encoded, model)
     _fit_centroids(encoded, model)
@@ -529,7 +565,8 @@ def assigned(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
     per = rows.where("skel is not null").groupBy("skel", "subject").agg(F.sum("n").alias("n"))
     spread = per.groupBy("skel").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("s"))
     fillers = spread.where((F.col("t") >= FILLER_COUNT) & (F.exp(F.log("t") - F.col("s") / F.col("t")) >= FILLER_SPREAD)).select("skel")
-    real = rows.join(fillers, "skel", "left_anti").groupBy("doc_id", "subject").agg(F.sum("n").alias("n"))
+    # Lines with a mark have no wording and stay out of the join, where they would all be one key.
+    real = rows.where("skel is not null").join(fillers, "skel", "left_anti").unionByName(rows.where("skel is null")).groupBy("doc_id", "subject").agg(F.sum("n").alias("n"))
     lists = real.groupBy("doc_id").agg(F.sum("n").alias("t"), F.collect_list(F.struct("subject", "n")).alias("x"))
     name = F.element_at(F.array(*(F.lit(s) for s in model.subjects)) if model.subjects else F.array(F.lit("")), F.col("p.subject") + 1)
     return lists.select("doc_id", "t", F.explode("x").alias("p")).select("doc_id", name.alias("subject"), F.col("p.n").alias("sentences"), (F.col("p.n") / F.col("t")).alias("share"))
