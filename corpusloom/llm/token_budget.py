@@ -25,10 +25,17 @@ from . import labels
 
 
 def distinct_counts(documents: DataFrame, tokenizer: Merges) -> DataFrame:
-    """(h, tokens): each distinct text, by a 256-bit hash, with its number of tokens."""
-    # The text travels once per distinct text and task: the partial aggregate keeps one copy.
-    texts = documents.where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"))
-    return texts.select("h", token_count(F.col("text"), tokenizer).alias("tokens"))
+    """(h, tokens): each distinct text, by a 256-bit hash, with its number of tokens.
+
+    The first document of each hash is found over narrow rows, and its text alone is tokenized.  The
+    texts are streamed past a hash table of those first ones and never sorted; the join is by
+    document as well as hash, so copies of a text are no hot key.
+    """
+    texts = documents.where("text is not null").select("doc_id", "text", F.sha2("text", 256).alias("h"))
+    first = texts.groupBy("h").agg(F.min("doc_id").alias("first"))
+    firsts = first.select(F.col("h").alias("fh"), "first").hint("shuffle_hash")
+    chosen = texts.join(firsts, (F.col("h") == F.col("fh")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    return chosen.select("h", token_count(F.col("text"), tokenizer).alias("tokens")).groupBy("h").agg(F.max("tokens").alias("tokens"))
 
 
 def copies(documents: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,7 +44,7 @@ def copies(documents: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def labelled(documents: DataFrame) -> DataFrame:
-    return documents.select("text", labels.source(F.col("source")).alias("source"), labels.language(F.col("lang")).alias("lang"), labels.domain(F.col("domain")).alias("domain"))
+    return documents.select("doc_id", "text", labels.source(F.col("source")).alias("source"), labels.language(F.col("lang")).alias("lang"), labels.domain(F.col("domain")).alias("domain"))
 
 
 def budget(documents: DataFrame, tokenizer: Merges) -> DataFrame:
