@@ -62,9 +62,10 @@ def _offset():
 
 
 def _plan(documents: DataFrame, mixes: DataFrame, tokenizer: Merges, size: int | None):
-    docs = cut(sized(documents, tokenizer).where("source is not null"))
-    named = mixes.select(labels.slug(F.col("name")).alias("source")).distinct()
-    docs = docs.join(F.broadcast(named), "source", "left_semi")
+    # Only documents of sources that some mix names are tokenized; the mixes' names are a few.
+    named = mixes.select(labels.slug(F.col("name")).alias("_named")).where("_named is not null").distinct()
+    documents = documents.select("doc_id", "text", "source").join(F.broadcast(named), labels.slug(F.col("source")) == F.col("_named"), "left_semi")
+    docs = cut(sized(documents, tokenizer))
     per_source = docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens_held"))
     plan = cut(rates(per_source, mixes, size).withColumn("offset", _offset()))
     ranked = position(docs, ["tokens", "doc_id"], "rank", ["source"])
