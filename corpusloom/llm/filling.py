@@ -16,7 +16,7 @@ largest text); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from bisect import insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,8 +30,6 @@ from ..session import cut
 
 #: Items per group.
 GROUP = 4096
-#: Rows of up to so many items have their pairs of items listed by sum; those of larger ones are found by scanning the row.
-LISTED = 24
 
 
 def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
@@ -59,100 +57,84 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
 
 
 class _Search:
-    """Local search over the rows with room; see the module's docstring."""
+    """Local search over the rows with room; see the module's docstring.
+
+    Of a row's items of one size any will do, so a row is listed by its different sizes.  These add up
+    to its capacity at most, so there are at most sqrt(2 * cap) of them and cap pairs, whatever the number of its items.
+    """
 
     def __init__(self, sizes: list[int], rows: list[list[int]], cap: int) -> None:
         self.sizes, self.rows, self.cap = sizes, rows, cap
         self.fill = [sum(sizes[i] for i in r) for r in rows]
-        self.one: dict[int, dict[tuple[int, int], None]] = defaultdict(dict)
-        self.two: dict[int, dict[tuple[int, int, int], None]] = defaultdict(dict)
+        self.one: dict[int, dict[int, tuple[int, ...]]] = defaultdict(dict)
+        self.two: dict[int, dict[int, tuple[int, ...]]] = defaultdict(dict)
         self.bits1 = self.bits2 = 0
-        self.wide: set[int] = set()
+
+    def _singles(self, b: int) -> dict[int, tuple[int, ...]]:
+        """An item of each size in a row."""
+        return {self.sizes[i]: (i,) for i in self.rows[b]}
+
+    def _pairs(self, b: int) -> dict[int, tuple[int, ...]]:
+        """Two items of each sum in a row."""
+        by: dict[int, list[int]] = defaultdict(list)
+        for i in self.rows[b]:
+            if len(by[self.sizes[i]]) < 2:
+                by[self.sizes[i]].append(i)
+        out: dict[int, tuple[int, ...]] = {}
+        known: list[tuple[int, int]] = []
+        for t, own in by.items():
+            if len(own) == 2:
+                out.setdefault(2 * t, (own[0], own[1]))
+            for u, j in known:
+                out.setdefault(t + u, (own[0], j))
+            known.append((t, own[0]))
+        return out
 
     def _show(self, b: int) -> None:
-        s, r = self.sizes, self.rows[b]
-        for i in r:
-            self.one[s[i]][b, i] = None
-            self.bits1 |= 1 << s[i]
-        if len(r) > LISTED:
-            self.wide.add(b)
-            return
-        for x in range(len(r)):
-            for y in range(x):
-                t = s[r[x]] + s[r[y]]
-                if t <= self.cap:
-                    self.two[t][b, r[x], r[y]] = None
-                    self.bits2 |= 1 << t
+        for t, at in self._singles(b).items():
+            self.one[t][b] = at
+            self.bits1 |= 1 << t
+        for t, at in self._pairs(b).items():
+            self.two[t][b] = at
+            self.bits2 |= 1 << t
 
     def _hide(self, b: int) -> None:
-        s, r = self.sizes, self.rows[b]
-        for i in r:
-            d = self.one[s[i]]
-            d.pop((b, i), None)
+        for t in self._singles(b):
+            d = self.one[t]
+            d.pop(b, None)
+            if not d:
+                self.bits1 &= ~(1 << t)
+        for t in self._pairs(b):
+            d = self.two[t]
+            d.pop(b, None)
             if not d:
-                self.bits1 &= ~(1 << s[i])
-        if b in self.wide:
-            self.wide.discard(b)
-            return
-        for x in range(len(r)):
-            for y in range(x):
-                t = s[r[x]] + s[r[y]]
-                d = self.two.get(t)
-                if d is not None:
-                    d.pop((b, r[x], r[y]), None)
-                    if not d:
-                        self.bits2 &= ~(1 << t)
-
-    def _single(self, lo: int, hi: int):
-        """Some item with lo < size <= hi, the largest."""
-        x = self.bits1 & ((1 << (hi + 1)) - 1)
-        t = x.bit_length() - 1
+                self.bits2 &= ~(1 << t)
+
+    def _largest(self, listed, bits: int, lo: int, hi: int):
+        """(sum, (row, items)) with lo < sum <= hi, the largest; 0 if there is none."""
+        t = (bits & ((1 << (hi + 1)) - 1)).bit_length() - 1
         if t <= lo:
             return 0, None
-        b, i = next(reversed(self.one[t]))
-        return t, (b, (i,))
-
-    def _pair(self, lo: int, hi: int):
-        """Two items of one row with lo < sum <= hi, the largest."""
-        x = self.bits2 & ((1 << (hi + 1)) - 1)
-        t = x.bit_length() - 1
-        best, at = (t, None) if t > lo else (lo, None)
-        if t > lo:
-            b, i, j = next(reversed(self.two[t]))
-            at = (b, (i, j))
-        for b in self.wide:
-            r = sorted(self.rows[b], key=lambda i: self.sizes[i])
-            v = [self.sizes[i] for i in r]
-            for q in range(len(r) - 1, 0, -1):
-                p = min(bisect_right(v, hi - v[q]) - 1, q - 1)
-                if p >= 0 and v[p] + v[q] > best:
-                    best, at = v[p] + v[q], (b, (r[p], r[q]))
-            if best == hi:
-                break
-        return (best, at) if at else (0, None)
+        return t, next(reversed(listed[t].items()))
 
     def _improve(self, a: int) -> bool:
         """The step that fills row a most, if any fills it more."""
-        s, r = self.sizes, self.rows[a]
         room = self.cap - self.fill[a]
         best, step = 0, None
-        gives = [((), 0)] + [((i,), s[i]) for i in r]
-        if len(r) <= LISTED:
-            gives += [((r[x], r[y]), s[r[x]] + s[r[y]]) for x in range(len(r)) for y in range(x)]
-        for out, t in gives:
-            for find in (self._single, self._pair) if len(out) < 2 else (self._single,):
-                got, at = find(t + best, t + room)
+        gives = [(0, ()), *self._singles(a).items(), *self._pairs(a).items()]
+        for t, out in gives:
+            takes = [(self.one, self.bits1)] if len(out) == 2 else [(self.one, self.bits1), (self.two, self.bits2)]
+            for listed, bits in takes:
+                got, at = self._largest(listed, bits, t + best, t + room)
                 if at and got - t > best:
                     best, step = got - t, (out, at)
-                    if best == room:
-                        break
             if best == room:
                 break
         if step is None:
             return False
         out, (b, into) = step
         self._hide(b)
-        self.rows[a] = [i for i in r if i not in out] + list(into)
+        self.rows[a] = [i for i in self.rows[a] if i not in out] + list(into)
         self.rows[b] = [i for i in self.rows[b] if i not in into] + list(out)
         self.fill[a] += best
         self.fill[b] -= best
@@ -168,7 +150,6 @@ class _Search:
             self.one.clear()
             self.two.clear()
             self.bits1 = self.bits2 = 0
-            self.wide.clear()
             for b in openrows:
                 self._show(b)
             queue = [(self.fill[b], b) for b in openrows]
@@ -185,9 +166,9 @@ class _Search:
         return [r for r in self.rows if r]
 
 
-def fill_rows(sizes: list[int], cap: int) -> list[list[int]]:
-    """Item numbers by row; sizes are positive and at most cap."""
-    return _Search(sizes, best_fit(sizes, cap), cap).run()
+def fill_rows(sizes: list[int], cap: int, start: list[list[int]] | None = None) -> list[list[int]]:
+    """Item numbers by row, from best fit or rows given; sizes are positive and at most cap."""
+    return _Search(sizes, best_fit(sizes, cap) if start is None else [list(r) for r in start], cap).run()
 
 
 def pieces(documents: DataFrame, tokenizer: Merges, caps: list[int]) -> DataFrame:
@@ -205,16 +186,22 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     cap, group = int(pdf["seq_len"].iloc[0]), int(pdf["grp"].iloc[0])
     sizes = pdf["tokens"].tolist()
     row, at = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    for b, items in enumerate(fill_rows(sizes, cap)):
+    start = best_fit(sizes, cap)
+    for b, items in enumerate(fill_rows(sizes, cap, start)):
         used = 0
         for i in items:
             row[i], at[i] = b, used
             used += sizes[i]
-    return pdf.drop(columns=["grp"]).assign(row_id=(group << 24) + row, at=at)
+    before = np.zeros(len(sizes), np.int64)
+    before[0] = len(start)
+    return pdf.drop(columns=["grp"]).assign(row_id=[f"g{group}-{b}" for b in row], at=at, best_fit_rows=before)
 
 
-def rows(documents: DataFrame, tokenizer: Merges, caps: list[int]) -> DataFrame:
-    """(seq_len, row_id, at, doc_id, piece, start, tokens): tokens start.. of a document stand at ``at`` in the row."""
+COLUMNS = ("seq_len", "row_id", "at", "doc_id", "piece", "start", "tokens")
+
+
+def _filled(documents: DataFrame, tokenizer: Merges, caps: list[int]) -> DataFrame:
+    """The rows, and with one item of each group the number of rows of its best fit alone."""
     items = cut(pieces(documents, tokenizer, sorted(set(caps))))
     full = items.where("tokens = seq_len")
     rest = items.where("tokens < seq_len")
@@ -225,15 +212,22 @@ def rows(documents: DataFrame, tokenizer: Merges, caps: list[int]) -> DataFrame:
         dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), many))
     else:
         dealt = rest.withColumn("grp", F.lit(0).cast("bigint"))
-    schema = "seq_len bigint, doc_id bigint, piece bigint, start bigint, tokens bigint, row_id bigint, at bigint"
+    schema = "seq_len bigint, doc_id bigint, piece bigint, start bigint, tokens bigint, row_id string, at bigint, best_fit_rows bigint"
     packed = dealt.groupBy("seq_len", "grp").applyInPandas(_pack, schema)
-    # A full piece is a row of its own, named by its document and piece, below zero.
-    alone = full.withColumn("row_id", -F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 << 62)) - 1).withColumn("at", F.lit(0).cast("bigint"))
-    cols = ["seq_len", "row_id", "at", "doc_id", "piece", "start", "tokens"]
-    return packed.select(*cols).unionByName(alone.select(*cols))
+    # A full piece is a row of its own, named by its document and piece.
+    alone = full.select("*", F.concat(F.lit("d"), F.col("doc_id"), F.lit("-"), F.col("piece")).alias("row_id"), F.lit(0).cast("bigint").alias("at"), F.lit(1).cast("bigint").alias("best_fit_rows"))
+    return packed.select(*COLUMNS, "best_fit_rows").unionByName(alone.select(*COLUMNS, "best_fit_rows"))
+
+
+def rows(documents: DataFrame, tokenizer: Merges, caps: list[int]) -> DataFrame:
+    """(seq_len, row_id, at, doc_id, piece, start, tokens): tokens start.. of a document stand at ``at`` in the row.
+
+    ``row_id`` names a row once for each capacity: by group and number, or by document and piece.
+    """
+    return _filled(documents, tokenizer, caps).select(*COLUMNS)
 
 
-def usage(filled: DataFrame) -> DataFrame:
-    """Per capacity: rows, tokens, the share of room used, and the least rows any filling needs."""
-    per = filled.groupBy("seq_len").agg(F.countDistinct("row_id").alias("rows"), F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"))
-    return per.select("seq_len", "rows", "documents", "tokens", (F.col("tokens") / (F.col("rows") * F.col("seq_len"))).alias("used"), F.ceil(F.col("tokens") / F.col("seq_len")).alias("least_rows"))
+def usage(documents: DataFrame, tokenizer: Merges, caps: list[int]) -> DataFrame:
+    """Per capacity: rows, those of best fit alone, the least that any filling needs, documents, tokens, and the share of room used."""
+    per = _filled(documents, tokenizer, caps).groupBy("seq_len").agg(F.countDistinct("row_id").alias("rows"), F.sum("best_fit_rows").alias("best_fit_rows"), F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"))
+    return per.select("seq_len", "rows", "best_fit_rows", F.ceil(F.col("tokens") / F.col("seq_len")).alias("least_rows"), "documents", "tokens", (F.col("tokens") / (F.col("rows") * F.col("seq_len"))).alias("used"))

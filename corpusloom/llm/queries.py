@@ -61,7 +61,7 @@ def p5_rows(spark, d):
 
 
 def p5_usage(spark, d):
-    return filling.usage(p5_rows(spark, d))
+    return filling.usage(_read(spark, d, "documents"), _tokenizer(spark, d), _seq_lens(spark, d))
 
 
 def p6_found(spark, d):

@@ -137,7 +137,7 @@ def docs(spark, rows):
 
 
 def test_token_budget(spark):
-    rows = [(0, "the hen", "EN", "Wiki_EN ", "web"), (1, "the hen", "en-XX", "wiki-en", "WEB"), (2, "the hen", None, "wiki-en", "web"), (3, None, "en", None, None), (4, "", "und", "", "web"), (5, "x" * 5000 + " the", "en", "wiki-en", "web")]
+    rows = [(0, "the hen", "EN", "Wiki_EN ", "web"), (1, "the hen", "en-XX", "wiki-en", "WEB"), (2, "the hen", None, "wiki-en", "web"), (3, None, "en", None, None), (4, "", "und", "", "web"), (5, "x" * 5000 + " the", "en", "wiki-en", "web"), (None, "the hen of none", "en", "wiki-en", "web"), (None, "another of none", "en", "wiki-en", "web")]
     got = {(r["source"], r["lang"], r["domain"]): r for r in token_budget.budget(docs(spark, rows), TOK).collect()}
     want = defaultdict(lambda: [0, 0, set()])
     clean = lambda x: re.sub(r"[_\s]+", "-", (x or "").strip().lower()) or "unknown"
@@ -323,6 +323,16 @@ def test_fill_exchanges_beat_best_fit():
     assert len(filling.fill_rows(sizes, 10)) == 2
 
 
+def test_rows_of_many_items():
+    rng = random.Random(6)
+    sizes = [rng.randrange(1, 4) for _ in range(2000)] + [90] * 3
+    rows = filling.fill_rows(sizes, 128)
+    assert sorted(i for r in rows for i in r) == list(range(len(sizes))) and len(rows) == -(-sum(sizes) // 128)
+    # pairs go out of rows of more than a few items too: 3 + 3 of the first for the 7 of the second
+    sizes = [3] * 30 + [7, 2]
+    assert len(filling.fill_rows(sizes, 97, [list(range(30)), [30], [31]])) == 2
+
+
 def test_filling(spark):
     rows = [(i, "ab" * (1 + (i * 37) % 60), "en", "s", "web") for i in range(80)] + [(100, None, "", "", ""), (101, "", "", "", ""), (102, "xy" * 300, "", "", "")]
     got = filling.rows(docs(spark, rows), bpe.Merges([]), [64, 100]).collect()
@@ -340,6 +350,10 @@ def test_filling(spark):
             n = len(t or "")
             assert sum(x for _, x in of.get(i, [])) == n and (n > cap or len(of.get(i, [])) <= 1)
     assert filling.rows(docs(spark, []), TOK, [64]).collect() == []
+    used = {r["seq_len"]: r for r in filling.usage(docs(spark, rows), bpe.Merges([]), [64, 100]).collect()}
+    for cap in (64, 100):
+        n = len({r["row_id"] for r in got if r["seq_len"] == cap})
+        assert used[cap]["least_rows"] <= n == used[cap]["rows"] <= used[cap]["best_fit_rows"]
 
 
 # ---- 6. leakage -------------------------------------------------------------
