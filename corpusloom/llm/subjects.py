@@ -135,8 +135,9 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             manual = int(bool(_MANUAL.search(t)))
             lang = L.identify(" ".join(prose), 1.0) if prose else None
             terms = [" ".join(w.lower() for w in _TERM.findall(u)) for u in prose]
-            out.append((d, lang if lang in SEEDS else "en", manual, [x for x in terms if x] + [code_mark] * code + [formula_mark] * formulas))
-        yield pd.DataFrame(out, columns=["doc_id", "lang", "manual", "units"])
+            # Lines with a mark are alike, so one stands for all of a document's; they are counted at the end.
+            out.append((d, lang if lang in SEEDS else "en", code, formulas, manual, [x for x in terms if x] + [code_mark] * (code > 0) + [formula_mark] * (formulas > 0)))
+        yield pd.DataFrame(out, columns=["doc_id", "lang", "code", "formulas", "manual", "units"])
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -472,7 +473,7 @@ def _encode(shared):
         model = shared.value
         for pdf in batches:
             out = []
-            for d, g, manual, us, label in zip(pdf["doc_id"], pdf["lang"], pdf["manual"], pdf["units"], pdf["label"]):
+            for d, g, code, formulas, manual, us, label in zip(pdf["doc_id"], pdf["lang"], pdf["code"], pdf["formulas"], pdf["manual"], pdf["units"], pdf["label"]):
                 v = model.vocab.get(g, {})
                 ids, sizes = [], []
                 for u in us:
@@ -480,8 +481,8 @@ def _encode(shared):
                     if x:
                         ids += x
                         sizes.append(len(x))
-                out.append((d, LANGS.index(g), manual, ids, sizes, label))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "manual", "ids", "sizes", "label"])
+                out.append((d, LANGS.index(g), code, formulas, manual, ids, sizes, label))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "code", "formulas", "manual", "ids", "sizes", "label"])
 
     return run
 
@@ -516,11 +517,14 @@ def _assign(shared):
                     continue
                 rows, ids, starts, per, doc, _, sim = got
                 m, subject = _decide(sim, model.owner[g], doc, ids[starts] < model.size[g], len(rows), len(model.subjects))
-                who = rows["doc_id"].to_numpy()
+                who, marked = rows["doc_id"].to_numpy(), rows[["code", "formulas"]].to_numpy()
                 for u in np.flatnonzero(m >= LEAST):
                     own = ids[starts[u] : starts[u] + per[u]]
-                    wording = None if own[0] >= model.size[g] else xxhash.xxh64_intdigest(own.tobytes(), n) - (1 << 63)
-                    out[who[doc[u]], wording, int(subject[u])] += 1
+                    mark = int(own[0]) - model.size[g]
+                    if mark < 0:
+                        out[who[doc[u]], xxhash.xxh64_intdigest(own.tobytes(), n) - (1 << 63), int(subject[u])] += 1
+                    else:
+                        out[who[doc[u]], None, int(subject[u])] += int(marked[doc[u], mark])
             yield pd.DataFrame([(d, s, j, n) for (d, s, j), n in out.items()], columns=["doc_id", "skel", "subject", "n"]).astype({"skel": "Int64"})
 
     return run
@@ -528,7 +532,7 @@ def _assign(shared):
 
 def prepare(documents: DataFrame) -> DataFrame:
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return rows.mapInPandas(_prepare, "doc_id bigint, lang string, manual int, units array<string>")
+    return rows.mapInPandas(_prepare, "doc_id bigint, lang string, code int, formulas int, manual int, units array<string>")
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[DataFrame, Model]:
@@ -550,7 +554,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[D
     one = labels.where("doc_id is not null and subject is not null").select("doc_id", _clean_label(names)(F.col("subject")).alias("j")).where("j >= 0").groupBy("doc_id").agg(F.min("j").alias("a"), F.max("j").alias("b"))
     one = one.where("a = b").select("doc_id", F.col("a").alias("label"))
     shared = spark.sparkContext.broadcast(model)
-    schema = "doc_id bigint, lang int, manual int, ids array<int>, sizes array<int>, label bigint"
+    schema = "doc_id bigint, lang int, code int, formulas int, manual int, ids array<int>, sizes array<int>, label bigint"
     encoded = cut(prepared.join(one, "doc_id", "left").na.fill(-1, ["label"]).mapInPandas(_encode(shared), schema))
     _fit_basis(encoded, model)
     _fit_centroids(encoded, model)
