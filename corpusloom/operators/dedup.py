@@ -27,8 +27,14 @@ def digest(normalize: bool = True) -> Column:
     return F.sha2(collapse(t) if normalize else t, 256)
 
 
-def exact(df: DataFrame, pos: str = "doc_id", normalize: bool = True) -> DataFrame:
-    """The first row of each text."""
+def exact(df: DataFrame, pos: str = "doc_id", normalize: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """The first row of each text.
+
+    With ``keep``, only pos and those columns of it, by one aggregate in which no text moves.  Without, the input is
+    read twice and its rows joined to the first positions; cut it before if it is costly.
+    """
+    if keep is not None:
+        return df.groupBy(digest(normalize).alias("_d")).agg(F.min(F.struct(pos, *keep)).alias("_m")).select("_m.*")
     first = df.groupBy(digest(normalize).alias("_d")).agg(F.min(pos).alias(pos)).select(pos)
     return df.join(first, pos, "left_semi")
 

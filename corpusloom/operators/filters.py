@@ -38,7 +38,9 @@ def quality_features(df: DataFrame) -> DataFrame:
     """Adds ``q``: characters, shares of the commonest character, symbols, newlines and bullet lines, and sentence marks."""
     t, n = _text(), F.length(_text())
     share = lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))
-    most = F.array_max(F.transform(F.array_distinct(F.split(t, "")), lambda c: F.when(c == "", 0).otherwise(n - F.length(F.replace(t, c, F.lit(""))))))
+    # The characters in order make one run of each; the longest is the commonest.
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(t, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    most = F.array_max(F.transform(runs, F.length))
     bullet = T.let(T.lines(t), lambda ls: F.when(F.size(ls) > 0, F.size(F.filter(ls, lambda x: x.rlike("(?U)" + BULLET_LINE))) / F.size(ls)).otherwise(F.lit(0.0)))
     return df.withColumn(
         "q",

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .order import prefix_sum
+
 
 def compression(df: DataFrame, by: list[str], tokens: str = "num_tokens") -> DataFrame:
     """Documents, characters, bytes, tokens and characters and bytes per token (0 without tokens)."""
@@ -58,36 +61,46 @@ def generation_rates(report: DataFrame) -> DataFrame:
 # ---- summaries --------------------------------------------------------------
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, qs: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """n, mean, min, max and percentiles by nearest rank: sorted[min(n - 1, int(q (n - 1) + 0.5))].
+def _ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, _c, _lo, _n): counts of distinct values, the rows below each, and all rows of its group.
 
-    Values are counted first, then ranked by running counts, so equal values cost one row
-    and no group is collected.
+    Equal values cost one row, and rows below come from a range partition (``order.prefix_sum``), so
+    neither a group nor the whole table is sorted in one task.
     """
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = c.withColumn("_hi", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    ranked = prefix_sum(c, [value], {"_lo": "_c"}, by)
+    n = ranked.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    if not by:
+        return ranked.crossJoin(F.broadcast(n))  # one row
+    keys = n.select(*(F.col(k).alias(f"_g_{k}") for k in by), "_n")
+    cond = F.lit(True)
+    for k in by:
+        cond = cond & ranked[k].eqNullSafe(keys[f"_g_{k}"])
+    return ranked.join(keys, cond).drop(*(f"_g_{k}" for k in by))
+
+
+def _at(place: Column) -> Column:
+    return (place >= F.col("_lo")) & (place < F.col("_lo") + F.col("_c"))
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, qs: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """n, mean, min, max and percentiles by nearest rank: sorted[min(n - 1, int(q (n - 1) + 0.5))]."""
     aggs = [F.sum("_c").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")]
     for q in qs:
-        at = F.least(F.col("_n") - 1, F.floor(F.lit(q) * (F.col("_n") - 1) + 0.5))
-        aggs.append(F.max(F.when((at < F.col("_hi")) & (at >= F.col("_hi") - F.col("_c")), F.col(value))).alias(f"p{int(q * 100)}"))
-    return ranked.groupBy(*by).agg(*aggs)
+        aggs.append(F.max(F.when(_at(F.least(F.col("_n") - 1, F.floor(F.lit(q) * (F.col("_n") - 1) + 0.5))), F.col(value))).alias(f"p{int(q * 100)}"))
+    return _ranked(df, by, value).groupBy(*by).agg(*aggs)
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """sorted[n // 2]."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    x = c.withColumn("_hi", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    at = F.floor(F.col("_n") / 2)
-    return x.where((at < F.col("_hi")) & (at >= F.col("_hi") - F.col("_c"))).select(*by, F.col(value).alias("median"))
+    return _ranked(df, by, value).where(_at(F.floor(F.col("_n") / 2))).select(*by, F.col(value).alias("median"))
 
 
 def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Pairs by key: their number, the upper median of b / a, and the change of the means in per cent."""
-    x = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key).where("a <> 0").withColumn("ratio", F.col("b") / F.col("a"))
+    x = cut(a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key).where("a <> 0").withColumn("ratio", F.col("b") / F.col("a")))
     means = x.agg(F.count("*").alias("pairs"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
-    med = upper_median(x.withColumn("_g", F.lit(1)), ["_g"], "ratio").select(F.col("median").alias("median_ratio"))
+    med = upper_median(x, [], "ratio").select(F.col("median").alias("median_ratio"))
     return means.crossJoin(med).withColumn("mean_change_pct", (F.col("mean_b") / F.col("mean_a") - 1) * 100)
 
 

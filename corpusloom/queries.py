@@ -76,7 +76,7 @@ f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY d ORDER BY doc_id)
 SELECT coalesce(source, 'unknown') AS source, count(*) AS records FROM f GROUP BY 1""")
 def corpus_manifest(spark, d):
     kept = filters.chain(filters.length_filter(), filters.quality_filter())(docs(spark, d).select("doc_id", "text", "source"))
-    return mix.source_counts(dedup.exact(kept))
+    return mix.source_counts(dedup.exact(kept, keep=["source"]))
 
 
 @query(f"SELECT doc_id FROM documents WHERE length({TEXT}) BETWEEN 50 AND 10000000")
