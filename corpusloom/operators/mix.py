@@ -6,6 +6,7 @@ import random
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,60 +20,120 @@ def shuffled(n: int, seed: int) -> list[int]:
     return order
 
 
-def schedule(counts: Sequence[int], weights: Sequence[float], seed: int = 0, epochs: int = 1) -> list[tuple[int, list[int]]]:
-    """(source, output positions of its records) under smooth weighted round-robin.
+#: Most steps that are remembered while a period is looked for.
+PERIOD = 1_000_000
+
+
+class Rota:
+    """Smooth weighted round-robin over counts, as runs of steps that repeat.
 
     Each step every active source gains its weight; the largest gain, of equals the first
     presented, gives a record and loses the total of all weights, exhausted sources' too.
-    A source found exhausted costs a step without output.  Works on counts alone.
+    A source found exhausted costs a step without output.
+
+    Between two exhaustions the gains go round in a circle.  For whole weights that is seen
+    from the gains' differences, else from the gains themselves, which repeat exactly or the steps are listed.
+    So what is held is a period per exhaustion, whatever the number of records.
     """
-    if not counts:
-        raise ValueError("no sources")
-    if any(w < 0 for w in weights):
-        raise ValueError("weights must not be negative")
-    total = sum(weights)
-    if total <= 0:
-        raise ValueError("weights must not all be 0")
-    order = shuffled(len(counts), seed)
-    gain = {i: 0.0 for i in order}
-    left = {i: counts[i] * epochs for i in order}
-    active, out, at = list(order), {i: [] for i in order}, 0
-    while active:
-        for i in active:
-            gain[i] += weights[i]
-        pick = max(active, key=lambda i: gain[i])  # the first of equals
-        gain[pick] -= total
-        if left[pick]:
-            left[pick] -= 1
-            out[pick].append(at)
-            at += 1
-        else:
-            active.remove(pick)
-    return sorted(out.items())
+
+    def __init__(self, counts: Sequence[int], weights: Sequence[float], seed: int = 0, epochs: int = 1) -> None:
+        if not counts:
+            raise ValueError("no sources")
+        if any(w < 0 for w in weights):
+            raise ValueError("weights must not be negative")
+        if sum(weights) <= 0:
+            raise ValueError("weights must not all be 0")
+        self.weights, self.total = list(weights), sum(weights)
+        self.whole = all(float(w).is_integer() for w in weights) and self.total * len(counts) < 2**50
+        self.left = [n * epochs for n in counts]
+        self.runs: list[tuple[int, np.ndarray, int]] = []  # first output position, sources in turn, how often
+        self.at = 0
+        active = shuffled(len(counts), seed)
+        gain = {i: 0.0 for i in active}
+        while active:
+            active = self._until_exhausted(active, gain)
+
+    def _emit(self, turns: list[int], times: int = 1) -> None:
+        if turns and times:
+            self.runs.append((self.at, np.array(turns, np.int32), times))
+            self.at += len(turns) * times
+
+    def _until_exhausted(self, active: list[int], gain: dict[int, float]) -> list[int]:
+        turns: list[int] = []
+        seen: dict[tuple, int] | None = {}
+        while True:
+            if seen is not None:
+                base = gain[active[0]] if self.whole else 0.0
+                state = tuple(gain[i] - base for i in active)
+                if state in seen:
+                    period = turns[seen[state]:]
+                    per = {i: period.count(i) for i in set(period)}
+                    times = min(self.left[i] // n for i, n in per.items())
+                    self._emit(turns)
+                    self._emit(period, times)
+                    for i, n in per.items():
+                        self.left[i] -= n * times
+                    turns, seen = [], None  # less than one period is left
+                else:
+                    seen[state] = len(turns)
+            if len(turns) >= PERIOD:
+                self._emit(turns)
+                turns, seen = [], {} if seen is not None else None
+            for i in active:
+                gain[i] += self.weights[i]
+            pick = max(active, key=lambda i: gain[i])  # the first of equals
+            gain[pick] -= self.total
+            if not self.left[pick]:
+                self._emit(turns)
+                return [i for i in active if i != pick]
+            self.left[pick] -= 1
+            turns.append(pick)
+
+    def places(self, source: int, k: np.ndarray) -> np.ndarray:
+        """Output positions of a source's records of numbers ``k``."""
+        first, have = [], 0
+        mine = []
+        for at, turns, times in self.runs:
+            own = np.flatnonzero(turns == source)
+            if len(own):
+                first.append(have)
+                mine.append((at, len(turns), own))
+                have += len(own) * times
+        out = np.zeros(len(k), np.int64)
+        run = np.searchsorted(np.array(first), k, "right") - 1
+        for r in np.unique(run):
+            at, size, own = mine[r]
+            here = run == r
+            j = k[here] - first[r]
+            out[here] = at + j // len(own) * size + own[j % len(own)]
+        return out
 
 
 def weighted(df: DataFrame, sources: Sequence[tuple[str, float]], pos: str = "doc_id", seed: int = 0, epochs: int = 1) -> DataFrame:
     """Rows of the named sources with ``epoch`` and ``out_pos``, their place in the mix.
 
-    Only the counts of the sources come to the driver; the schedule is joined back by
-    (source, rank), both sides distributed.
+    The counts of the sources come to the driver, the rota of their turns goes to the tasks; every row
+    works its place out from its rank within its source, so no row is planned on the driver or joined.
     """
     spark = df.sparkSession
     names = [s for s, _ in sources]
     rows = df.where(F.col("source").isin(names))
     have = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     counts = [have.get(s, 0) for s in names]
+    shared = spark.sparkContext.broadcast(Rota(counts, [w for _, w in sources], seed, epochs))
     ranked = position(rows, [pos], "_rank", ["source"])
     wide = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    size = F.lit(0)
-    for s, c in zip(names, counts):
-        size = F.when(F.col("source") == s, F.lit(c)).otherwise(size)
-    wide = wide.withColumn("_k", F.col("epoch") * size + F.col("_rank"))
-    planned = schedule(counts, [w for _, w in sources], seed, epochs)
-    import pandas as pd
+    of = lambda xs: F.element_at(F.create_map(*(F.lit(x) for p in zip(names, xs) for x in p)), F.col("source"))
+
+    @F.pandas_udf("bigint")
+    def place(source: pd.Series, k: pd.Series) -> pd.Series:
+        out = np.zeros(len(k), np.int64)
+        for i in source.unique():
+            here = (source == i).to_numpy()
+            out[here] = shared.value.places(int(i), k.to_numpy()[here])
+        return pd.Series(out)
 
-    plan = pd.concat([pd.DataFrame({"source": names[i], "_k": np.arange(len(p), dtype=np.int64), "out_pos": np.array(p, np.int64)}) for i, p in planned], ignore_index=True)
-    return wide.join(spark.createDataFrame(plan, "source string, _k bigint, out_pos bigint"), ["source", "_k"]).drop("_rank", "_k")
+    return wide.withColumn("out_pos", place(of(list(range(len(names)))), F.col("epoch") * of(counts) + F.col("_rank"))).drop("_rank")
 
 
 def source_counts(df: DataFrame, seeded: Sequence[str] = ()) -> DataFrame:
@@ -106,13 +167,32 @@ def split_sizes(n: int, ratio: float) -> int:
     return min(max(1, round(n * ratio)), n - 1)
 
 
+#: Most records whose split follows the seeded permutation itself; it is one bit a record on every task, but is made in one place.
+PERMUTED = 20_000_000
+
+
 def seeded_split(df: DataFrame, ratio: float, seed: int, pos: str = "doc_id") -> DataFrame:
-    """Adds ``in_train``: the first part of a seeded permutation of places; order is kept."""
+    """Adds ``in_train``: the first part of a seeded permutation of places; order is kept.
+
+    Beyond PERMUTED records the permutation is by a seeded hash of ``pos``, of the same exact size.
+    """
     n = df.count()
+    k = split_sizes(n, ratio)
+    if n > PERMUTED:
+        keyed = df.withColumn("_h", F.xxhash64(F.lit(seed), pos))
+        return position(keyed, ["_h", pos], "_rank").withColumn("in_train", F.col("_rank") < k).drop("_rank", "_h")
     order = list(range(n))
     random.Random(seed).shuffle(order)
-    train = df.sparkSession.createDataFrame([(i,) for i in order[: split_sizes(n, ratio)]], "_rank bigint").withColumn("in_train", F.lit(True))
-    return position(df, [pos], "_rank").join(train, "_rank", "left").na.fill(False, ["in_train"]).drop("_rank")
+    bits = np.zeros(n, bool)
+    bits[order[:k]] = True
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def chosen(rank: pd.Series) -> pd.Series:
+        r = rank.to_numpy(np.int64)
+        return pd.Series((shared.value[r >> 3] >> (7 - (r & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return position(df, [pos], "_rank").withColumn("in_train", chosen(F.col("_rank"))).drop("_rank")
 
 
 def regions(df: DataFrame, val_skip: int, val_tokens: int, target_tokens: int, tokens: str = "num_tokens", pos: str = "doc_id") -> DataFrame:

@@ -9,17 +9,19 @@ import argparse
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contamination, dedup, filters, mix
+from ..operators.tokenizer import Tokenizer
 from ..session import cut
 from ..sources import readers, writers
 
 PROCESSORS = {
     "length": filters.length_filter, "quality_heuristic": filters.quality_filter, "code_fence": lambda mode="keep", min_code_ratio=0.3: filters.code_filter(mode, min_code_ratio),
     "blacklist_regex": filters.blacklist_regex, "url_blacklist": filters.url_blacklist, "regex_filter": filters.regex_filter, "field_remap": filters.field_remap,
-    "language": filters.language_filter, "token_count": lambda: filters.byte_token_count,
+    "language": filters.language_filter, "token_count": lambda tokenizer=None: filters.token_counts(Tokenizer.load(tokenizer) if tokenizer else None),
+    "keep_fields": filters.keep_fields,
     "exact_dedup": lambda normalize=True: lambda df: dedup.exact(df, "_pos", normalize),
     "minhash_dedup": lambda permutations=64, bands=8, ngram=5, seed=0: lambda df: dedup.near(df, "_pos", bands, permutations, ngram, seed),
     "contamination": lambda **k: lambda df: _contamination(df, **k),
@@ -86,17 +88,46 @@ def process(spark: SparkSession, spec: PipelineSpec) -> tuple[DataFrame, DataFra
     for f in frames[1:]:
         rows = rows.unionByName(f, allowMissingColumns=True)
     key = F.struct("_src", "src_file", "src_row")
-    rows = cut(rows.withColumn("_pos", key))
-    counts = [("input", rows.count())]
+    rows = rows.withColumn("_pos", key).withColumn("_dropped", F.lit(None).cast("string"))
     if not spec.processors:
         raise ValueError("a chain needs at least one step")
-    for p in spec.processors:
-        rows = cut(processor(p)(rows))
-        counts.append((p["type"], rows.count()))
-    stats = spark.createDataFrame(counts, "stage string, kept bigint").withColumn("n", F.monotonically_increasing_id())
-    w = Window.orderBy("n")  # a row per stage
-    stats = stats.select("stage", "kept", (F.coalesce(F.lag("kept").over(w), F.col("kept")) - F.col("kept")).alias("dropped"))
-    return rows, stats
+    # Stateless steps only mark what they drop; rows are written out and counted once before each step that
+    # compares rows, and at the end.
+    names = [f"{n} {p['type']}" for n, p in enumerate(spec.processors)]
+    kept, counts = [], {}
+
+    def settle(rows: DataFrame) -> DataFrame:
+        rows = cut(rows)
+        kept.append({r["_dropped"]: r["n"] for r in rows.groupBy("_dropped").agg(F.count("*").alias("n")).collect()})
+        return rows.where("_dropped is null")
+
+    open_: list[str] = ["input"]
+    total = 0
+
+    def book() -> None:
+        nonlocal total, open_
+        got = kept[-1]
+        total = sum(got.values())
+        for name in open_:
+            total -= got.get(name, 0)
+            counts[name] = total
+        open_ = []
+
+    for name, config in zip(names, spec.processors):
+        step = processor(config)
+        if isinstance(step, filters.Step):
+            rows = step.mark(rows, name)
+            open_.append(name)
+        else:
+            rows = settle(rows)
+            book()
+            rows = step(rows)
+            open_.append(name)
+    rows = settle(rows)
+    book()
+    order_ = [("input", counts["input"])] + [(p["type"], counts[n]) for n, p in zip(names, spec.processors)]
+    out = [(stage, n, (order_[i - 1][1] if i else n) - n) for i, (stage, n) in enumerate(order_)]
+    return rows.drop("_dropped"), spark.createDataFrame(out, "stage string, kept bigint, dropped bigint").coalesce(1)
 
 
 def run(spark: SparkSession, spec: PipelineSpec, out_dir: str | None = None, max_docs: int | None = None, seed: int = 0) -> DataFrame:

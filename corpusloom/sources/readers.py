@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions.text import strip_space
+from . import files
 
 _FILE, _ROW = "_metadata.file_path", "_metadata.row_index"
 
@@ -36,18 +37,26 @@ def _line():
 def _jsonl(spark: SparkSession, paths: list[str], text_field: str) -> DataFrame:
     lines = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("src_file"), _line().alias("src_row"))
     lines = lines.where(F.length(strip_space(F.col("value"))) > 0)
-    # One pass: the object as a map of raw JSON values, so that no schema has to be known.
-    m = F.from_json("value", "map<string,string>")
-    kind = F.get_json_object(F.col("value"), f"$.{text_field}")
-    quoted = F.col("value").rlike(rf'"{text_field}"\s*:\s*"')
-    return lines.withColumn("extra", m).withColumn("text", F.when(quoted, kind))
+    # A strict parse of the whole line.  Spark's parser stops after the first value; so the line must be the only element of an
+    # array and the value of an object, and whatever follows it fits one of them at most.  Kinds are those
+    # of the parsed values, so a key of the same name further down, or a number, is no text.
+    inner = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), "value", F.lit("}"))), "$.v", "variant")
+    listed = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
+    single = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    v = lines.withColumn("_v", F.when(single, inner))
+    field = F.try_variant_get("_v", f'$["{text_field}"]', "variant")
+    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    is_text = is_object & F.coalesce(F.schema_of_variant(field) == "STRING", F.lit(False))
+    x = v.withColumn("text", F.when(is_text, F.try_variant_get("_v", f'$["{text_field}"]', "string")))
+    return x.withColumn("extra", F.when(is_object, F.from_json("value", "map<string,string>"))).drop("_v")
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], source: str = "jsonl", text_field: str = "text") -> DataFrame:
     """(text, source, extra, src_file, src_row): objects with a string text; gzip by extension.
 
     ``extra`` maps the other keys to their values as text.  A line without ``source`` takes
-    the reader's; an explicit null stays null.
+    the reader's; an explicit null stays null.  Lines that are no object, or more than one, or whose
+    text is no string, are left out.
     """
     x = _jsonl(spark, _paths(paths), text_field).where("text is not null")
     own = F.when(F.map_contains_key("extra", F.lit("source")), F.col("extra")["source"]).otherwise(F.lit(source))
@@ -123,21 +132,25 @@ def read(spark: SparkSession, config: dict) -> DataFrame:
     return READERS[kind](spark, paths, **cfg)
 
 
-def resolve_shards(path: str, manifest_name: str = "manifest.json") -> list[str]:
-    """Shard files in order: one file, a manifest's (missing ones left out), or a folder's ``*.jsonl`` by name."""
-    if os.path.isfile(path):
-        if path.endswith((".jsonl", ".jsonl.gz")):
+def resolve_shards(path: str, manifest_name: str = "manifest.json", spark: SparkSession | None = None) -> list[str]:
+    """Shard files in order: one file, a manifest's (missing ones left out), or a folder's ``*.jsonl`` by name.
+
+    Works on any file system that Spark reads, where a session is given or active.
+    """
+    fs = files.FileSystem(spark)
+    if fs.is_file(path):
+        if path.endswith((".jsonl", ".jsonl.gz", ".parquet")):
             return [path]
-        if os.path.basename(path) != manifest_name:
+        if path.rsplit("/", 1)[-1] != manifest_name:
             raise ValueError(f"no shard or manifest: {path}")
-        base = os.path.dirname(os.path.abspath(path))
-        with open(path, encoding="utf-8") as f:
-            out = [os.path.join(base, s["shard"]) for s in json.load(f).get("shards", [])]
-        out = [p for p in out if os.path.exists(p)]
-    elif os.path.isdir(path):
-        if os.path.isfile(m := os.path.join(path, manifest_name)):
-            return resolve_shards(m, manifest_name)
-        out = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".jsonl"))
+        base = path[: -len(manifest_name)].rstrip("/")
+        out = [f"{base}/{s['shard']}" for s in json.loads(fs.read(path)).get("shards", [])]
+        out = [p for p in out if fs.is_file(p)]
+    elif fs.is_dir(path):
+        base = path.rstrip("/")
+        if fs.is_file(m := f"{base}/{manifest_name}"):
+            return resolve_shards(m, manifest_name, spark)
+        out = sorted(f"{base}/{f}" for f in fs.names(path) if f.endswith(".jsonl"))
     else:
         raise FileNotFoundError(path)
     if not out:

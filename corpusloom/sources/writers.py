@@ -6,13 +6,14 @@ Spark's committer makes each write whole or nothing; a manifest is written by re
 from __future__ import annotations
 
 import json
-import os
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import position
+from ..session import cut
+from . import files
 
 #: Most records that a shard holds, whatever its size in bytes.
 MOST_RECORDS = 10_000
@@ -55,24 +56,32 @@ def manifest(sharded: DataFrame, prefix: str = "shard", fmt: str = "jsonl") -> D
 
 
 def write_shards(df: DataFrame, out_dir: str, pos: str, shard_size: int = 10_000, size_by: str = "records", fmt: str = "jsonl", prefix: str = "shard") -> DataFrame:
-    """Writes one folder per shard, rows in order within, and ``manifest.json``; gives the manifest."""
-    sharded = shard_ids(df, pos, shard_size, size_by)
+    """Writes one file per shard, named as in the manifest, and ``manifest.json`` last; gives the manifest.
+
+    A shard is whole in one part of a range partition, so Spark writes it as one file into a folder
+    beside; the driver renames the files, as a committer does, and reads none.
+    """
+    fs = files.FileSystem(df.sparkSession)
+    sharded = cut(shard_ids(df, pos, shard_size, size_by))
+    beside = f"{out_dir.rstrip('/')}/_{prefix}"
     body = sharded.repartitionByRange("shard").sortWithinPartitions("shard", pos).write.mode("overwrite").partitionBy("shard")
-    target = f"{out_dir}/{prefix}"
-    body.json(target) if fmt == "jsonl" else body.parquet(target)
+    body.json(beside, ignoreNullFields=False) if fmt == "jsonl" else body.parquet(beside)
     m = manifest(sharded, prefix, fmt)
     rows = [r.asDict() for r in m.orderBy("index").collect()]
-    write_json({"format": fmt, "size_by": size_by, "shard_size": shard_size, "num_shards": len(rows), "total_records": sum(r["count"] for r in rows), "shards": rows}, os.path.join(out_dir, "manifest.json"))
+    for r in rows:
+        folder = f"{beside}/shard={r['index']}"
+        part = [n for n in fs.names(folder) if n.startswith("part-")]
+        if len(part) != 1:
+            raise OSError(f"shard {r['index']} came in {len(part)} files")
+        fs.move(f"{folder}/{part[0]}", f"{out_dir.rstrip('/')}/{r['shard']}")
+    fs.remove(beside)
+    write_json({"format": fmt, "size_by": size_by, "shard_size": shard_size, "num_shards": len(rows), "total_records": sum(r["count"] for r in rows), "shards": rows}, f"{out_dir.rstrip('/')}/manifest.json")
     return m
 
 
 def write_json(value, path: str) -> None:
-    """Whole or not at all: written beside and renamed."""
-    path = path.removeprefix("file://").removeprefix("file:")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=1, sort_keys=True)
-    os.replace(path + ".tmp", path)
+    """Whole or not at all, on any file system of Spark's: written beside and renamed."""
+    files.FileSystem().write(path, json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True))
 
 
 def sorted_json(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -146,7 +147,37 @@ def test_weighted_mix(spark):
     assert a == [0, 3, 6, 9, 12, 15, 18, 21, 24, 27] * 2
     for bad in ([], [-1.0, 2.0], [0.0, 0.0]):
         with pytest.raises(ValueError):
-            mix.schedule([1] * len(bad), bad)
+            mix.Rota([1] * len(bad), bad)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.sampled_from([0.0, 1.0, 2.0, 3.0, 7.0, 0.25, 0.1, 0.7])), min_size=1, max_size=5), st.integers(0, 3), st.integers(1, 3))
+def test_rota_is_the_step_by_step_rule(sources, seed, epochs):
+    counts, weights = [n for n, _ in sources], [w for _, w in sources]
+    if sum(weights) <= 0:
+        return
+    rota, want = mix.Rota(counts, weights, seed, epochs), model_mix(counts, weights, seed, epochs)
+    got = [None] * len(want)
+    for i, n in enumerate(counts):
+        for p in rota.places(i, np.arange(n * epochs)) if n else []:
+            got[p] = i
+    assert got == want
+
+
+def test_rota_holds_a_period_only():
+    rota = mix.Rota([10**12, 3 * 10**11, 10**9], [4, 1, 2], 1)
+    assert sum(len(turns) for _, turns, _ in rota.runs) < 1000
+    assert rota.places(0, np.array([10**12 - 1]))[0] < 10**12 + 3 * 10**11 + 10**9
+
+
+def test_seeded_split(spark, monkeypatch):
+    df = spark.createDataFrame([(i,) for i in range(50)], "doc_id bigint")
+    order_ = list(range(50))
+    random.Random(3).shuffle(order_)
+    got = {r["doc_id"] for r in mix.seeded_split(df, 0.8, 3).where("in_train").collect()}
+    assert got == set(order_[:40])
+    monkeypatch.setattr(mix, "PERMUTED", 10)
+    assert mix.seeded_split(df, 0.8, 3).where("in_train").count() == 40
 
 
 def test_prefix_sum_by_group(spark):
@@ -277,6 +308,10 @@ def test_sources_and_pipeline(spark, tmp_path):
     df = readers.read_jsonl(spark, str(a), source="mine")
     got = df.orderBy("src_row").collect()
     assert [r["source"] for r in got] == ["mine", None, "mine"] and got[1]["extra"] == {"n": "3"}
+    bad = tmp_path / "bad.jsonl"
+    bad.write_text('{"text": 5, "meta": {"text": "inner"}}\n{"text": "x"} trailing\n["text"]\n{"text": null}\n"text"\n{"a.b": 1, "text": "fine \\u00e9"}')
+    assert [r["text"] for r in readers.read_jsonl(spark, str(bad)).collect()] == ["fine é"]
+    assert {r["problem"]: r["lines"] for r in readers.jsonl_problems(spark, str(bad)).collect()} == {"malformed": 3, "no text": 2}
     assert {r["problem"]: r["lines"] for r in readers.jsonl_problems(spark, str(a)).collect()} == {"malformed": 1, "no text": 2}
     assert readers.jsonl_count(spark, str(a)) == 6
     t = tmp_path / "t.txt"
@@ -289,13 +324,19 @@ def test_sources_and_pipeline(spark, tmp_path):
     run(spark, spec, str(tmp_path / "out"))
     m = json.loads((tmp_path / "out" / "manifest.json").read_text())
     assert m["total_records"] == 4 and m["num_shards"] == 1
+    again = readers.read_jsonl(spark, readers.resolve_shards(str(tmp_path / "out")))
+    assert sorted(r["text"] for r in again.collect()) == ["Second one here.", "The first sound record. It ends.", "one\ntwo", "three"]
+    chained = PipelineSpec.load({"sources": spec.sources, "processors": [{"type": "chain", "processors": [{"type": "length", "min_chars": 4}, {"type": "regex_filter", "pattern": "e"}]}, {"type": "exact_dedup"}, {"type": "regex_filter", "pattern": "[.]"}, {"type": "token_count"}]})
+    rows, st_ = process(spark, chained)
+    assert [tuple(r) for r in st_.collect()] == [("input", 5, 0), ("chain", 5, 0), ("exact_dedup", 4, 1), ("regex_filter", 2, 2), ("token_count", 2, 0)]
+    assert all(r["num_tokens"] == len(r["text"]) for r in rows.collect())
     with pytest.raises(ValueError):
         PipelineSpec.load({"sources": []})
     with pytest.raises(ValueError):
         readers.read(spark, {"type": "nope"})
 
 
-def test_shards(spark):
+def test_shards(spark, tmp_path):
     from corpusloom.sources import writers
 
     df = spark.createDataFrame([(i, "x" * i, "a" if i % 2 else None) for i in range(10)], "k bigint, text string, source string")
@@ -308,6 +349,18 @@ def test_shards(spark):
         if used >= 70:
             s, used = s + 1, 0
     assert [r["shard"] for r in writers.shard_ids(df, "k", 70, "bytes").orderBy("k").collect()] == want
+    from corpusloom.sources import readers
+
+    for fmt in ("jsonl", "parquet"):
+        out = str(tmp_path / fmt)
+        listed = [r["shard"] for r in writers.write_shards(df, out, "k", 3, fmt=fmt).orderBy("index").collect()]
+        paths = readers.resolve_shards(out)
+        assert [p.rsplit("/", 1)[-1] for p in paths] == listed == [f"shard-{i:04d}.{fmt}" for i in range(4)]
+        back = [[r["text"] for r in (readers.read_jsonl(spark, p).orderBy("src_row") if fmt == "jsonl" else spark.read.parquet(p)).collect()] for p in paths]
+        assert back == [["x" * i for i in range(a, min(a + 3, 10))] for a in (0, 3, 6, 9)]
+        assert readers.resolve_shards(out + "/manifest.json") == paths and (fmt == "parquet" or readers.resolve_shards(paths[0]) == [paths[0]])
+    with pytest.raises(FileNotFoundError):
+        readers.resolve_shards(str(tmp_path / "nowhere"))
     m = {r["index"]: r for r in writers.manifest(writers.shard_ids(df, "k", 3)).collect()}
     assert m[0]["sources"] == {"a": 1, "unknown": 2} and m[3]["shard"] == "shard-0003.jsonl"
 
