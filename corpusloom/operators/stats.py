@@ -33,8 +33,9 @@ def distinct_n(ids: Column, n: int) -> Column:
 
 
 def top_ngram(df: DataFrame, key: str, ids: str, n: int = 3) -> DataFrame:
-    """(key, gram, repeats): the most frequent n-gram, of equals the largest by ids; rows without any are left out."""
-    g = F.when(F.size(ids) < n, F.array().cast("array<array<int>>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(ids) - n + 1), lambda i: F.slice(ids, i, n)))
+    """(key, gram, repeats): the most frequent n-gram, of equals the largest by ids or words; rows without any are left out."""
+    kind = dict(df.dtypes)[ids]
+    g = F.when(F.size(ids) < n, F.array().cast(f"array<{kind}>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(ids) - n + 1), lambda i: F.slice(ids, i, n)))
     x = df.select(key, F.explode(g).alias("g")).groupBy(key, "g").agg(F.count("*").alias("c"))
     best = F.max(F.struct("c", "g"))
     return x.groupBy(key).agg(best.alias("b")).select(key, F.array_join(F.col("b.g").cast("array<string>"), " ").alias("gram"), F.col("b.c").alias("repeats"))

@@ -219,7 +219,16 @@ def lsh_near_dedup(spark, d):
     return dedup.near(docs(spark, d)).select("doc_id")
 
 
-@query()
+def _lsh_capped_sql(cap: int) -> str:
+    keys = ", ".join(f"'{b}:' || concat_ws(',', " + ", ".join(f"m{b * 8 + r}" for r in range(8)) + ")" for b in range(8))
+    return ("WITH RECURSIVE " + _minhash_sql().removeprefix("WITH ") + f""", a AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, [{keys}] AS ks FROM m),
+r AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, false AS kept, []::VARCHAR[] AS seen
+UNION ALL SELECT n, doc_id, NOT (j < 8 AND j <= {cap} - len(seen)), list_concat(seen, ks[1:least(j, {cap} - len(seen))])
+FROM (SELECT a.n, a.doc_id, a.ks, r.seen, coalesce(list_position(list_transform(a.ks, k -> list_contains(r.seen, k)), true) - 1, 8) AS j FROM r JOIN a ON a.n = r.n + 1))
+SELECT doc_id FROM r WHERE kept""")
+
+
+@query(_lsh_capped_sql(2000))
 def lsh_near_dedup_capped(spark, d):
     return dedup.near_capped(docs(spark, d).select("doc_id", dedup.signature(F.col("text")).alias("sig")), "doc_id", 2000)
 
@@ -227,10 +236,10 @@ def lsh_near_dedup_capped(spark, d):
 # ---- contamination ----------------------------------------------------------
 
 
-@query("SELECT doc_id FROM documents WHERE NOT coalesce(trim(url) IN (SELECT trim(url) FROM documents WHERE url IS NOT NULL AND domain = 'docs'), false)")
+@query("SELECT doc_id FROM documents WHERE NOT coalesce(trim(url) IN (SELECT trim(url) FROM documents WHERE url IS NOT NULL AND lang = 'fr'), false)")
 def contam_ids(spark, d):
     x = docs(spark, d)
-    listed = x.where("url is not null and domain = 'docs'").select(F.col("url").alias("id"))
+    listed = x.where("url is not null and lang = 'fr'").select(F.col("url").alias("id"))
     return contamination.apply(x, contamination.hits_by_id(x, listed, "doc_id"), "doc_id").select("doc_id")
 
 
@@ -271,11 +280,10 @@ def source_counts(spark, d):
 @query(QUALITY_SQL + f""", s AS (SELECT n_chars BETWEEN 50 AND 10000000 AS a, {QUALITY_OK} AS b FROM q)
 SELECT count(*) AS input, count(*) FILTER (a AND b) AS kept, count(*) FILTER (NOT a) AS dropped_length, count(*) FILTER (a AND NOT b) AS dropped_quality FROM s""")
 def pipeline_stats(spark, d):
-    q = F.col("q")
-    x = filters.quality_features(docs(spark, d).select("text"))
-    a = q.n_chars.between(50, 10_000_000)
-    b = (q.n_chars > 0) & (q.top_char <= 0.2) & (q.punct <= 0.35) & (q.newline <= 0.25) & (q.bullet <= 0.5) & (q.sentences >= 1)
-    return x.agg(F.count("*").alias("input"), F.count_if(a & b).alias("kept"), F.count_if(~a).alias("dropped_length"), F.count_if(a & ~b).alias("dropped_quality"))
+    x = docs(spark, d).select("text", F.lit(None).cast("string").alias("_dropped"))
+    x = filters.quality_filter().mark(filters.length_filter().mark(x, "length"), "quality")
+    gone = F.col("_dropped")
+    return x.agg(F.count("*").alias("input"), F.count_if(gone.isNull()).alias("kept"), F.count_if(gone == "length").alias("dropped_length"), F.count_if(gone == "quality").alias("dropped_quality"))
 
 
 @query("""WITH i AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS shard, coalesce(source, 'unknown') AS s FROM documents),
@@ -287,7 +295,11 @@ def shard_manifest(spark, d):
     return m.select("shard", "index", "count", F.array_join(pairs, ",").alias("sources"))
 
 
-@query()
+@query(f"""WITH RECURSIVE i AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS n, strlen(to_json({{'text': text, 'source': source}})) + 1 AS b FROM documents),
+r AS (SELECT 0::BIGINT AS n, 0::BIGINT AS shard, 0::BIGINT AS used, 0::BIGINT AS held, 0::BIGINT AS next
+UNION ALL SELECT i.n, next, CASE WHEN shut THEN 0 ELSE u END, CASE WHEN shut THEN 0 ELSE h END, CASE WHEN shut THEN next + 1 ELSE next END
+FROM (SELECT i.n, r.next, r.used + i.b AS u, r.held + 1 AS h, r.used + i.b >= 200000 OR r.held + 1 >= {writers.MOST_RECORDS} AS shut FROM r JOIN i ON i.n = r.n + 1) i)
+SELECT printf('shard-%04d.jsonl', shard) AS shard, shard AS index, count(*) AS count FROM r WHERE n > 0 GROUP BY shard""")
 def shard_manifest_bytes(spark, d):
     return writers.manifest(writers.shard_ids(docs(spark, d).select("doc_id", "text", "source"), "doc_id", 200_000, "bytes")).drop("sources")
 
@@ -310,24 +322,56 @@ def region_split(spark, d):
     return mix.regions(filters.byte_token_count(docs(spark, d).select("doc_id", "text")), 5, 50_000, 400_000).select("doc_id", "phase")
 
 
-@query()
+def _mix_sql(sources: list[tuple[str, int]], seed: int, epochs: int = 1, columns: str = "doc_id, source, out_pos") -> str:
+    """The round-robin step by step, a row of state a step."""
+    k, total = range(len(sources)), sum(w for _, w in sources)
+    have = ", ".join(f"count(*) FILTER (source = '{n}') * {epochs} AS l{i}" for i, (n, _) in enumerate(sources))
+    start = ", ".join(f"0.0::DOUBLE AS g{i}, l{i}, true AS a{i}" for i in k)
+    best = "CASE " + " ".join(f"WHEN a{i} AND " + " AND ".join(f"(NOT a{j} OR h{i} >= h{j})" for j in k) + f" THEN {i}" for i in mix.shuffled(len(sources), seed)) + " END"
+    gain = ", ".join(f"CASE WHEN a{i} THEN g{i} + {w} ELSE g{i} END AS h{i}" for i, (_, w) in enumerate(sources))
+    left = "CASE " + " ".join(f"WHEN p = {i} THEN l{i}" for i in k) + " END"
+    step = ", ".join(f"h{i} - CASE WHEN p = {i} THEN {total} ELSE 0 END, l{i} - CASE WHEN p = {i} AND l{i} > 0 THEN 1 ELSE 0 END, a{i} AND NOT (p = {i} AND l{i} = 0)" for i in k)
+    name = "CASE " + " ".join(f"WHEN p = {i} THEN '{n}'" for i, (n, _) in enumerate(sources)) + " END"
+    return f"""WITH RECURSIVE c AS (SELECT {have} FROM documents), s AS (SELECT 0::BIGINT AS step, -1 AS p, false AS gave, -1::BIGINT AS place, {start} FROM c
+UNION ALL SELECT step + 1, p, {left} > 0, place + CASE WHEN {left} > 0 THEN 1 ELSE 0 END, {step} FROM (SELECT *, {best} AS p FROM (SELECT * EXCLUDE (p), {gain} FROM s WHERE {' OR '.join(f'a{i}' for i in k)}))),
+o AS (SELECT {name} AS source, place AS out_pos, row_number() OVER (PARTITION BY p ORDER BY place) - 1 AS k FROM s WHERE gave),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM documents),
+e AS (SELECT *, unnest(range({epochs}))::INT AS epoch FROM d) SELECT {columns} FROM (SELECT e.doc_id, e.source, e.epoch, o.out_pos FROM e JOIN o ON e.source = o.source AND o.k = e.epoch * e.n + e.rank)"""
+
+
+WEIGHTED, EPOCHS = [("common-web", 4), ("wiki-en", 1), ("code-python", 2)], [("wiki-fr", 1), ("wiki-de", 1)]
+
+
+@query(_mix_sql(WEIGHTED, 3))
 def mix_weighted(spark, d):
-    return mix.weighted(docs(spark, d).select("doc_id", "source"), [("common-web", 4), ("wiki-en", 1), ("code-python", 2)], seed=3).select("doc_id", "source", "out_pos")
+    return mix.weighted(docs(spark, d).select("doc_id", "source"), WEIGHTED, seed=3).select("doc_id", "source", "out_pos")
 
 
-@query()
+@query(_mix_sql(EPOCHS, 1, 3, "doc_id, source, epoch, out_pos"))
 def mix_epochs(spark, d):
-    return mix.weighted(docs(spark, d).select("doc_id", "source"), [("wiki-fr", 1), ("wiki-de", 1)], seed=1, epochs=3).select("doc_id", "source", "epoch", "out_pos")
+    return mix.weighted(docs(spark, d).select("doc_id", "source"), EPOCHS, seed=1, epochs=3).select("doc_id", "source", "epoch", "out_pos")
 
 
-@query()
+def _split_sql(ratio: float, seed: int, sizes: tuple[int, ...] = (100, 1000)) -> str:
+    """By the seeded permutation written out as values, for tables of these sizes."""
+    import random
+
+    rows = []
+    for n in sizes:
+        order = list(range(n))
+        random.Random(seed).shuffle(order)
+        rows.append(f"({n}, {sorted(order[: mix.split_sizes(n, ratio)])})")
+    return f"WITH p(n, train) AS (VALUES {', '.join(rows)}), d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, list_contains(train, k) AS in_train FROM d JOIN p USING (n)"
+
+
+@query(_split_sql(0.9, 7))
 def seeded_split(spark, d):
     return mix.seeded_split(docs(spark, d).select("doc_id"), 0.9, 7)
 
 
-@query(f"SELECT count(*) AS rows, sum(length({TEXT}))::BIGINT AS chars FROM documents")
+@query(f"SELECT count(*) AS rows, sum(length({TEXT}))::BIGINT AS chars, sum(strlen(to_json({{'doc_id': doc_id, 'text': {TEXT}}})) + 1)::BIGINT AS bytes FROM documents")
 def corpus_fingerprint(spark, d):
-    return writers.fingerprint(docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("rows", "chars")
+    return writers.fingerprint(docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("rows", "chars", "bytes")
 
 
 @query(f"SELECT doc_id, coalesce(sum(strlen({TEXT})) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents")
@@ -429,15 +473,30 @@ c AS (SELECT doc_id, g, count(*) AS repeats FROM g GROUP BY ALL)
 SELECT doc_id, array_to_string(g, ' ') AS gram, repeats FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY repeats DESC, g DESC) = 1""")
 def top_ngram(spark, d):
     x = docs(spark, d).select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("ws"))
-    g = F.when(F.size("ws") < 3, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.slice("ws", i, 3)))
-    c = x.select("doc_id", F.explode(g).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c"))
-    return c.groupBy("doc_id").agg(F.max(F.struct("c", "g")).alias("b")).select("doc_id", F.array_join("b.g", " ").alias("gram"), F.col("b.c").alias("repeats"))
+    return stats.top_ngram(x, "doc_id", "ws", 3).select("doc_id", "gram", "repeats")
 
 
-@query()
+def _generation(spark, d):
+    return stats.generation_report(docs(spark, d).select("doc_id", pack.with_ends(pack.byte_ids(F.col("text")), eos=256).alias("ids")), "doc_id", "ids", 256)
+
+
+GENERATIONS = f"""t AS (SELECT doc_id, hex(encode({TEXT})) AS h, strlen({TEXT}) AS n FROM documents),
+b AS (SELECT doc_id, n, list_transform(range(n), i -> substr(h, 2 * i + 1, 2)) AS u, list_transform(range(n - 1), i -> substr(h, 2 * i + 1, 4)) AS p FROM t),
+x AS (SELECT doc_id, substr(h, 2 * unnest(range(n - 2)) + 1, 6) AS g FROM t), c AS (SELECT doc_id, g, count(*) AS c FROM x GROUP BY ALL), r AS (SELECT doc_id, max(c) AS r FROM c GROUP BY doc_id),
+f AS (SELECT doc_id, n + 1 AS generated, true AS eos_stopped, CASE WHEN n = 0 THEN 0.0 ELSE len(list_distinct(u)) / n::DOUBLE END AS distinct_1,
+  CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 1.0 ELSE len(list_distinct(p)) / (n - 1)::DOUBLE END AS distinct_2, coalesce(r, 0) AS repeats FROM b LEFT JOIN r USING (doc_id)),
+g AS (SELECT *, generated > 1 AND (repeats > 4 OR distinct_2 < 0.2) AS degenerate FROM f)"""
+
+
+@query(f"WITH {GENERATIONS} SELECT doc_id, generated::BIGINT AS generated, eos_stopped, round(distinct_1, 9) AS distinct_1, round(distinct_2, 9) AS distinct_2, repeats, degenerate FROM g")
+def generation_report(spark, d):
+    return _generation(spark, d).select("doc_id", "generated", "eos_stopped", F.round("distinct_1", 9).alias("distinct_1"), F.round("distinct_2", 9).alias("distinct_2"), "repeats", "degenerate")
+
+
+@query(f"WITH {GENERATIONS} SELECT count(*) AS generations, 1.0::DOUBLE AS eos_rate, round(avg(degenerate::INT), 9) AS degenerate_rate, round(avg(distinct_2), 9) AS distinct_2, round(avg(generated), 9) AS mean_length FROM g")
 def generation_rates(spark, d):
-    x = docs(spark, d).select("doc_id", pack.with_ends(pack.byte_ids(F.col("text")), eos=256).alias("ids"))
-    return stats.generation_rates(stats.generation_report(x, "doc_id", "ids", 256))
+    x = stats.generation_rates(_generation(spark, d))
+    return x.select("generations", *(F.round(c, 9).alias(c) for c in ("eos_rate", "degenerate_rate", "distinct_2", "mean_length")))
 
 
 @query("""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
