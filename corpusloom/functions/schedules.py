@@ -16,11 +16,12 @@ def token_lr(tokens: Column, peak: float, warmup: int, total: int, min_ratio: fl
     return F.when(t < warmup, t / warmup * peak).otherwise(cosine) if warmup > 0 else cosine
 
 
-def warmup_steps(total: int, ratio: float, least: int = 20) -> int:
-    """Steps of warm-up: a share of the run, at least ``least``, always shorter than the run."""
-    if total <= 0 or not 0 <= ratio < 1:
-        raise ValueError("total must be positive and ratio in [0, 1)")
-    return 0 if total == 1 else max(0, min(total - 1, max(least, round(ratio * total))))
+def warmup_steps(total: Column, ratio: float, least: int = 20) -> Column:
+    """Steps of warm-up: a share of the run, but no fewer than ``least`` and always one fewer than the run's."""
+    if not 0 <= ratio < 1:
+        raise ValueError("a share of the run is below 1")
+    share = F.bround(total * F.lit(float(ratio)), 0)
+    return F.when(total >= 1, F.least(total - 1, F.greatest(F.lit(least), share))).cast("bigint")
 
 
 def step_lr(step: Column, peak: float, warmup: int, total: int, min_ratio: float = 0.1) -> Column:
@@ -40,6 +41,45 @@ def budget_steps(budget: Column, micro: Column, accumulate: Column, seq_len: Col
     return F.struct(full.alias("full_steps"), tail.alias("tail_micro_batches"), planned.alias("tokens"), (budget - planned).alias("left"))
 
 
+def simulate(budget: Column, micro: Column, accumulate: Column, seq_len: Column) -> Column:
+    """A run that spends the budget: its steps, tokens, the micro-batches of the last step, and what it overshoots (nothing)."""
+    one = micro * seq_len
+    full = F.floor(budget / (one * accumulate))
+    tail = F.floor((budget - full * one * accumulate) / one)
+    tokens = (full * accumulate + tail) * one
+    last = F.when(tail > 0, tail).when(full > 0, accumulate).otherwise(0)
+    return F.struct((full + F.when(tail > 0, 1).otherwise(0)).alias("steps"), tokens.alias("tokens"), last.cast("bigint").alias("final_micro_batches"), F.greatest(tokens - budget, F.lit(0)).alias("overshoot"))
+
+
+def stage_budget(override: Column, hours: Column, per_second: Column, default: int, floor: int) -> Column:
+    """Tokens of a stage: those given, else what the hours allow at the rate, else the default; where they come from, the hours they take, and whether they are too few."""
+    given, timed = override > 0, (hours > 0) & (per_second > 0)
+    tokens = F.when(given, override).when(timed, F.floor(hours * 3600 * per_second)).when(hours > 0, F.lit(None)).otherwise(F.lit(default)).cast("bigint")
+    origin = F.when(given, "override").when(hours > 0, "hours").otherwise("default")
+    return F.struct(tokens.alias("tokens"), origin.alias("origin"), F.when(per_second > 0, tokens / per_second / 3600).alias("hours"), (tokens < floor).alias("below_floor"))
+
+
+# Tokens per parameter at which a model of its own changes in kind, and at which data and size are in balance.
+BANDS = ((1.0, "statistics"), (2.0, "fragments"), (8.0, "local"), (15.0, "readable"))
+BALANCED = 20.0
+
+
+def capability(tokens: Column, parameters: Column) -> Column:
+    """Tokens per parameter, and what a model trained from nothing on so many can be: ``statistics`` of tokens only, ``fragments``,
+    ``local`` coherence, ``readable`` paragraphs, or near ``balanced``."""
+    ratio = F.when(parameters > 0, tokens / parameters)
+    band = F.when(ratio.isNull(), None)
+    for edge, name in BANDS:
+        band = band.when(ratio < edge, name)
+    return F.struct(ratio.alias("ratio"), band.otherwise("balanced").alias("band"))
+
+
+def verdict(tokens: Column, parameters: Column) -> Column:
+    """``early`` below one token a parameter, ``small`` below half of the balance, else ``balanced``."""
+    ratio = F.when(parameters > 0, tokens / parameters)
+    return F.when(ratio.isNull(), None).when(ratio < 1.0, "early").when(ratio < BALANCED / 2, "small").otherwise("balanced")
+
+
 def epoch_tokens(tokens: Column, seq_len: Column, epochs: Column) -> Column:
     """Tokens of whole rows over some epochs."""
     return F.floor(tokens / seq_len) * seq_len * epochs

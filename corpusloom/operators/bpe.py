@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # The pre-token pattern ``simple``.
 SIMPLE = r" ?[^\W_]+| ?[^\s\w]+|\s+(?!\S)|\s+"
 
@@ -178,8 +180,9 @@ def _share(tokenizer: Merges):
 # ---- training ---------------------------------------------------------------
 
 
-def word_counts(texts: DataFrame, column: str = "text", pattern: str | None = SIMPLE) -> DataFrame:
-    """(word, cnt): how often each pre-token occurs, counted per batch before the shuffle."""
+def word_counts(texts: DataFrame, column: str = "text", pattern: str | None = SIMPLE, split=None) -> DataFrame:
+    """(word, cnt): how often each pre-token occurs, counted per batch before the shuffle.  ``split`` cuts a text in another way."""
+    cut_up = split or (lambda t: split_words(t, pattern))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
@@ -188,7 +191,7 @@ def word_counts(texts: DataFrame, column: str = "text", pattern: str | None = SI
             c: Counter = Counter()
             for t in pdf[column]:
                 if t:
-                    c.update(split_words(t, pattern))
+                    c.update(cut_up(t))
             yield pd.DataFrame({"word": list(c), "cnt": list(c.values())})
 
     return texts.select(column).mapInPandas(run, "word string, cnt bigint").groupBy("word").agg(F.sum("cnt").alias("cnt"))
@@ -203,16 +206,23 @@ def pair_counts(counts: DataFrame) -> DataFrame:
     return x.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("cnt").alias("cnt"))
 
 
-def train(counts: DataFrame, merges: int, min_count: int = 2, max_words: int = 1_000_000) -> Merges:
-    """Learn merges: most frequent pair first, of equals the larger pair.
+#: Most distinct words that training holds on the driver; with more, each merge is a round of Spark over the words.
+DRIVER_WORDS = 1_000_000
+#: Rounds between lineage cuts in distributed training.
+CUT_EVERY = 10
+
+
+def train(counts: DataFrame, merges: int, min_count: int = 2, max_words: int = DRIVER_WORDS, start: Sequence[tuple[int, int]] = ()) -> Merges:
+    """Learn merges up to ``merges`` in all: most frequent pair first, of equals the larger pair.
 
-    Words are counted by Spark over all texts; the loop runs on the driver over
-    distinct words, whose number must not exceed ``max_words``.
+    Words are counted by Spark over all texts.  Up to ``max_words`` distinct words the loop runs on
+    the driver; beyond, ``train_distributed`` gives the same merges.  ``start`` are merges learnt before.
     """
     rows = counts.limit(max_words + 1).collect()
     if len(rows) > max_words:
-        raise ValueError(f"more than {max_words} distinct words; raise max_words or filter rare words first")
-    ws = [(list(r["word"].encode("utf-8")), r["cnt"]) for r in rows]
+        return train_distributed(counts, merges, min_count, start)
+    known = Merges(list(start), pattern=None)
+    ws = [(list(known.word(r["word"])) if start else list(r["word"].encode("utf-8")), r["cnt"]) for r in rows]
     have: dict = {}
     holders: dict = {}
     for n, (w, c) in enumerate(ws):
@@ -221,7 +231,7 @@ def train(counts: DataFrame, merges: int, min_count: int = 2, max_words: int = 1
             holders.setdefault(p, set()).add(n)
     heap = [(-c, (-p[0], -p[1])) for p, c in have.items()]
     heapq.heapify(heap)
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int]] = [tuple(p) for p in start]
     while heap and len(out) < merges:
         c, np_ = heapq.heappop(heap)
         p = (-np_[0], -np_[1])
@@ -237,14 +247,7 @@ def train(counts: DataFrame, merges: int, min_count: int = 2, max_words: int = 1
             for q in zip(w, w[1:]):
                 have[q] -= k
                 touched.add(q)
-            i, r = 0, []
-            while i < len(w):
-                if i + 1 < len(w) and (w[i], w[i + 1]) == p:
-                    r.append(new)
-                    i += 2
-                else:
-                    r.append(w[i])
-                    i += 1
+            r = merged(w, p, new)
             ws[n] = (r, k)
             for q in zip(r, r[1:]):
                 have[q] = have.get(q, 0) + k
@@ -257,3 +260,92 @@ def train(counts: DataFrame, merges: int, min_count: int = 2, max_words: int = 1
             else:
                 have.pop(q, None)
     return Merges(out)
+
+
+def merged(w: Sequence[int], pair: tuple[int, int], new: int) -> list[int]:
+    """A word with each occurrence of the pair, from the left, as one id."""
+    i, out = 0, []
+    while i < len(w):
+        if i + 1 < len(w) and w[i] == pair[0] and w[i + 1] == pair[1]:
+            out.append(new)
+            i += 2
+        else:
+            out.append(w[i])
+            i += 1
+    return out
+
+
+def train_distributed(counts: DataFrame, merges: int, min_count: int = 2, start: Sequence[tuple[int, int]] = ()) -> Merges:
+    """The same merges with the words left in Spark: a grouped count of pairs a round, of which the best one comes to the driver.
+
+    Pairs are counted within tasks before the shuffle, so what moves is a row per pair and task.
+    """
+    known = Merges(list(start), pattern=None)
+
+    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"ids": [list(known.word(w)) for w in pdf["word"]], "cnt": pdf["cnt"]})
+
+    def join(pair: tuple[int, int], new: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(ids=[merged(w.tolist(), pair, new) if len(w) > 1 else w for w in pdf["ids"]])
+
+        return run
+
+    schema = "ids array<int>, cnt bigint"
+    words = cut(counts.select("word", "cnt").mapInPandas(ids, schema).where(F.size("ids") > 1))
+    out: list[tuple[int, int]] = [tuple(p) for p in start]
+    while len(out) < merges:
+        pairs = words.select("cnt", F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("a"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("b"))).alias("p"))
+        best = pairs.groupBy("p.a", "p.b").agg(F.sum("cnt").alias("n")).agg(F.max(F.struct("n", "a", "b")).alias("m")).first()["m"]
+        if best is None or best["n"] < min_count:
+            break
+        pair = (best["a"], best["b"])
+        words = words.mapInPandas(join(pair, 256 + len(out)), schema).where(F.size("ids") > 1)
+        out.append(pair)
+        if len(out) % CUT_EVERY == 0:
+            words = cut(words)
+    return Merges(out)
+
+
+def train_tokenizer(texts: DataFrame, config, path: str | None = None, max_docs: int | None = None, pos: str = "doc_id", every: int = 1000, resume: bool = True, min_count: int = 2):
+    """Trains up to the vocabulary's room and saves the tokenizer; (tokenizer, report).
+
+    Merges are saved each ``every``, so a run that was lost goes on from its file: with ``resume``, from one of the
+    same configuration.  ``max_docs`` takes the first documents in order.
+    """
+    import time
+
+    from ..sources.files import FileSystem
+    from .tokenizer import Tokenizer
+
+    began = time.perf_counter()
+    rows = texts.orderBy(pos).limit(max_docs) if max_docs is not None else texts
+    pattern = {"simple": SIMPLE, None: None, "": None}.get(config.pre_tokenize, config.pre_tokenize)
+    if config.pre_tokenize == "gpt2":
+        from .tokenizer import gpt2_words
+
+        counts = word_counts(rows, split=gpt2_words())
+    else:
+        counts = word_counts(rows, pattern=pattern)
+    counts = cut(counts)
+    done: list[tuple[int, int]] = []
+    if path and resume and FileSystem(texts.sparkSession).is_file(path):
+        old = Tokenizer.load(path)
+        if old.config == config:
+            done = list(old.merges)
+    resumed = len(done)
+    while len(done) < config.most_merges:
+        got = train(counts, min(config.most_merges, len(done) + every), min_count, start=done).pairs
+        more = len(got) - len(done)
+        done = got
+        if path:
+            Tokenizer(config, done).save(path)
+        if more < every:
+            break
+    tokenizer = Tokenizer(config, done)
+    if path:
+        tokenizer.save(path)
+    facts = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("occurrences")).first()
+    return tokenizer, tokenizer.report() | {"resumed_from": resumed, "distinct_words": facts["words"], "words": facts["occurrences"], "seconds": round(time.perf_counter() - began, 3)}

@@ -58,7 +58,7 @@ def exact_capped(df: DataFrame, max_seen: int, pos: str = "doc_id", normalize: b
 
 def family(permutations: int = PERMUTATIONS, seed: int = 0) -> list[tuple[int, int]]:
     """The (a, b) of each hash function, from seeded generators."""
-    out = []
+    out = []  # fixed values: the seeds and the order of the draws
     for i in range(permutations):
         rng = random.Random(f"{seed}:{i}")
         out.append((rng.randrange(1, PRIME), rng.randrange(0, PRIME)))

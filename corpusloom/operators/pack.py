@@ -86,3 +86,14 @@ def id_bound(max_id: int, dtype: str) -> None:
 def resume(rows: DataFrame, row_idx: int) -> DataFrame:
     """Rows from a saved position on."""
     return rows.where(F.col("row_idx") >= row_idx)
+
+
+def epochs(rows: DataFrame, times: int, size: int = 1, start: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Adds ``epoch`` and ``batch``: the rows ``times`` over, in batches of ``size``; from a saved (epoch, row) on.
+
+    Each epoch begins its batches anew; rows left over at its end are dropped.  (epoch, row_idx) is the order.
+    """
+    full = F.broadcast(rows.agg(F.floor((F.max("row_idx") + 1) / size).alias("_full")))
+    x = rows.withColumn("batch", F.floor(F.col("row_idx") / size)).crossJoin(full).where("batch < _full").drop("_full")
+    x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return x.where((F.col("epoch") > start[0]) | ((F.col("epoch") == start[0]) & (F.col("row_idx") >= start[1])))

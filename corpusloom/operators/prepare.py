@@ -85,6 +85,13 @@ def manifest_errors(m: dict, name: str = PACKED_FORMAT) -> list[str]:
     return out
 
 
+def phase_paths(m: dict, phase: str, base: str = "", suffix: str = ".npy") -> list[str]:
+    """Paths of a phase's shards in the manifest's order."""
+    if phase not in (m.get("phases") or {}):
+        raise ValueError(f"no phase {phase!r} in the manifest")
+    return [f"{base.rstrip('/')}/{s['shard']}{suffix}".lstrip("/" if not base else "") for s in m["phases"][phase]]
+
+
 def write_npy(rows: DataFrame, plan: Plan, out_dir: str) -> DataFrame:
     """One ``.npy`` matrix per shard in a shared folder, written by its task under another name and renamed; (phase, shard, rows)."""
     import os

@@ -207,6 +207,32 @@ def router(df: DataFrame, key: str, logits: str, k: int) -> DataFrame:
     return x.select(key, "expert", (F.col("p") / F.sum("p").over(Window.partitionBy(key))).alias("weight"))
 
 
+def load_balance(df: DataFrame, key: str, logits: str, k: int) -> DataFrame:
+    """(experts, loss): how unevenly a router spreads rows; 1 where all experts get alike.
+
+    The number of experts times the sum over experts of their share of routed weight times their mean probability.
+    """
+    x = df.select(key, F.size(logits).alias("_e"), F.posexplode(softmax(F.col(logits))).alias("expert", "p"))
+    mean = x.groupBy("expert").agg(F.sum("p").alias("p"), F.max("_e").alias("e"))
+    got = router(df, key, logits, k).groupBy("expert").agg(F.sum("weight").alias("w"))
+    n = df.agg(F.count("*").alias("n"))
+    per = mean.join(got, "expert", "left").na.fill(0.0, ["w"]).crossJoin(F.broadcast(n))
+    return per.agg(F.max("e").alias("experts"), (F.max("e") * F.sum(F.col("w") / F.col("n") * F.col("p") / F.col("n"))).alias("loss"))
+
+
+def account(steps: DataFrame, order: str, tokens: str, budget: int) -> DataFrame:
+    """Adds ``before`` and ``left``, and ``over`` for steps that would cross the budget, which none should."""
+    x = prefix_sum(steps, [order], {"before": tokens})
+    after = F.col("before") + F.col(tokens)
+    return x.withColumn("left", F.greatest(F.lit(budget) - after, F.lit(0))).withColumn("over", after > budget)
+
+
+def markdown(df: DataFrame) -> str:
+    """A small table as text for a report, columns as they come."""
+    rows = [[("—" if v is None else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else f"{v:.4f}" if isinstance(v, float) else str(v)).replace("|", "\\|") for v in r] for r in df.collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
+
+
 # ---- training telemetry -----------------------------------------------------
 
 

@@ -24,13 +24,36 @@ FILE_TYPE, FILE_VERSION = "ByteLevelBPE", 1
 
 
 def gpt2_like() -> str:
-    """Contractions, letter runs, digit runs, symbol runs, white space; letters by Unicode class.
+    """Contractions, letter runs, digit runs, symbol runs, white space.
 
-    For the ``regex`` package; a letter is whatever Unicode calls so, not a list of ranges.
+    For the ``regex`` package, in its set notation.  Letters are those of the basic plane, as saved tokenizers
+    have them; letters beyond it are cut with symbols, and so are digits other than 0-9 and ``_``.
     """
-    return r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?[0-9]+| ?[^\s\p{L}0-9]+|\s+(?!\S)|\s+"
+    # The public pattern of that name.
+    letters = r"[\p{L}&&[\x00-\uffff]]"
+    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letters}+| ?[0-9]+| ?[^\s0-9{letters}]+|\s+(?!\S)|\s+"
 
 
+class gpt2_words:  # noqa: N801
+    """Cuts a text by that pattern, with the spans between its matches, so that the parts join to the text."""
+
+    def __init__(self) -> None:
+        import regex
+
+        self._rx = regex.compile(gpt2_like())
+
+    def __reduce__(self):
+        return gpt2_words, ()
+
+    def __call__(self, text: str) -> list[str]:
+        out, at = [], 0
+        for m in self._rx.finditer(text):
+            out += [w for w in (text[at : m.start()], m[0]) if w]
+            at = m.end()
+        return out + ([text[at:]] if at < len(text) else [])
+
+
+# Fields and defaults are those of the tokenizer file.
 @dataclass
 class Config:
     vocab_size: int = 32768
@@ -69,9 +92,7 @@ class Tokenizer:
         pattern = {"simple": bpe.SIMPLE, None: None, "": None}.get(config.pre_tokenize, config.pre_tokenize)
         self._gpt2 = None
         if config.pre_tokenize == "gpt2":
-            import regex
-
-            self._gpt2, pattern = regex.compile(gpt2_like()), None
+            self._gpt2, pattern = gpt2_words(), None
         self._bpe = bpe.Merges(list(self.merges), pattern=pattern)
         top = config.vocab_size - len(config.specials)
         self.special_ids = {t: top + i for i, t in enumerate(config.specials)}
@@ -87,13 +108,7 @@ class Tokenizer:
     def _plain(self, text: str) -> list[int]:
         if self._gpt2 is None:
             return self._bpe.encode(text)
-        out, at = [], 0
-        for m in self._gpt2.finditer(text):
-            for w in (text[at : m.start()], m[0]):
-                if w:
-                    out.extend(self._bpe.word(w))
-            at = m.end()
-        return out + (list(self._bpe.word(text[at:])) if at < len(text) else [])
+        return [i for w in self._gpt2(text) for i in self._bpe.word(w)]
 
     def encode(self, text: str, bos: bool = False, eos: bool = False, split_special: bool | None = None) -> list[int]:
         """Ids; with split_special the strings of special tokens in the text become their ids."""

@@ -61,3 +61,20 @@ def identity_hash(manifest: DataFrame) -> DataFrame:
     """One hash of (shard, count) without paths, so that a moved corpus is still the same."""
     base = F.regexp_extract("shard", r"([^/]+)$", 1)
     return manifest.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", base, F.col("count").cast("string")))), ","), 256).alias("identity"))
+
+
+def lookup(rows: DataFrame, registry: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
+    """Adds the registry's ``name`` for each row's shape (null-safe on all keys); ``known`` is false where there is none."""
+    right = registry.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(name)).dropDuplicates([f"_k_{k}" for k in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & rows[k].eqNullSafe(right[f"_k_{k}"])
+    return rows.join(right, cond, "left").select(*(rows[c] for c in rows.columns), name, F.col(name).isNotNull().alias("known"))
+
+
+def pairing_problems(assets: DataFrame, presets: DataFrame) -> DataFrame:
+    """(asset, owners, problem): assets (asset) that not exactly one preset (preset, asset) claims, and claims of assets that aren't there."""
+    claims = presets.where("asset is not null").groupBy("asset").agg(F.countDistinct("preset").alias("owners"))
+    x = assets.select("asset").distinct().withColumn("there", F.lit(True)).join(claims, "asset", "full").na.fill(0, ["owners"])
+    problem = F.when(F.col("there").isNull(), "no asset").when(F.col("owners") == 0, "no owner").when(F.col("owners") > 1, "several owners")
+    return x.withColumn("problem", problem).where("problem is not null").select("asset", "owners", "problem")

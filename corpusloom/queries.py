@@ -718,9 +718,104 @@ def newest_checkpoint(spark, d):
     return x.withColumn("step", S.checkpoint_step(F.col("path"))).orderBy(F.desc("step")).limit(1)
 
 
-@query("""SELECT stage_key, format('{:,}', token_budget) AS count_text, printf('%.2fM', token_budget / 1e6) AS short, printf('%02dm %02ds', seq_len // 60, seq_len % 60) AS duration FROM stages""")
+@query("""SELECT stage_key, format('{:,}', token_budget) AS count_text, printf('%.2fM', token_budget / 1e6) AS short, printf('%02dm %02ds', seq_len // 60, seq_len % 60) AS duration,
+format('{:,}', seq_len) || ' out of ' || printf('%.2fM', token_budget / 1e6) || printf(' (%.1f%%)', seq_len * 100.0 / token_budget) AS progress,
+CASE WHEN max_epochs IS NULL THEN '—' ELSE printf('%.4f', max_epochs::DOUBLE) END AS loss, CASE WHEN max_epochs IS NULL THEN '—' ELSE printf('%.1f%%', max_epochs * 100.0) END AS percent FROM stages""")
 def formats(spark, d):
-    return table(spark, d, "stages").select("stage_key", S.count_text(F.col("token_budget")).alias("count_text"), S.short_number(F.col("token_budget")).alias("short"), S.duration(F.col("seq_len").cast("double")).alias("duration"))
+    x = table(spark, d, "stages")
+    return x.select(
+        "stage_key", S.count_text(F.col("token_budget")).alias("count_text"), S.short_number(F.col("token_budget")).alias("short"), S.duration(F.col("seq_len").cast("double")).alias("duration"),
+        S.progress_text(F.col("seq_len"), F.col("token_budget")).alias("progress"), S.loss_text(F.col("max_epochs").cast("double")).alias("loss"), S.percent(F.col("max_epochs").cast("double")).alias("percent"),
+    )
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_orderkey * 777 AS b, 4 * 512 AS one FROM orders), f AS (SELECT *, b // (one * 8) AS full_steps FROM s), t AS (SELECT *, (b - full_steps * one * 8) // one AS tail FROM f)
+SELECT o_orderkey, full_steps + CASE WHEN tail > 0 THEN 1 ELSE 0 END AS steps, (full_steps * 8 + tail) * one AS tokens, CASE WHEN tail > 0 THEN tail WHEN full_steps > 0 THEN 8 ELSE 0 END AS final_micro_batches, 0::BIGINT AS overshoot FROM t""")
+def budget_simulation(spark, d):
+    x = table(spark, d, "orders").select("o_orderkey", S.simulate(F.col("o_orderkey") * 777, F.lit(4), F.lit(8), F.lit(512)).alias("r"))
+    return x.select("o_orderkey", "r.*")
+
+
+@query("""WITH s AS (SELECT o_orderkey, floor(o_totalprice * 10)::BIGINT AS t FROM orders), c AS (SELECT *, sum(t) OVER (ORDER BY o_orderkey) AS u FROM s)
+SELECT o_orderkey, (u - t)::BIGINT AS before, greatest(1000000000 - u, 0)::BIGINT AS left, u > 1000000000 AS over FROM c""".replace("AS left", 'AS "left"'))
+def budget_account(spark, d):
+    x = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") * 10).cast("bigint").alias("t"))
+    return stats.account(x, "o_orderkey", "t", 1_000_000_000).drop("t")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey * 1000000 WHEN s_suppkey % 3 = 0 THEN floor(s_suppkey % 7 * 0.5 * 3600 * 25000)::BIGINT ELSE 2000000000 END AS tokens,
+CASE WHEN s_suppkey % 5 = 0 THEN 'override' WHEN s_suppkey % 3 = 0 AND s_suppkey % 7 > 0 THEN 'hours' ELSE 'default' END AS origin FROM supplier WHERE s_suppkey > 0 AND (s_suppkey % 3 <> 0 OR s_suppkey % 7 > 0 OR s_suppkey % 5 = 0)""")
+def stage_budgets(spark, d):
+    k = F.col("s_suppkey")
+    hours = F.when(k % 3 == 0, k % 7 * 0.5).otherwise(0.0)
+    x = table(spark, d, "supplier").select("s_suppkey", S.stage_budget(F.when(k % 5 == 0, k * 1_000_000).otherwise(0), hours, F.lit(25_000.0), 2_000_000_000, 100_000_000).alias("r"))
+    return x.where("s_suppkey > 0 and (s_suppkey % 3 <> 0 or s_suppkey % 7 > 0 or s_suppkey % 5 = 0)").select("s_suppkey", "r.tokens", "r.origin")
+
+
+@query("""WITH r AS (SELECT c_custkey, c_custkey * 40000000 / 1000000000.0 AS x FROM customer)
+SELECT c_custkey, round(x, 6) AS ratio, CASE WHEN x < 1 THEN 'statistics' WHEN x < 2 THEN 'fragments' WHEN x < 8 THEN 'local' WHEN x < 15 THEN 'readable' ELSE 'balanced' END AS band, CASE WHEN x < 1 THEN 'early' WHEN x < 10 THEN 'small' ELSE 'balanced' END AS verdict FROM r""")
+def capability_bands(spark, d):
+    t = F.col("c_custkey") * 40_000_000
+    x = table(spark, d, "customer").select("c_custkey", S.capability(t, F.lit(1_000_000_000)).alias("r"), S.verdict(t, F.lit(1_000_000_000)).alias("verdict"))
+    return x.select("c_custkey", F.round("r.ratio", 6).alias("ratio"), "r.band", "verdict")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey >= 1 THEN least(o_orderkey - 1, greatest(20, round_even(o_orderkey * 0.03, 0)))::BIGINT END AS warmup FROM orders")
+def warmup(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", S.warmup_steps(F.col("o_orderkey"), 0.03).alias("warmup"))
+
+
+@query(f"""WITH {LOGITS}, e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM l), p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, token) AS r FROM e),
+w AS (SELECT *, CASE WHEN r <= 2 THEN p / sum(CASE WHEN r <= 2 THEN p END) OVER (PARTITION BY vec_id) ELSE 0 END AS w FROM p), x AS (SELECT token, avg(w) AS f, avg(p) AS p FROM w GROUP BY token)
+SELECT count(*) AS experts, round(count(*) * sum(f * p), 6) AS loss FROM x""")
+def moe_balance(spark, d):
+    return stats.load_balance(table(spark, d, "embeddings"), "vec_id", "embedding", 2).select(F.col("experts").cast("bigint").alias("experts"), F.round("loss", 6).alias("loss"))
+
+
+@query("SELECT n_nationkey, r_name AS name, r_name IS NOT NULL AS known FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) ON n_regionkey = r_regionkey")
+def shape_lookup(spark, d):
+    registry = table(spark, d, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").alias("shape"), F.col("r_name").alias("name"))
+    return validate.lookup(table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("shape")), registry, ["shape"]).drop("shape")
+
+
+@query("""WITH a AS (SELECT DISTINCT n_nationkey AS asset FROM nation WHERE n_nationkey <> 4), c AS (SELECT s_nationkey AS asset, count(DISTINCT s_suppkey) AS owners FROM supplier WHERE s_nationkey % 6 <> 1 GROUP BY 1)
+SELECT coalesce(a.asset, c.asset) AS asset, coalesce(owners, 0) AS owners, CASE WHEN a.asset IS NULL THEN 'no asset' WHEN owners IS NULL THEN 'no owner' ELSE 'several owners' END AS problem
+FROM a FULL JOIN c ON a.asset = c.asset WHERE a.asset IS NULL OR coalesce(owners, 0) <> 1""")
+def asset_pairing(spark, d):
+    assets = table(spark, d, "nation").where("n_nationkey <> 4").select(F.col("n_nationkey").alias("asset"))
+    presets = table(spark, d, "supplier").where("s_nationkey % 6 <> 1").select(F.col("s_nationkey").alias("asset"), F.col("s_suppkey").alias("preset"))
+    return validate.pairing_problems(assets, presets)
+
+
+def _small_rows(spark, d):
+    """Rows of 512 with the shard of 100 rows they stand in."""
+    ids = pack.with_ends(pack.byte_ids(F.col("text")), eos=256)
+    return pack.pack(docs(spark, d).select("doc_id", ids.alias("ids")), 512, pad=257).select("row_idx", F.floor(F.col("row_idx") / 100).alias("shard"))
+
+
+ROWS = f"t AS (SELECT ceil(sum(strlen({TEXT}) + 1) / 512.0)::BIGINT AS n FROM documents), r AS (SELECT unnest(range(n)) AS row_idx, n FROM t)"
+
+
+@query(f"""WITH {ROWS}, s AS (SELECT row_idx // 100 AS shard, row_idx % 100 AS k, least(100, n - row_idx // 100 * 100) AS size FROM r)
+SELECT shard, (k // 16)::BIGINT AS batch, count(*) AS rows FROM s WHERE k // 16 < size // 16 GROUP BY ALL""")
+def packed_batches(spark, d):
+    rows = _small_rows(spark, d).withColumn("row_idx", F.col("row_idx") % 100)
+    return pack.batches(rows, 16, drop_last=True, by=["shard"]).groupBy("shard", "batch").agg(F.count("*").alias("rows"))
+
+
+@query(f"""WITH {ROWS}, e AS (SELECT *, unnest(range(3)) AS epoch FROM r) SELECT epoch::INT AS epoch, (row_idx // 32)::BIGINT AS batch, count(*) AS rows FROM e
+WHERE row_idx // 32 < n // 32 AND (epoch > 1 OR epoch = 1 AND row_idx >= 70) GROUP BY ALL""")
+def resumed_epochs(spark, d):
+    return pack.epochs(_small_rows(spark, d), 3, 32, (1, 70)).groupBy("epoch", "batch").agg(F.count("*").alias("rows"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split({TEXT}, chr(10) || chr(10))) AS p FROM documents), k AS (SELECT trim(regexp_replace(lower(p), '{WS}+', ' ', 'g')) AS t FROM p WHERE length({STRIP % 'p'}) >= 1)
+SELECT count(*) AS paragraphs, count(DISTINCT t) AS kept FROM k""")
+def paragraph_workload(spark, d):
+    p = docs(spark, d).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n\n", -1)).alias("n", "p"))
+    x = filters.length_filter(1)(p.select(F.struct("doc_id", "n").alias("pos"), T.strip_space(F.col("p")).alias("text")))
+    kept = dedup.exact(x, "pos", keep=[]).agg(F.count("*").alias("kept"))
+    return x.agg(F.count("*").alias("paragraphs")).crossJoin(kept)
 
 
 @query("SELECT n_nationkey, (24 * (4 * w * w + 3 * w * f + 2 * w) + 32000 * w + w) AS parameters, (24 * (4 * w * w + 3 * w * f + 2 * w) + 32000 * w + w) * 6 AS flops_per_token FROM (SELECT n_nationkey, (n_nationkey::BIGINT + 1) * 64 AS w, (n_nationkey::BIGINT + 1) * 256 AS f FROM nation)")

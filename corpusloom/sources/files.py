@@ -28,6 +28,18 @@ class FileSystem:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p))
 
+    def walk(self, path: str) -> list[str]:
+        """All files below, by name; hidden ones (``_`` or ``.`` in front) are left out."""
+        fs, p = self._at(path)
+        out = []
+        for s in sorted(fs.listStatus(p), key=lambda s: s.getPath().getName()):
+            name = s.getPath().getName()
+            if name[0] in "._":
+                continue
+            child = f"{path.rstrip('/')}/{name}"
+            out += self.walk(child) if s.isDirectory() else [child]
+        return out
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         stream = fs.open(p)

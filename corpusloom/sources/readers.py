@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions.text import strip_space
+from ..operators.order import position
 from . import files
 
 _FILE, _ROW = "_metadata.file_path", "_metadata.row_index"
@@ -90,19 +91,63 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], source: str = "t
     return x.where("text <> ''")
 
 
+def read_corpus(spark: SparkSession, paths: str | Sequence[str], text_field: str = "text", on_invalid: str = "skip", max_docs: int | None = None) -> DataFrame:
+    """(text, src_file, src_row): tokenizer corpora as they lie: a document per line of ``.txt``, by field of ``.jsonl`` and ``.json``.
+
+    Folders are taken by name of their files.  Lines without a string text are left out, or with ``on_invalid='fail'`` an error.
+    """
+    if on_invalid not in ("skip", "fail"):
+        raise ValueError("on_invalid must be 'skip' or 'fail'")
+    fs = files.FileSystem(spark)
+    found = [f for p in _paths(paths) for f in (fs.walk(p) if fs.is_dir(p) else [p])]
+    lines, objects = [f for f in found if f.endswith((".txt", ".txt.gz"))], [f for f in found if f.endswith((".jsonl", ".json", ".jsonl.gz", ".json.gz"))]
+    if not lines and not objects:
+        raise FileNotFoundError(f"no .txt, .jsonl or .json under {paths}")
+    parts = [read_lines(spark, lines).select("text", "src_file", "src_row")] if lines else []
+    if objects:
+        x = _jsonl(spark, objects, text_field)
+        if on_invalid == "fail":
+            text = F.when(F.col("text").isNotNull(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("no text in "), "src_file", F.lit(": "), F.substring("value", 1, 200))))
+            x = x.withColumn("text", text)
+        parts.append(x.where("text is not null").select("text", "src_file", "src_row"))
+    out = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    return out if max_docs is None else out.orderBy("src_file", "src_row").limit(max_docs)
+
+
+def documents(df: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` records in order of (file, row) over all shards, with ``idx``, their number within the file, for messages."""
+    x = df.orderBy("src_file", "src_row").limit(limit)
+    return position(x, ["src_row"], "idx", ["src_file"])
+
+
+def page(df: DataFrame, start: int, size: int, pos: str = "doc_id") -> DataFrame:
+    """Rows start .. start + size of the order; fewer than that are an error and no short page."""
+    out = df.orderBy(pos).offset(start).limit(size)
+    if (n := out.count()) != size:
+        raise ValueError(f"{n} rows from {start} on, {size} were asked for")
+    return out
+
+
 def read_parquet(spark: SparkSession, paths: str | Sequence[str], source: str = "parquet", text_column: str = "text", columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows with a string text; only the named columns are read.  The files keep their given order in ``src_file``."""
+    """Rows with a string text; only the named columns are read.
+
+    ``src_no`` is the place of a row's file among the paths as given (files of one folder share it), so
+    (src_no, src_file, src_row) is the order asked for.  A text column of another type has no texts, so no rows.
+    """
     ps = _paths(paths)
     df = spark.read.parquet(*ps)
     if text_column not in df.columns:
         raise ValueError(f"no column {text_column!r}")
     if columns is not None and text_column not in columns:
         raise ValueError("columns must hold the text column")
-    if not isinstance(df.schema[text_column].dataType, Ty.StringType):
-        raise ValueError(f"{text_column!r} is no text")
-    others = [c for c in (columns if columns is not None else df.columns) if c not in (text_column, "text", "source", "src_file", "src_row")]
+    others = [c for c in (columns if columns is not None else df.columns) if c not in (text_column, "text", "source", "src_file", "src_row", "src_no")]
     own = F.coalesce(F.col("source"), F.lit(source)) if columns is None and "source" in df.columns else F.lit(source)
-    return df.select(F.col(text_column).alias("text"), own.alias("source"), *others, F.col(_FILE).alias("src_file"), F.col(_ROW).alias("src_row")).where("text is not null")
+    text = F.col(text_column) if isinstance(df.schema[text_column].dataType, Ty.StringType) else F.lit(None).cast("string")
+    no = F.lit(None).cast("int")
+    for n, p in enumerate(ps):
+        name = p.split("://")[-1].removeprefix("file:").rstrip("/")
+        no = F.coalesce(no, F.when(F.col(_FILE).contains(name), F.lit(n)))
+    return df.select(text.alias("text"), own.alias("source"), *others, F.col(_FILE).alias("src_file"), F.col(_ROW).alias("src_row"), no.alias("src_no")).where("text is not null")
 
 
 def read_frame(df: DataFrame, source: str, text_field: str = "text") -> DataFrame:
@@ -119,6 +164,17 @@ def read_packed(spark: SparkSession, paths: str | Sequence[str], seq_len: int, m
     return df.withColumn("ids", F.when(ok, F.col("ids")).otherwise(F.raise_error(F.lit("a packed row has a wrong width or an id out of range"))))
 
 
+def read_dataset(spark: SparkSession, dataset: str, root: str, split: str = "train", config: str = "", source: str | None = None, text_field: str = "text") -> DataFrame:
+    """A dataset by its id from a mirror: Parquet files under ``root/dataset`` chosen by config and split; none is an error."""
+    base = f"{root.rstrip('/')}/{dataset}"
+    fs = files.FileSystem(spark)
+    found = fs.walk(base) if fs.is_dir(base) else []
+    chosen = select_files([f[len(base):].lstrip("/") for f in found], config, split)
+    if not chosen:
+        raise FileNotFoundError(f"no files of {dataset} for split {split!r} and config {config!r} under {root}")
+    return read_parquet(spark, [f"{base}/{f}" for f in sorted(chosen)], source or dataset, text_field)
+
+
 READERS = {"jsonl": read_jsonl, "text": read_text, "lines": read_lines, "parquet": read_parquet}
 
 
@@ -126,8 +182,10 @@ def read(spark: SparkSession, config: dict) -> DataFrame:
     """A reader by ``{"type": ..., "path"/"paths": ..., options}``."""
     cfg = dict(config)
     kind = cfg.pop("type", None)
-    if kind not in READERS:
-        raise ValueError(f"unknown reader {kind!r}; known: {sorted(READERS)}")
+    if kind not in READERS and kind != "dataset":
+        raise ValueError(f"unknown reader {kind!r}; known: {sorted([*READERS, 'dataset'])}")
+    if kind == "dataset":
+        return read_dataset(spark, **cfg)
     paths = cfg.pop("path", None) or cfg.pop("paths", None)
     return READERS[kind](spark, paths, **cfg)
 
@@ -160,7 +218,7 @@ def resolve_shards(path: str, manifest_name: str = "manifest.json", spark: Spark
 
 def select_files(names: Sequence[str], config: str = "", split: str = "", pattern: str = "*.parquet") -> list[str]:
     """Data files of a dataset by config (as named, else with ``-`` as ``/``) and by split in the file's name."""
-    out = [n for n in names if fnmatch.fnmatch(n, pattern)]
+    out = [n for n in names if fnmatch.fnmatch(n.rsplit("/", 1)[-1], pattern)]
     if config:
         out = [n for n in out if config in n] or [n for n in out if config.replace("-", "/") in n]
     return [n for n in out if split in os.path.basename(n)] if split else out

@@ -58,13 +58,15 @@ def manifest(sharded: DataFrame, prefix: str = "shard", fmt: str = "jsonl") -> D
 def write_shards(df: DataFrame, out_dir: str, pos: str, shard_size: int = 10_000, size_by: str = "records", fmt: str = "jsonl", prefix: str = "shard") -> DataFrame:
     """Writes one file per shard, named as in the manifest, and ``manifest.json`` last; gives the manifest.
 
+    Columns with ``_`` in front serve the order and are not written.
+
     A shard is whole in one part of a range partition, so Spark writes it as one file into a folder
     beside; the driver renames the files, as a committer does, and reads none.
     """
     fs = files.FileSystem(df.sparkSession)
     sharded = cut(shard_ids(df, pos, shard_size, size_by))
     beside = f"{out_dir.rstrip('/')}/_{prefix}"
-    body = sharded.repartitionByRange("shard").sortWithinPartitions("shard", pos).write.mode("overwrite").partitionBy("shard")
+    body = sharded.repartitionByRange("shard").sortWithinPartitions("shard", pos).drop(*[c for c in df.columns if c.startswith("_")]).write.mode("overwrite").partitionBy("shard")
     body.json(beside, ignoreNullFields=False) if fmt == "jsonl" else body.parquet(beside)
     m = manifest(sharded, prefix, fmt)
     rows = [r.asDict() for r in m.orderBy("index").collect()]
@@ -84,6 +86,11 @@ def write_json(value, path: str) -> None:
     files.FileSystem().write(path, json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True))
 
 
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Rows appended to a folder of JSON lines, keys in order, nulls written; each call is whole or nothing."""
+    sorted_json(rows).select(F.col("line").alias("value")).coalesce(1).write.mode("append").text(path)
+
+
 def sorted_json(df: DataFrame) -> DataFrame:
     """(line): each row as JSON with its keys in order."""
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("line"))

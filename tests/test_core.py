@@ -257,8 +257,7 @@ def test_bpe_train_larger_pair_wins(spark):
     counts = spark.createDataFrame([("ab", 5), ("cd", 5), ("abab", 1)], "word string, cnt bigint")
     tok = bpe.train(counts, 3)
     assert tok.pairs[0] == (97, 98) and tok.pairs[1] == (99, 100)
-    with pytest.raises(ValueError):
-        bpe.train(counts, 3, max_words=2)
+    assert bpe.train(counts, 3, max_words=2).pairs == tok.pairs
 
 
 def test_nearest_rank_and_medians(spark):
@@ -391,3 +390,80 @@ def test_nothing_outside_imports_llm():
 def test_digest_is_sha256(spark):
     got = frame(spark, ["A  b"]).select(dedup.digest()).first()[0]
     assert got == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_training_is_the_same_on_the_driver_and_in_spark(spark, tmp_path):
+    from corpusloom.operators import tokenizer as tk
+
+    rng = random.Random(2)
+    texts = spark.createDataFrame([(i, " ".join(rng.choice("the then thence mill miller river é".split()) for _ in range(30))) for i in range(20)], "doc_id bigint, text string")
+    counts = bpe.word_counts(texts)
+    here = bpe.train(counts, 25)
+    assert bpe.train(counts, 25, max_words=2).pairs == here.pairs
+    assert bpe.train(counts, 25, start=here.pairs[:7]).pairs == here.pairs == bpe.train_distributed(counts, 25, start=here.pairs[:7]).pairs
+    for kind in ("simple", "gpt2"):
+        config, path = tk.Config(256 + 4 + 20, pre_tokenize=kind), str(tmp_path / f"{kind}.json")
+        whole, report = bpe.train_tokenizer(texts, config, every=6)
+        assert report["merges"] == 20 and report["resumed_from"] == 0
+        tk.Tokenizer(config, whole.merges[:5]).save(path)
+        again, report = bpe.train_tokenizer(texts, config, path, every=6)
+        assert again.merges == whole.merges and report["resumed_from"] == 5 and tk.Tokenizer.load(path).merges == whole.merges
+
+
+def test_gpt2_words():
+    from corpusloom.operators.tokenizer import gpt2_words
+
+    cut = gpt2_words()
+    assert cut("I'll go_to ٣ 12 é𝒳  x") == ["I", "'ll", " go", "_", "to", " ٣", " 12", " é", "𝒳", " ", " x"]
+
+
+def test_corpora_datasets_and_registry(spark, tmp_path):
+    from corpusloom.sources import readers, registry, synthetic, writers
+
+    (tmp_path / "c" / "sub").mkdir(parents=True)
+    (tmp_path / "c" / "a.txt").write_text("one\n\n two \n")
+    (tmp_path / "c" / "sub" / "b.jsonl").write_text('{"body": "three"}\n{"body": 4}\n')
+    assert sorted(r["text"] for r in readers.read_corpus(spark, str(tmp_path / "c"), "body").collect()) == ["one", "three", "two"]
+    assert [r["text"] for r in readers.read_corpus(spark, str(tmp_path / "c"), "body", max_docs=2).collect()] == ["one", "two"]
+    with pytest.raises(Exception, match="no text in"):
+        readers.read_corpus(spark, str(tmp_path / "c"), "body", "fail").collect()
+    base = tmp_path / "mirror" / "lab" / "set"
+    for name, texts in (("en/train-1", ["b", None]), ("en/train-0", ["a"]), ("en/test-0", ["t"]), ("fr/train-0", ["f"])):
+        spark.createDataFrame([(x, 1, 2) for x in texts], "text string, n int, m int").coalesce(1).write.parquet(str(base / f"{name}.parquet"))
+    got = readers.read(spark, {"type": "dataset", "dataset": "lab/set", "root": str(tmp_path / "mirror"), "split": "", "config": "fr"})
+    assert [r["text"] for r in got.collect()] == ["f"]
+    with pytest.raises(FileNotFoundError):
+        readers.read_dataset(spark, "lab/none", str(tmp_path / "mirror"))
+    ordered = readers.read_parquet(spark, [str(base / "en/train-1.parquet"), str(base / "en/train-0.parquet")])
+    assert [r["text"] for r in ordered.orderBy("src_no", "src_file", "src_row").collect()] == ["b", "a"]
+    assert readers.read_parquet(spark, str(base / "en/train-0.parquet"), text_column="n").collect() == []
+    assert [r["idx"] for r in readers.documents(ordered, 5).orderBy("src_file").collect()] == [0, 0]
+    (tmp_path / "r.json").write_text(json.dumps({"x": {"dataset": "lab/set", "config": "fr", "split": "", "keep_fields": ["n"], "max_docs": 1}}))
+    entries = registry.load(str(tmp_path / "r.json"), spark)
+    with pytest.raises(KeyError):
+        registry.entry(entries, "y")
+    registry.download(spark, registry.entry(entries, "x"), str(tmp_path / "mirror"), str(tmp_path / "got"))
+    back = readers.read_jsonl(spark, readers.resolve_shards(str(tmp_path / "got"))).collect()
+    assert [(r["text"], r["extra"]) for r in back] == [("f", {"n": "1"})]
+    assert readers.page(spark.range(10), 3, 4, "id").count() == 4
+    with pytest.raises(ValueError):
+        readers.page(spark.range(10), 8, 4, "id")
+    a, b = synthetic.chat(spark, 30, 4), synthetic.chat(spark, 30, 4).repartition(7)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and "### Assistant" in a.first()["text"]
+    m = spark.createDataFrame([(2, None, 0.5)], "step int, note string, loss double")
+    writers.append_metrics(m, str(tmp_path / "m"))
+    writers.append_metrics(m, str(tmp_path / "m"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()] == ['{"loss":0.5,"note":null,"step":2}'] * 2
+    assert stats.markdown(m) == "| step | note | loss |\n| --- | --- | --- |\n| 2 | — | 0.5000 |"
+
+
+def test_phase_paths_and_epochs(spark):
+    from corpusloom.operators import prepare
+
+    m = {"phases": {"train": [{"shard": "train-1"}, {"shard": "train-0"}]}}
+    assert prepare.phase_paths(m, "train", "/x/") == ["/x/train-1.npy", "/x/train-0.npy"]
+    with pytest.raises(ValueError):
+        prepare.phase_paths(m, "val")
+    rows = spark.range(7).withColumnRenamed("id", "row_idx")
+    got = sorted((r["epoch"], r["row_idx"], r["batch"]) for r in pack.epochs(rows, 2, 3, (0, 4)).collect())
+    assert got == [(0, 4, 1), (0, 5, 1)] + [(1, i, i // 3) for i in range(6)]
