@@ -113,7 +113,8 @@ def signature(text: Column, permutations: int = PERMUTATIONS, shingle: int = SHI
                 out.append(affine_min(np.array(hs, np.uint64), fam))
             yield pd.Series(out)
 
-    return sign(collapse(F.coalesce(text, F.lit(""))))
+    # Not to be evaluated a second time, below a repartition, for a filter on its result.
+    return sign.asNondeterministic()(collapse(F.coalesce(text, F.lit(""))))
 
 
 def shingle_counts(df: DataFrame) -> DataFrame:

@@ -24,16 +24,21 @@ def with_ends(ids: Column, bos: int | None = None, eos: int | None = None) -> Co
     return F.concat(*parts)
 
 
-def pack(docs: DataFrame, seq_len: int, pos: str = "doc_id", pad: int = 0, drop_last: bool = False, mask: str | None = None, by: list[str] | None = None, before: int = 0) -> DataFrame:
+def pack(docs: DataFrame, seq_len: int, pos: str = "doc_id", pad: int = 0, drop_last: bool = False, mask: str | None = None, by: list[str] | None = None, before: int = 0, ids: Column | None = None, length: Column | None = None) -> DataFrame:
     """(by, row_idx, ids[, mask]) from (pos, ids[, mask]): documents end to end, cut at seq_len.
 
+    With ``ids`` and ``length`` as expressions, of a text say, places are found from the lengths alone, and ids are made after the
+    shuffle, which then moves the text and no arrays.
+
     The last row is padded, or dropped with drop_last; a null mask counts as all ones, padding as 0.
     ``before`` tokens are already in the first row (a resumed buffer).  With ``by``
     every group is a stream of its own.
     """
     by = by or []
-    x = docs.withColumn("_n", F.size("ids"))
+    x = docs.withColumn("_n", F.size("ids") if length is None else length)
     x = prefix_sum(x.where("_n > 0"), [pos], {"_at": "_n"}, by).withColumn("_at", F.col("_at") + before)
+    if ids is not None:
+        x = x.withColumn("ids", ids)
     first, last = F.floor(F.col("_at") / seq_len), F.floor((F.col("_at") + F.col("_n") - 1) / seq_len)
     x = x.withColumn("row_idx", F.explode(F.sequence(first, last)))
     lo = F.greatest(F.col("_at"), F.col("row_idx") * seq_len)

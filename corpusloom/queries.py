@@ -388,10 +388,15 @@ g AS (SELECT id, row_number() OVER (ORDER BY doc_id, i) - 1 AS p FROM k),
 r AS (SELECT p // 512 AS row_idx, p %% 512 AS c, id FROM g)"""
 
 
+def _packed_bytes(spark, d, pad: int) -> DataFrame:
+    """All texts as bytes, each closed by 256, in rows of 512."""
+    n = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    return pack.pack(docs(spark, d).select("doc_id", "text"), 512, pad=pad, ids=pack.with_ends(pack.byte_ids(F.col("text")), eos=256), length=n)
+
+
 @query(f"WITH {PACKED % 'true'} SELECT row_idx, count(*)::BIGINT AS tokens, sum(id)::BIGINT AS total, sum(id * (c + 1))::BIGINT AS weighted FROM r GROUP BY row_idx")
 def pack_bytes(spark, d):
-    ids = pack.with_ends(pack.byte_ids(F.col("text")), eos=256)
-    rows = pack.pack(docs(spark, d).select("doc_id", ids.alias("ids")), 512, pad=-1)
+    rows = _packed_bytes(spark, d, -1)
     real = F.filter("ids", lambda i: i >= 0)
     return rows.select("row_idx", F.size(real).cast("bigint").alias("tokens"), F.aggregate(real, F.lit(0).cast("bigint"), lambda a, i: a + i).alias("total"), F.aggregate(F.transform(real, lambda i, n: i * (n + 1)), F.lit(0).cast("bigint"), lambda a, i: a + i).alias("weighted"))
 
@@ -656,8 +661,7 @@ def bpe_train(spark, d):
 
 @query(f"""WITH {PACKED % 'true'} SELECT row_idx, min(id)::BIGINT AS min_id, max(id)::BIGINT AS max_id FROM r GROUP BY row_idx HAVING max(id) >= 220""")
 def id_range_violations(spark, d):
-    ids = pack.with_ends(pack.byte_ids(F.col("text")), eos=256)
-    rows = pack.pack(docs(spark, d).select("doc_id", ids.alias("ids")), 512, pad=32)
+    rows = _packed_bytes(spark, d, 32)
     x = validate.id_violations(rows, 220)
     return x.select("row_idx", F.col("min_id").cast("bigint").alias("min_id"), F.col("max_id").cast("bigint").alias("max_id"))
 
@@ -675,8 +679,7 @@ def manifest_check(spark, d):
 
 @query(f"""WITH t AS (SELECT coalesce(sum(strlen({TEXT}) + 1), 0)::BIGINT AS n FROM documents) SELECT (n // 512)::BIGINT AS row_idx, (512 - n % 512)::BIGINT AS padding FROM t WHERE n % 512 > 0""")
 def pad_verify(spark, d):
-    ids = pack.with_ends(pack.byte_ids(F.col("text")), eos=256)
-    rows = pack.pack(docs(spark, d).select("doc_id", ids.alias("ids")), 512, pad=257)
+    rows = _packed_bytes(spark, d, 257)
     return rows.select("row_idx", validate.tail_run(F.col("ids"), 257).alias("padding")).where("padding > 0")
 
 
@@ -789,8 +792,7 @@ def asset_pairing(spark, d):
 
 def _small_rows(spark, d):
     """Rows of 512 with the shard of 100 rows they stand in."""
-    ids = pack.with_ends(pack.byte_ids(F.col("text")), eos=256)
-    return pack.pack(docs(spark, d).select("doc_id", ids.alias("ids")), 512, pad=257).select("row_idx", F.floor(F.col("row_idx") / 100).alias("shard"))
+    return _packed_bytes(spark, d, 257).select("row_idx", F.floor(F.col("row_idx") / 100).alias("shard"))
 
 
 ROWS = f"t AS (SELECT ceil(sum(strlen({TEXT}) + 1) / 512.0)::BIGINT AS n FROM documents), r AS (SELECT unnest(range(n)) AS row_idx, n FROM t)"
