@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -117,12 +118,29 @@ def unwrap(text: str) -> str:
     return t
 
 
+#: The same for texts that are looked at several times in a row.
+unwrapped = functools.lru_cache(maxsize=16)(unwrap)
+
+
+@functools.cache
+def _marks() -> re.Pattern:
+    """All combining characters, as ranges made from the character table."""
+    out, start, last = [], None, None
+    for i in range(0x300, 0x1F000):
+        if unicodedata.combining(chr(i)):
+            if start is None:
+                start = i
+            last = i
+        elif start is not None:
+            out.append(f"{chr(start)}-{chr(last)}")
+            start = None
+    return re.compile("[" + "".join(out) + "]+")
+
+
 def fold(text: str) -> str:
     """Case and accents off."""
     t = unicodedata.normalize("NFKD", text)
-    if not t.isascii():
-        t = "".join(c for c in t if not unicodedata.combining(c))
-    return t.casefold()
+    return (t if t.isascii() else _marks().sub("", t)).casefold()
 
 
 def plain_words(text: str | None) -> list[str]:
