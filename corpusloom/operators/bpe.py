@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import insort
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -40,11 +41,15 @@ def split_words(text: str, pattern: str | None = SIMPLE) -> list[str]:
 
 @dataclass
 class Merges:
-    """An ordered list of merges; merge number r makes token 256 + r unless ids say otherwise."""
+    """An ordered list of merges; merge number r makes token 256 + r unless ids say otherwise.
+
+    ``exact=False`` encodes as older tokenizer files ask for (``_by_place``).
+    """
 
     pairs: list[tuple[int, int]]
     ids: list[int] | None = None
     pattern: str | None = SIMPLE
+    exact: bool = True
     _rank: dict = field(default_factory=dict, repr=False)
     _cache: dict = field(default_factory=dict, repr=False)
 
@@ -54,17 +59,17 @@ class Merges:
             self._rank.setdefault(tuple(p), (r, i))
 
     def __getstate__(self):
-        return {"pairs": self.pairs, "ids": self.ids, "pattern": self.pattern}
+        return {"pairs": self.pairs, "ids": self.ids, "pattern": self.pattern, "exact": self.exact}
 
     def __setstate__(self, s):
-        self.__init__(s["pairs"], s["ids"], s["pattern"])
+        self.__init__(s["pairs"], s["ids"], s["pattern"], s["exact"])
 
     def word(self, w: str) -> tuple[int, ...]:
         """Ids of one pre-token: the lowest-ranked pair first, of equals the leftmost."""
         got = self._cache.get(w)
         if got is None:
             raw = w.encode("utf-8", "surrogatepass")
-            got = tuple(self._short(list(raw)) if len(raw) <= 64 else self._long(raw))
+            got = tuple(self._by_place(raw) if not self.exact else self._short(list(raw)) if len(raw) <= 64 else self._long(raw))
             if len(self._cache) >= WORD_CACHE:
                 self._cache.clear()
             self._cache[w] = got
@@ -105,6 +110,26 @@ class Merges:
                     heapq.heappush(queue, (r[0], x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
+    def _by_place(self, raw: bytes) -> list[int]:
+        """The encoding of older files, which merges less: an agenda of pairs by rank and place, where a pair is
+        looked for at the place noted although merges to its left have moved it, and is lost if it isn't there."""
+        ids = list(raw)
+
+        def noted(place: int):
+            if 0 <= place < len(ids) - 1:
+                pair = (ids[place], ids[place + 1])
+                if pair in self._rank:
+                    yield (self._rank[pair][0], place, pair)
+
+        agenda = sorted(x for place in range(len(ids)) for x in noted(place))
+        while agenda:
+            _, place, pair = agenda.pop(0)
+            if tuple(ids[place : place + 2]) == pair:
+                ids[place : place + 2] = [self._rank[pair][1]]
+                for x in (*noted(place - 1), *noted(place)):
+                    insort(agenda, x)
+        return ids
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for w in split_words(text, self.pattern):

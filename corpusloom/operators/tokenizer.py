@@ -83,9 +83,12 @@ class Config:
 
 
 class Tokenizer:
-    """Merges with a layout.  ``pre_tokenize`` is ``simple``, ``gpt2``, a pattern, or none."""
+    """Merges with a layout.  ``pre_tokenize`` is ``simple``, ``gpt2``, a pattern, or none.
 
-    def __init__(self, config: Config, merges: Sequence[Sequence[int]]) -> None:
+    ``exact`` is proper BPE; files that don't say so are encoded as their makers did (``bpe.Merges``).
+    """
+
+    def __init__(self, config: Config, merges: Sequence[Sequence[int]], exact: bool = True) -> None:
         if len(merges) > config.most_merges:
             raise ValueError(f"{len(merges)} merges, room for {config.most_merges}")
         self.config, self.merges = config, [tuple(m) for m in merges]
@@ -93,17 +96,18 @@ class Tokenizer:
         self._gpt2 = None
         if config.pre_tokenize == "gpt2":
             self._gpt2, pattern = gpt2_words(), None
-        self._bpe = bpe.Merges(list(self.merges), pattern=pattern)
+        self.exact = exact
+        self._bpe = bpe.Merges(list(self.merges), pattern=pattern, exact=exact)
         top = config.vocab_size - len(config.specials)
         self.special_ids = {t: top + i for i, t in enumerate(config.specials)}
         self._by_id = {v: k for k, v in self.special_ids.items()}
         self._split = re.compile("|".join(re.escape(t) for t in sorted(config.specials, key=len, reverse=True)))
 
     def __getstate__(self):
-        return {"config": asdict(self.config), "merges": self.merges}
+        return {"config": asdict(self.config), "merges": self.merges, "exact": self.exact}
 
     def __setstate__(self, s):
-        self.__init__(Config(**s["config"]), s["merges"])
+        self.__init__(Config(**s["config"]), s["merges"], s["exact"])
 
     def _plain(self, text: str) -> list[int]:
         if self._gpt2 is None:
@@ -146,7 +150,8 @@ class Tokenizer:
         return {"vocab_size": self.vocab_size, "configured_vocab_size": self.config.vocab_size, "special_tokens": len(self.special_ids), "merges": len(self.merges), "unused": self.config.vocab_size - self.vocab_size}
 
     def save(self, path: str) -> None:
-        write_json({"version": FILE_VERSION, "type": FILE_TYPE, "config": asdict(self.config), "merges": [list(m) for m in self.merges], "exact_bpe": True}, path)
+        said = {"exact_bpe": True} if self.exact else {}
+        write_json({"version": FILE_VERSION, "type": FILE_TYPE, "config": asdict(self.config), "merges": [list(m) for m in self.merges]} | said, path)
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
@@ -154,7 +159,7 @@ class Tokenizer:
             x = json.load(f)
         if x.get("type") != FILE_TYPE or x.get("version") != FILE_VERSION:
             raise ValueError(f"no tokenizer file of version {FILE_VERSION}: {path}")
-        return cls(Config(**x["config"]), x["merges"])
+        return cls(Config(**x["config"]), x["merges"], bool(x.get("exact_bpe", False)))
 
     def vocabulary(self, spark) -> DataFrame:
         """(id, bytes, kind): the whole vocabulary."""

@@ -467,3 +467,32 @@ def test_phase_paths_and_epochs(spark):
     rows = spark.range(7).withColumnRenamed("id", "row_idx")
     got = sorted((r["epoch"], r["row_idx"], r["batch"]) for r in pack.epochs(rows, 2, 3, (0, 4)).collect())
     assert got == [(0, 4, 1), (0, 5, 1)] + [(1, i, i // 3) for i in range(6)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(text=st.text("abcde", max_size=40))
+def test_older_encoding(text):
+    pairs = [(97, 98), (98, 99), (256, 99), (99, 100), (258, 100), (100, 101)]
+    old = bpe.Merges(pairs, exact=False)
+    ids, ranks = list(text.encode()), {p: i for i, p in enumerate(pairs)}
+    events = [(ranks[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+    while events:
+        events.sort()
+        _, i, p = events.pop(0)
+        if ids[i : i + 2] == list(p):
+            ids = [*ids[:i], 256 + ranks[p], *ids[i + 2 :]]
+            events += [(ranks[q], j, q) for j in (i - 1, i) if j >= 0 and len(q := tuple(ids[j : j + 2])) == 2 and q in ranks]
+    assert [i for w in bpe.split_words(text) for i in old.word(w)] == ids
+    assert old.decode(ids) == text and len(ids) >= len(bpe.Merges(pairs).encode(text))
+
+
+def test_files_say_how_they_are_encoded(spark, tmp_path):
+    from corpusloom.operators import tokenizer as tk
+
+    path = str(tmp_path / "t.json")
+    pairs = [(97, 98), (256, 256), (257, 257)]
+    for exact in (True, False):
+        tk.Tokenizer(tk.Config(300), pairs, exact).save(path)
+        back = tk.Tokenizer.load(path)
+        assert back.exact == exact and back.decode(back.encode("ab" * 9)) == "ab" * 9
+    assert len(back.encode("ab" * 9)) > len(tk.Tokenizer(tk.Config(300), pairs).encode("ab" * 9))
