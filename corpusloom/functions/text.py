@@ -118,10 +118,6 @@ def unwrap(text: str) -> str:
     return t
 
 
-#: The same for texts that are looked at several times in a row.
-unwrapped = functools.lru_cache(maxsize=16)(unwrap)
-
-
 @functools.cache
 def _marks() -> re.Pattern:
     """All combining characters, as ranges made from the character table."""
