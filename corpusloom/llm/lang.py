@@ -71,12 +71,12 @@ def script(text: str) -> str | None:
 def scores(text: str) -> tuple[dict[str, float], int]:
     """Votes of function words by language, a shared word voting in parts; and the words seen."""
     out: dict[str, float] = {}
-    n = 0
-    for w in _TOKEN.findall(text):
-        n += 1
-        for lang in _WORD_LANGS.get(w.lower(), ()):
-            out[lang] = out.get(lang, 0) + 1
-    return out, n
+    words = _TOKEN.findall(text.lower())
+    for langs in map(_WORD_LANGS.get, words):
+        if langs:
+            for lang in langs:
+                out[lang] = out.get(lang, 0) + 1
+    return out, len(words)
 
 
 def identify(text: str, margin: float = 2.0) -> str | None:

@@ -134,7 +134,7 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prose, code, formulas = units(t)
             manual = int(bool(_MANUAL.search(t)))
             lang = L.identify(" ".join(prose), 1.0) if prose else None
-            terms = [" ".join(w.lower() for w in _TERM.findall(u)) for u in prose]
+            terms = [" ".join(_TERM.findall(u.lower())) for u in prose]
             # Lines with a mark are alike, so one stands for all of a document's; they are counted at the end.
             out.append((d, lang if lang in SEEDS else "en", code, formulas, manual, [x for x in terms if x] + [code_mark] * (code > 0) + [formula_mark] * (formulas > 0)))
         yield pd.DataFrame(out, columns=["doc_id", "lang", "code", "formulas", "manual", "units"])
@@ -360,9 +360,9 @@ def _located(model: Model, pdf: pd.DataFrame, n: int, g: str):
     if got is None:
         return None
     rows, ids, per, doc, starts, raw, weight = got
-    x = (raw - model.mean[g]) / weight[:, None]
+    x = (raw - model.mean[g].astype(np.float32)) / weight[:, None]
     kind = np.maximum(ids[starts] - model.size[g], -1)
-    return rows, ids, starts, per, doc, x, _with_neighbours(x, doc, kind) @ model.centroids[g].T
+    return rows, ids, starts, per, doc, x, _with_neighbours(x, doc, kind) @ model.centroids[g].T.astype(np.float32)
 
 
 def _refine_part(least: float, manuals: bool):
@@ -376,9 +376,9 @@ def _refine_part(least: float, manuals: bool):
             x, sim = got[5], got[6]
             a, m = sim.argmax(1), sim.max(1)
             k = m > least
-            s = np.zeros((sim.shape[1], x.shape[1]))
-            np.add.at(s, a[k], x[k] * m[k, None])
-            _add(total, f"c|{g}", s)
+            into = np.zeros_like(sim)
+            into[np.flatnonzero(k), a[k]] = m[k]
+            _add(total, f"c|{g}", into.T @ x)
 
     return work
 
