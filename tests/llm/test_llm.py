@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -443,3 +444,33 @@ def test_queries_are_complete():
 @pytest.mark.parametrize("text,code", [("def f(x):", True), ("return 1", True), ("const a = 1;", True), ("SELECT a", True), ("He said that it is so.", False), ("# Heading", False)])
 def test_code_lines(text, code):
     assert subjects.is_code(text) == code
+
+
+def test_sums_are_added_up_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "FAN", 2)
+    df = spark.range(0, 90, 1, 9).select("id", F.array(F.lit(1)).alias("ids"))
+
+    def work(model, pdf, total):
+        subjects._add(total, "a", np.array([len(pdf), pdf["id"].sum()]))
+        subjects._add(total, "b", np.ones((2, 3)))
+
+    got = subjects._sum_over(df, work, None)
+    assert got["a"].tolist() == [90, 4005] and got["b"].shape == (2, 3)
+    assert subjects._sum_over(df.where("id < 0"), work, None) == {}
+
+
+def test_a_new_subject_takes_its_seeds_from_its_description(spark):
+    subs = spark.createDataFrame([("Gardening", "Growing plants, and the tools for it."), ("music", None)], "subject string, descr string")
+    seeds = subjects.seeds_for(subs, ["gardening", "music"])
+    assert set(seeds["en"]["gardening"].split()) == {"gardening", "growing", "plants", "tools"} and "violin" in seeds["en"]["music"]
+
+
+def test_bloom_filters_lose_nothing(spark):
+    from corpusloom.llm import bloom
+
+    df = spark.range(0, 5000).select((F.xxhash64("id")).alias("h"), "id")
+    shared = bloom.of_column(df, "h", 5000)
+    assert bloom.keep(df, "h", shared).count() == 5000 and shared.value.log2 == 16
+    other = spark.range(5000, 15000).select(F.xxhash64("id").alias("h"))
+    assert bloom.keep(other, "h", shared).count() < 600
+    assert bloom.keep(df, "h", bloom.of_column(df.limit(0), "h", 0)).count() == 0
