@@ -92,6 +92,17 @@ def phase_paths(m: dict, phase: str, base: str = "", suffix: str = ".npy") -> li
     return [f"{base.rstrip('/')}/{s['shard']}{suffix}".lstrip("/" if not base else "") for s in m["phases"][phase]]
 
 
+def shard_files(spark: SparkSession, folder: str, m: dict, suffix: str = ".npy") -> dict[str, list[str]]:
+    """Of a folder and its manifest: shards that are ``missing``, files that are ``stray``, and what a lost writer left ``unfinished``."""
+    from ..sources.files import FileSystem
+
+    fs = FileSystem(spark)
+    there = set(fs.names(folder)) if fs.is_dir(folder) else set()
+    listed = {s["shard"] + suffix for shards in (m.get("phases") or {}).values() for s in shards}
+    unfinished = {n for n in there if n.endswith(".tmp")}
+    return {"missing": sorted(listed - there), "stray": sorted(n for n in there - listed - unfinished if n.endswith(suffix)), "unfinished": sorted(unfinished)}
+
+
 def write_npy(rows: DataFrame, plan: Plan, out_dir: str) -> DataFrame:
     """One ``.npy`` matrix per shard in a shared folder, written by its task under another name and renamed; (phase, shard, rows)."""
     import os
@@ -176,6 +187,12 @@ def resume_errors(saved: dict, now: dict) -> list[str]:
     return out
 
 
+def resume_position(saved: dict | None) -> dict[str, int]:
+    """Where a saved run goes on: its epoch (the first is 1) and the documents and rows before; the start where nothing is said."""
+    at = saved or {}
+    return {"epoch": int(at.get("epoch") or 1), "documents": int(at.get("documents") or 0), "rows": int(at.get("rows") or 0)}
+
+
 def find_key(value, key: str):
     """The value of a key in nested JSON, the shallowest and first one; None if there is none."""
     level = [json.loads(value) if isinstance(value, str) else value]

@@ -19,6 +19,20 @@ def compression(df: DataFrame, by: list[str], tokens: str = "num_tokens") -> Dat
     return x.withColumn("chars_per_token", per("chars")).withColumn("bytes_per_token", per("bytes"))
 
 
+def compression_by(df: DataFrame, encoders: dict, by: list[str]) -> DataFrame:
+    """The same for each of several tokenizers and each slice, with ``encoder`` for its name."""
+    from . import tokenizer as tk
+
+    out = None
+    for name, tok in encoders.items():
+        n = F.size(tk.encode(F.coalesce("text", F.lit("")), tok)).cast("bigint")
+        x = compression(df.withColumn("num_tokens", n), by).withColumn("encoder", F.lit(name))
+        out = x if out is None else out.unionByName(x)
+    if out is None:
+        raise ValueError("no encoders")
+    return out
+
+
 # ---- n-grams and generations ------------------------------------------------
 
 

@@ -21,7 +21,7 @@ PROCESSORS = {
     "length": filters.length_filter, "quality_heuristic": filters.quality_filter, "code_fence": lambda mode="keep", min_code_ratio=0.3: filters.code_filter(mode, min_code_ratio),
     "blacklist_regex": filters.blacklist_regex, "url_blacklist": filters.url_blacklist, "regex_filter": filters.regex_filter, "field_remap": filters.field_remap,
     "language": filters.language_filter, "token_count": lambda tokenizer=None: filters.token_counts(Tokenizer.load(tokenizer) if tokenizer else None),
-    "keep_fields": filters.keep_fields,
+    "keep_fields": lambda fields: filters.keep_fields([*fields, "text", "source"]),
     "exact_dedup": lambda normalize=True: lambda df: dedup.exact(df, "_pos", normalize),
     "minhash_dedup": lambda permutations=64, bands=8, ngram=5, seed=0: lambda df: dedup.near(df, "_pos", bands, permutations, ngram, seed),
     "contamination": lambda **k: lambda df: _contamination(df, **k),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import schedules as S
@@ -627,6 +627,18 @@ def compression_bpe(spark, d):
     return stats.compression(x, ["source"])
 
 
+@query(f"""WITH e AS (SELECT unnest(['exact', 'older']) AS encoder), d AS (SELECT coalesce(lang, 'unknown') AS slice, count(*) AS documents, sum(length({TEXT}))::BIGINT AS chars, sum(strlen({TEXT}))::BIGINT AS bytes FROM documents GROUP BY 1)
+SELECT encoder, slice, documents, chars, bytes, true AS fewer FROM d, e""")
+def compression_encoders(spark, d):
+    rows = table(spark, d, "token_merges").orderBy("merge_no").collect()
+    pairs = [(r["left_id"], r["right_id"]) for r in rows]
+    encoders = {n: tk.Tokenizer(tk.Config(4096, pre_tokenize="simple"), pairs, n == "exact") for n in ("exact", "older")}
+    x = stats.compression_by(docs(spark, d).select(F.coalesce("lang", F.lit("unknown")).alias("slice"), "text"), encoders, ["slice"])
+    least = Window.partitionBy("slice")
+    fewer = F.when(F.col("encoder") == "exact", F.col("tokens") == F.min("tokens").over(least)).otherwise(F.col("tokens") == F.max("tokens").over(least)) & (F.col("tokens") <= F.col("bytes"))
+    return x.select("encoder", "slice", "documents", "chars", "bytes", fewer.alias("fewer"))
+
+
 @query()
 def bpe_encode_counts(spark, d):
     tok = bpe.from_table(table(spark, d, "token_merges"))

@@ -329,6 +329,9 @@ def test_sources_and_pipeline(spark, tmp_path):
     rows, st_ = process(spark, chained)
     assert [tuple(r) for r in st_.collect()] == [("input", 5, 0), ("chain", 5, 0), ("exact_dedup", 4, 1), ("regex_filter", 2, 2), ("token_count", 2, 0)]
     assert all(r["num_tokens"] == len(r["text"]) for r in rows.collect())
+    few = PipelineSpec.load({"sources": spec.sources[:1], "processors": [{"type": "length", "min_chars": 1}, {"type": "keep_fields", "fields": ["extra"]}]})
+    run(spark, few, str(tmp_path / "few"))
+    assert all(set(json.loads(r["value"])) == {"text", "source", "extra", "out_pos"} for r in spark.read.text(readers.resolve_shards(str(tmp_path / "few"))).collect())
     with pytest.raises(ValueError):
         PipelineSpec.load({"sources": []})
     with pytest.raises(ValueError):
@@ -496,3 +499,22 @@ def test_files_say_how_they_are_encoded(spark, tmp_path):
         back = tk.Tokenizer.load(path)
         assert back.exact == exact and back.decode(back.encode("ab" * 9)) == "ab" * 9
     assert len(back.encode("ab" * 9)) > len(tk.Tokenizer(tk.Config(300), pairs).encode("ab" * 9))
+
+
+def test_shard_files_and_positions(spark, tmp_path):
+    from corpusloom.operators import prepare
+
+    m = {"phases": {"val": [{"shard": "val-00000"}], "train": [{"shard": "train-00000"}, {"shard": "train-00001"}]}}
+    for n in ("val-00000.npy", "train-00001.npy", "train-00007.npy", "train-00000.npy.tmp", "notes.txt"):
+        (tmp_path / n).write_text("")
+    assert prepare.shard_files(spark, str(tmp_path), m) == {"missing": ["train-00000.npy"], "stray": ["train-00007.npy"], "unfinished": ["train-00000.npy.tmp"]}
+    assert prepare.resume_position(None) == {"epoch": 1, "documents": 0, "rows": 0}
+    assert prepare.resume_position({"epoch": 3, "rows": 7}) == {"epoch": 3, "documents": 0, "rows": 7}
+
+
+def test_pooled_ranks(spark):
+    df = spark.createDataFrame([(float(i % 7),) for i in range(50)], "v double")
+    got = stats.nearest_rank(df, [], "v").first()
+    vs = sorted(float(i % 7) for i in range(50))
+    assert (got["n"], got["p50"], got["p95"]) == (50, vs[int(0.5 * 49 + 0.5)], vs[int(0.95 * 49 + 0.5)])
+    assert stats.upper_median(df, [], "v").first()[0] == vs[25]
