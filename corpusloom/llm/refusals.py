@@ -252,19 +252,22 @@ def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", fold(text))
 
 
+_WORDS = {k: frozenset(fold(w) for w in v.split()) for k, v in _LISTS.items()}
+
+
 class Pattern:
+    """A line of places: what must be there, what is asked for, and what may stand at each."""
+
     def __init__(self, line: str) -> None:
-        lists = {k: frozenset(fold(w) for w in v.split()) for k, v in _LISTS.items()}
         self.must: list[frozenset] = []
         self.slots = 0
         places: list[tuple[frozenset, bool]] = []
-        for i, raw in enumerate(toks := line.split()):
+        for raw in (toks := line.split()):
             if raw == "*":
                 self.slots += 1
-                self.head = not i
                 continue
             mark = raw[-1] if raw[-1] in "!?" else ""
-            ws = frozenset(w for p in raw.rstrip("!?").split("|") for w in (lists[p] if p in lists else {fold(p)}))
+            ws = frozenset(w for p in raw.rstrip("!?").split("|") for w in (_WORDS[p] if p in _WORDS else {fold(p)}))
             places.append((ws, mark != "?"))
             if mark == "!":
                 self.must.append(ws)
@@ -358,7 +361,6 @@ def _places(t: str) -> dict[str, int]:
 
 
 _JA = [(t, _places(t), "refusal") for t in JA_REFUSALS] + [(t, _places(t), "courtesy") for t in JA_COURTESIES]
-_JA_TAIL = re.compile(r"(?:が|けれども|けど|ので|ため)?$")
 
 
 def _ja_kind(s: str) -> str:
