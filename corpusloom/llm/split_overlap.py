@@ -9,23 +9,20 @@ inserted, so their distance in deletions and insertions is at most ``k = n + m -
 
 1. Records with the same words form one class per dataset, whatever their number;
    only classes are compared, and records come back by a join at the end.
-2. Each evaluation class is cut into k + 1 disjoint segments of one to three words,
-   k being the most edits that any partner may be away.  They start at its k + 1
-   rarest words, which leaves shared openings and phrasings out of the join.
-   k edits spoil at most k segments, so any choice of k + 1 will do; how rare words
-   are is asked of all records, and only words of 0.05 % of them or more are listed.
-3. Training classes give out their windows of those lengths, less those that a
-   Bloom filter of (segment, allowed stretch of positions), sized by the segments, rules out.
-4. Windows meet segments by hash at allowed positions: the first segment i up to
-   whose end there are fewer than i edits has none in it and exactly i - 1 before it.  So it
-   lies i - 1 words off, or an even number less, counted from the start, at most
-   k + 1 - i words off, counted from the end, and never further off than the deletions or
-   insertions allowed.  Both sides carry a 256-bit parity sketch of their words, of
+2. A text's words are numbered (the second "the" is another word than the first) and put
+   in one order for all texts of a dataset: the rarest first, as counted over all classes.
+3. Segments are single words, which only a deletion spoils: of n words at most d = n - need
+   are without a partner in m words, so the first of those shared is among the d + 1 rarest of
+   the one and, by the same reckoning, the m - need + 1 rarest of the other.  Each evaluation class gives out its
+   n / 5 + 1 rarest words with their rank; training classes do too, less
+   words that a Bloom filter of the evaluation side's, sized by them, rules out.
+4. Rows meet by word where the ranks leave enough words on either side: 4 * m <= 5 * (n - rank) and
+   the other way round.  Both sides carry a parity sketch of their numbered words, 256 bits or, for long texts, 512, of
    which an edit changes one bit.
 5. Each pair left is decided once by banded dynamic programming: the table of edits
    within n - need cells below and m - need cells above the diagonal, a row at a time in a machine word.
 
-A segment held by many classes is spread over as many salts as its count asks for, so no key
+A word held by many evaluation classes is spread over as many salts as its count asks for, so no key
 gathers in one task.
 
 Edge cases: null, blank or wordless texts match nothing; a record delivered again
@@ -51,17 +48,19 @@ from .bloom import mix as _mix
 
 #: Fifths of the longer text's words that must stand in order in the other.
 FIFTHS = 4
-#: Most words of a segment.
+#: Bits of the table of counts that words are ordered by, and of its slices; the most tasks that fill one.
+COUNTS, SLICE, COUNTERS = 22, 16, 64
+#: Bits of a word's hash that tell it from others as often met.
+TELL = 40
+#: Texts of at least so many words have sketches of 512 bits.
+LONG = 160
+#: Meetings worked on at once, and the least of one word that are compared as a table.
+BLOCK, TABLE = 1 << 21, 1 << 12
+#: A word of at least HEAVY evaluation classes and HEAVY_SHARE of all is dealt out, HEAVY classes to a salt, over at most
+#: SALTS.  There are at most (words of a class) / HEAVY_SHARE such words.
+HEAVY, HEAVY_SHARE, SALTS = 1 << 15, 0.0005, 1024
+#: Most words of a segment of ``segments_of``.
 SEGMENT = 3
-#: Bytes of a segment's row when hashed, and the most bytes of them to a part for a hashed join.
-ROW_BYTES, HASHED = 160, 128 << 20
-#: Bits (a power of two) of the sketches that pairs met are compared by before their words are.
-WIDE = 11
-#: A key of at least HEAVY classes and HEAVY_SHARE of all is dealt out, HEAVY classes to a salt, over at most
-#: SALTS.  There are at most (keys of a class) / HEAVY_SHARE such keys.
-HEAVY, HEAVY_SHARE, SALTS = 2048, 0.0005, 1024
-#: Words of at least this share of records are listed with their frequency; at most (words of a record) / COMMON can be.
-COMMON = 0.0005
 
 
 def words_needed(n: int, m: int) -> int:
@@ -118,32 +117,10 @@ def near_same(a: list, b: list) -> bool:
 
 # ---- hashing ----------------------------------------------------------------
 
-def _window_hashes(ids: np.ndarray, size: int, dataset: int) -> np.ndarray:
-    """A hash of each run of ``size`` word ids in a dataset."""
-    n = len(ids) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, (dataset + size) & (2**64 - 1), np.uint64)
-    for j in range(size):
-        h = _mix(h ^ ids[j : j + n])
-    return h
-
-
 def _dataset_hash(d: str) -> int:
     return xxhash.xxh64_intdigest(d)
 
 
-def sketch(ids: np.ndarray, log2: int = 8) -> list[int]:
-    """256 bits (or 2**log2): the parity of the number of words that hash to each."""
-    odd = np.bincount((_mix(ids) >> np.uint64(64 - log2)).astype(np.int64), minlength=1 << log2) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-
-
-def _wide_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"cls": pdf["cls"], "n": [len(ws) for ws in pdf["words"]], "sketch": [sketch(_ids(ws), WIDE) for ws in pdf["words"]]})
-
-
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
     for pdf in batches:
@@ -163,10 +140,6 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns=["text"]).assign(cls=keys, words=ids)
 
 
-def _ids(words) -> np.ndarray:
-    return np.asarray(words, np.int32).view(np.uint32).astype(np.uint64)
-
-
 def sided(records: DataFrame, stages: DataFrame) -> DataFrame:
     """(record_id, dataset_id, split, source, in_train, in_val, cls, words): records of the stages' splits."""
     norm = lambda c: F.lower(strip_space(F.col(c)))
@@ -184,21 +157,39 @@ def sided(records: DataFrame, stages: DataFrame) -> DataFrame:
 # ---- candidates -------------------------------------------------------------
 
 
-def common_words(classes: DataFrame) -> dict[int, int]:
-    """Frequent words' ids with the number of classes they are in."""
+def numbered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of all words of a batch, text by text: hashes are of dataset, word and which time it comes in the text."""
+    many = [len(ws) for ws in pdf["words"]]
+    words = np.concatenate([np.asarray(ws, np.int32) for ws in pdf["words"]]).view(np.uint32)
+    whole = np.sort(np.repeat(np.arange(len(pdf), dtype=np.uint64) << np.uint64(32), many) | words)
+    new = np.flatnonzero(np.diff(whole, prepend=~whole[:1]))
+    time = np.arange(len(whole)) - np.repeat(new, np.diff(new, append=len(whole)))
+    h = _mix((whole & np.uint64(0xFFFFFFFF)) | (time.astype(np.uint64) << np.uint64(32)))
+    salts = np.array([_dataset_hash(d) for d in pdf["dataset_id"]], np.uint64)
+    return _mix(h ^ np.repeat(salts, many)), (whole >> np.uint64(32)).astype(np.int64)
 
-    def count(batches):
-        from collections import Counter
 
+def word_counts(classes: DataFrame):
+    """A broadcast table of how often numbered words are met, by the first COUNTS bits of their hashes."""
+
+    def count(batches):
+        acc = np.zeros(1 << COUNTS, np.int32)
         for pdf in batches:
-            c: Counter = Counter()
-            for ws in pdf["words"]:
-                c.update(set(ws.tolist()))
-            yield pd.DataFrame({"w": list(c), "n": list(c.values())})
+            if len(pdf):
+                acc += np.bincount((numbered(pdf)[0] >> np.uint64(64 - COUNTS)).astype(np.int64), minlength=1 << COUNTS).astype(np.int32)
+        acc = acc.reshape(-1, 1 << SLICE)
+        for i in np.flatnonzero(acc.any(axis=1)):
+            yield pd.DataFrame({"slice": [int(i)], "counts": [acc[i].tobytes()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        acc = sum((np.frombuffer(b, np.int32) for b in pdf["counts"]), np.zeros(1 << SLICE, np.int32))
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [acc.tobytes()]})
 
-    n = classes.count()
-    often = classes.select("words").mapInPandas(count, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, COMMON * n))
-    return {r["w"]: r["n"] for r in often.collect()}
+    schema = "slice int, counts binary"
+    counts = np.zeros((1 << (COUNTS - SLICE), 1 << SLICE), np.int32)
+    for r in classes.select("dataset_id", "words").coalesce(COUNTERS).mapInPandas(count, schema).groupBy("slice").applyInPandas(merge, schema).collect():
+        counts[r["slice"]] = np.frombuffer(r["counts"], np.int32)
+    return classes.sparkSession.sparkContext.broadcast(counts.reshape(-1))
 
 
 def segments_of(words: list[int], often: dict[int, int]) -> list[tuple[int, int]]:
@@ -209,80 +200,122 @@ def segments_of(words: list[int], often: dict[int, int]) -> list[tuple[int, int]
     return [(p, min(p + SEGMENT, q)) for p, q in zip(at, [*at[1:], n])]
 
 
-def _width(n):
-    """Bits of the stretches of positions for texts of n words: 16 words, or more than a 32nd of the length."""
-    return np.maximum(4, np.log2(np.maximum(n, 1)).astype(np.int64) - 4)
-
-
-def _key(h: np.ndarray, place: np.ndarray, width) -> np.ndarray:
-    """One hash for a segment at the even or odd positions of a stretch."""
-    return _mix(h ^ ((2 * (place >> width) + (place & 1)) * 64 + width + 1).astype(np.uint64))
-
-
-def _segments(shared):
-    """A row for every segment and stretch where a partner may have it: off by at most i - 1 words (and by an
-    even number of words less), by a fifth of the length to the front and a quarter to the back.  At most 16 stretches each."""
+def rarest(pdf: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
+    """(key, cls, n, rank, a1..a4, b1..b4): each text's n / 5 + 1 rarest words, and the sketch of all.
 
+    ``b`` is the second half of the 512 bits of long texts, ``a`` both halves folded into one.
+    """
+    h, text = numbered(pdf)
+    key = (np.minimum(counts[(h >> np.uint64(64 - COUNTS)).astype(np.int64)], (1 << (63 - TELL)) - 1).astype(np.int64) << TELL) | (h & np.uint64((1 << TELL) - 1)).astype(np.int64)
+    n = np.bincount(text, minlength=len(pdf))
+    many = np.where(n > 1, n // 5 + 1, 0)  # a single word has no partner but its own class
+    end = np.cumsum(n)
+    keys = [np.sort(key[e - k : e])[:q] for e, k, q in zip(end.tolist(), n.tolist(), many.tolist())]
+    odd = np.bincount(text * 512 + ((h >> np.uint64(32)) & np.uint64(511)).astype(np.int64), minlength=512 * len(pdf)) & 1
+    bits = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, 8)
+    a, b = bits[:, :4] ^ bits[:, 4:], np.where(n[:, None] >= LONG, bits[:, 4:], 0)
+    at = np.repeat(np.arange(len(pdf)), many)
+    rank = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    frame = {"key": np.concatenate(keys), "cls": pdf["cls"].to_numpy(np.int64)[at], "n": n[at].astype(np.int32), "rank": rank.astype(np.int32)}
+    return pd.DataFrame(frame | {f"a{i + 1}": a[at, i] for i in range(4)} | {f"b{i + 1}": b[at, i] for i in range(4)})
+
+
+def _segments(counts):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = shared.value
         for pdf in batches:
-            parts = []
-            for d, c, ws in zip(pdf["dataset_id"], pdf["cls"], pdf["words"]):
-                ids, n = _ids(ws), len(ws)
-                hs = {s: _window_hashes(ids, s, _dataset_hash(d)) for s in range(1, SEGMENT + 1)}
-                segs = segments_of(ws.tolist(), often)
-                h = np.array([hs[e - b][b] for b, e in segs], np.uint64)
-                s, i = np.array([b for b, _ in segs]), np.arange(1, len(segs) + 1)
-                w = int(_width(n))
-                lo, hi = np.maximum(0, s - np.minimum(i - 1, n // 5)) >> w, (s + np.minimum(i - 1, n // 4)) >> w
-                many = hi - lo + 1
-                at = np.repeat(np.arange(len(segs)), many)
-                stretch = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + lo[at]
-                keys = _key(h[at], (stretch << w) + ((s + i - 1) & 1)[at], w)
-                parts.append((keys, c, n, i[at], s[at], sketch(ids)))
-            if parts:
-                many = [len(x[0]) for x in parts]
-                rep = lambda xs: np.repeat(xs, many)  # noqa: B023, E731
-                frame = {"key": np.concatenate([x[0] for x in parts]).view(np.int64), "v_cls": rep([x[1] for x in parts]), "n": rep([x[2] for x in parts])}
-                frame |= {"i": np.concatenate([x[3] for x in parts]), "s": np.concatenate([x[4] for x in parts])}
-                yield pd.DataFrame(frame | {f"v{b + 1}": rep([x[5][b] for x in parts]) for b in range(4)})
+            if len(pdf):
+                yield rarest(pdf, counts.value)
 
     return run
 
 
-def _windows(shared, salts):
+def _windows(counts, shared, salts):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         heavy, times_of = salts.value
         for pdf in batches:
-            parts: list[tuple] = []
-            for d, c, ws in zip(pdf["dataset_id"], pdf["cls"], pdf["words"]):
-                ids, m = _ids(ws), len(ws)
-                ds = _dataset_hash(d)
-                hs = [_window_hashes(ids, s, ds) for s in range(1, SEGMENT + 1)]
-                h, p = np.concatenate(hs), np.concatenate([np.arange(len(x)) for x in hs])
-                # Partners are of four to five quarters of this length, so of one width or two.
-                for w in sorted({int(_width(-(-4 * m // 5))), int(_width(5 * m // 4))}):
-                    key = _key(h, p, w)
-                    keep = known.has(key)
-                    if keep.any():
-                        parts.append((key[keep], p[keep], c, m, sketch(ids)))
-            if not parts:
+            if not len(pdf):
                 continue
-            many = [len(x[0]) for x in parts]
-            h = np.concatenate([x[0] for x in parts]).view(np.int64)
-            frame = {"key": h, "t_cls": np.repeat([x[2] for x in parts], many), "m": np.repeat([x[3] for x in parts], many), "p": np.concatenate([x[1] for x in parts])}
-            frame |= {f"t{b + 1}": np.repeat([x[4][b] for x in parts], many) for b in range(4)}
-            times = np.ones(len(h), np.int64)
+            rows = rarest(pdf, counts.value)
+            rows = rows[shared.value.has(rows["key"].to_numpy().view(np.uint64))]
+            times = np.ones(len(rows), np.int64)
             if len(heavy):
-                at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
-                times = np.where(heavy[at] == h, times_of[at], 1)
-            again = np.repeat(np.arange(len(h)), times)
-            yield pd.DataFrame(frame).iloc[again].assign(salt=np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times))
+                at = np.minimum(np.searchsorted(heavy, rows["key"]), len(heavy) - 1)
+                times = np.where(heavy[at] == rows["key"], times_of[at], 1)
+            again = np.repeat(np.arange(len(rows)), times)
+            yield rows.iloc[again].assign(salt=np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times))
 
     return run
 
 
+def _near_enough(v: dict, t: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sketches of rows x of v and y of t differ in no more bits than edits are allowed."""
+    n, m = v["n"][x], t["n"][y]
+    k = n + m - 2 * ((FIFTHS * np.maximum(n, m) + 4) // 5)
+    a, b = v["a"][x] ^ t["a"][y], v["b"][x] ^ t["b"][y]
+    long = (n >= LONG) & (m >= LONG)
+    b[~long] = 0
+    return (np.bitwise_count(b).sum(axis=1) + np.bitwise_count(a ^ b).sum(axis=1) <= k) & (v["cls"][x] != t["cls"][y])
+
+
+def _arrays(rows: pd.DataFrame) -> dict:
+    n, rank = rows["n"].to_numpy(np.int64), rows["rank"].to_numpy(np.int64)
+    out = {"cls": rows["cls"].to_numpy(np.int64), "n": n, "asks": (FIFTHS * n).astype(np.int32), "has": (5 * (n - rank)).astype(np.int32)}
+    return out | {c: rows[[f"{c}{i}" for i in range(1, 5)]].to_numpy(np.int64).view(np.uint64) for c in "ab"}
+
+
+def _meetings(v: dict, t: dict, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (of v, of t) that have the word in common and enough words after it: row y of t has it in common with lo[y] to hi[y] - 1 of v."""
+    many = hi - lo
+    new = np.flatnonzero(np.diff(lo, prepend=-1))
+    for b, e in zip(new.tolist(), [*new[1:].tolist(), len(lo)]):
+        w = int(many[b])
+        if w * (e - b) < TABLE:
+            continue
+        for v0 in range(lo[b], hi[b], BLOCK):
+            vs = slice(v0, min(v0 + BLOCK, int(hi[b])))
+            step = max(1, BLOCK // (vs.stop - vs.start))
+            for t0 in range(b, e, step):
+                ts = slice(t0, min(t0 + step, e))
+                y, x = np.nonzero((t["asks"][ts, None] <= v["has"][None, vs]) & (v["asks"][None, vs] <= t["has"][ts, None]))
+                yield x + vs.start, y + ts.start
+        many[b:e] = 0
+    total = np.cumsum(many)
+    b = 0
+    while b < len(lo):
+        e = max(b + 1, int(np.searchsorted(total, (total[b - 1] if b else 0) + BLOCK, "right")))
+        k = many[b:e]
+        y = np.repeat(np.arange(b, e), k)
+        x = np.arange(len(y)) - np.repeat(np.cumsum(k) - k, k) + lo[y]
+        ok = (t["asks"][y] <= v["has"][x]) & (v["asks"][x] <= t["has"][y])
+        yield x[ok], y[ok]
+        b = e
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of classes, of rows that come by word, those of evaluation classes first: only these are kept, until the next word."""
+    kept: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        rows = pd.concat([*kept, pdf], ignore_index=True) if kept else pdf
+        key, salt, side = (rows[c].to_numpy() for c in ("key", "salt", "side"))
+        word = np.cumsum((np.diff(key, prepend=key[:1]) != 0) | (np.diff(salt, prepend=salt[:1]) != 0))
+        is_v = side == 0
+        of_v, of_t = word[is_v], word[~is_v]
+        if len(of_v) and len(of_t):
+            lo, hi = np.searchsorted(of_v, of_t, "left"), np.searchsorted(of_v, of_t, "right")
+            some = hi > lo
+            if some.any():
+                v, t = _arrays(rows[is_v]), _arrays(rows[~is_v][some])
+                for x, y in _meetings(v, t, lo[some], hi[some]):
+                    for c in range(0, len(x), BLOCK // 8):
+                        at = slice(c, c + BLOCK // 8)
+                        ok = _near_enough(v, t, x[at], y[at])
+                        if ok.any():
+                            yield pd.DataFrame({"v_cls": v["cls"][x[at][ok]], "t_cls": t["cls"][y[at][ok]]}).drop_duplicates()
+        kept = [rows[is_v & (word == word[-1])]]
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep = [near_same(a.tolist(), b.tolist()) for a, b in zip(pdf["v_words"], pdf["t_words"])]
@@ -293,41 +326,25 @@ def class_pairs(members: DataFrame) -> DataFrame:
     """(dataset_id, v_cls, t_cls): near-same evaluation and training classes, equal ones included."""
     spark = members.sparkSession
     classes = cut(members.groupBy("dataset_id", "cls").agg(F.first("words").alias("words"), F.max("in_train").alias("t"), F.max("in_val").alias("v")))
-    val, train = classes.where("v = 1"), classes.where("t = 1")
-    often = spark.sparkContext.broadcast(common_words(classes))
-    schema = "key bigint, v_cls bigint, n int, i int, s int, v1 bigint, v2 bigint, v3 bigint, v4 bigint"
-    seg = cut(val.select("dataset_id", "cls", "words").mapInPandas(_segments(often), schema))
-    size = classes.agg(F.count("*").alias("classes"), F.count_if(F.col("v") == 1).alias("val")).first()
+    val, train = (classes.where(f"{c} = 1").select("dataset_id", "cls", "words") for c in "vt")
+    counts = word_counts(classes)
+    schema = "key bigint, cls bigint, n int, rank int, " + ", ".join(f"{c}{i} bigint" for c in "ab" for i in range(1, 5))
+    seg = val.mapInPandas(_segments(counts), schema)  # worked out twice, which takes less than keeping it
     df = cut(seg.groupBy("key").agg(F.count("*").alias("df")))
-    size = df.agg(F.count("*").alias("keys"), F.coalesce(F.sum("df"), F.lit(0)).alias("rows")).first().asDict() | size.asDict()
-    least = max(HEAVY, HEAVY_SHARE * size["val"])
+    least = max(HEAVY, HEAVY_SHARE * classes.where("v = 1").count())
     heavy = df.where(F.col("df") >= least).select("key", F.least(F.ceil(F.col("df") / HEAVY), F.lit(SALTS)).cast("int").alias("salts")).orderBy("key").collect()
     salts = spark.sparkContext.broadcast((np.array([r["key"] for r in heavy], np.int64), np.array([r["salts"] for r in heavy], np.int64)))
     dealt = seg.join(F.broadcast(spark.createDataFrame([(r["key"], r["salts"]) for r in heavy], "key bigint, salts int")), "key", "left")
-    v = dealt.withColumn("salt", F.pmod(F.xxhash64("v_cls"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    schema = "key bigint, t_cls bigint, m int, p int, t1 bigint, t2 bigint, t3 bigint, t4 bigint, salt int"
-    known = bloom.of_column(df, "key", size["keys"])
-    t = train.select("dataset_id", "cls", "words").mapInPandas(_windows(known, salts), schema)
-    n, m, i, p, s = (F.col(c) for c in ("n", "m", "i", "p", "s"))
-    need = F.expr(f"({FIFTHS} * greatest(n, m) + 4) div 5")
-    deletes, inserts, k = n - need, m - need, n + m - 2 * need
-    shift, after = p - s, k - i + 1
-    rest = m - n - shift
-    differ = sum((F.bit_count(F.col(f"v{b}").bitwiseXOR(F.col(f"t{b}"))) for b in range(1, 5)), F.lit(0))
-    # Cheap bounds come first; the key leaves shifts of the right parity only.
-    allowed = (
-        (shift < i) & (-shift < i) & (5 * -shift <= n) & (4 * shift <= n) & (4 * n <= 5 * m) & (4 * m <= 5 * n) & (F.col("v_cls") != F.col("t_cls")) & (differ <= k)
-        & (-shift <= deletes) & (shift <= inserts) & (-rest <= F.least(after, deletes)) & (rest <= F.least(after, inserts))
-    )
-    if size["rows"] * ROW_BYTES <= HASHED * shuffle_width(spark):  # each part of the segments fits in memory with room to spare
-        v = v.hint("shuffle_hash")
-    met = t.join(v, ["key", "salt"]).where(allowed).select("v_cls", "t_cls").distinct()
-    wide = classes.mapInPandas(_wide_sketches, "cls bigint, n int, sketch array<bigint>")
-    a, b = (wide.select(F.col("cls").alias(f"{x}_cls"), F.col("n").alias(y), F.col("sketch").alias(x)) for x, y in (("v", "n"), ("t", "m")))
-    differ = F.aggregate(F.zip_with("v", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    met = met.join(a, "v_cls").join(b, "t_cls").where(differ <= k).select("v_cls", "t_cls")
-    met = met.join(val.select("dataset_id", F.col("cls").alias("v_cls"), F.col("words").alias("v_words")), "v_cls")
-    met = met.join(train.select(F.col("cls").alias("t_cls"), F.col("words").alias("t_words")), "t_cls")
+    v = dealt.withColumn("salt", F.pmod(F.xxhash64("cls"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts").withColumn("side", F.lit(0))
+    known = bloom.of_column(df, "key", df.count())
+    t = train.mapInPandas(_windows(counts, known, salts), schema + ", salt int").withColumn("side", F.lit(1))
+    rows = v.unionByName(t).repartition(shuffle_width(spark), "key", "salt").sortWithinPartitions("key", "salt", "side")
+    met = cut(rows.mapInPandas(_meet, "v_cls bigint, t_cls bigint").distinct())
+    # Only words of classes that met are moved.
+    ids = met.select(F.explode(F.array("v_cls", "t_cls")).alias("cls"))
+    known = bloom.of_column(ids, "cls", 2 * met.count())
+    met = met.join(bloom.keep(val, "cls", known).select("dataset_id", F.col("cls").alias("v_cls"), F.col("words").alias("v_words")), "v_cls")
+    met = met.join(bloom.keep(train, "cls", known).select(F.col("cls").alias("t_cls"), F.col("words").alias("t_words")), "t_cls")
     near = met.mapInPandas(_verify, "dataset_id string, v_cls bigint, t_cls bigint")
     same = classes.where("v = 1 and t = 1").select("dataset_id", F.col("cls").alias("v_cls"), F.col("cls").alias("t_cls"))
     return near.unionByName(same)

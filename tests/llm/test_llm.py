@@ -2,9 +2,11 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -277,6 +279,29 @@ def test_segments_are_enough_and_disjoint():
         assert all(a < b <= c for (a, b), (c, _) in zip(s, [*s[1:], (n, n)]))
 
 
+def test_texts_of_one_template_seldom_meet():
+    """Pairs that the join gives out are all near-same pairs and few others, from few rows a text."""
+    rng = random.Random(8)
+    phrases = "the council of @ wrote to @ about the bank|after @ attempts the bridge became steady|@ and @ disagree on whether the river needs a boat|in @ the @ of @ was described as broad".split("|")
+    texts = []
+    for _ in range(300):
+        texts.append([f"n{rng.randrange(3000)}" if w == "@" else w for p in rng.choices(phrases, k=rng.choice([3, 12, 30])) for w in p.split()])
+    texts += [noisy(rng, w, len(w) // 12) for w in texts[:40]]
+    frame = pd.DataFrame({"dataset_id": "d", "cls": range(len(texts)), "words": [np.array([zlib.crc32(w.encode()) >> 1 for w in ws], np.int32) for ws in texts]})
+    hashes = split_overlap.numbered(frame)[0]
+    counts = np.bincount((hashes >> np.uint64(64 - split_overlap.COUNTS)).astype(np.int64), minlength=1 << split_overlap.COUNTS)
+    rows = split_overlap.rarest(frame, counts)
+    assert len(rows) == sum(len(w) // 5 + 1 for w in texts)
+    both = pd.concat([rows[rows["cls"] < 300].assign(salt=0, side=0), rows[rows["cls"] >= 300].assign(salt=0, side=1)]).sort_values(["key", "side"])
+    met = set()
+    for size in (7, 1000, len(both)):
+        got = {p for x in split_overlap._meet(both.iloc[i : i + size] for i in range(0, len(both), size)) for p in zip(x["v_cls"], x["t_cls"])}
+        met = met or got
+        assert got == met
+    want = {(i, j) for i in range(300) for j in range(300, 340) if split_overlap.near_same(texts[i], texts[j])}
+    assert want <= met and len(want) >= 40 and len(met - want) < len(want)
+
+
 # ---- 4. mixing --------------------------------------------------------------
 
 
